@@ -6,6 +6,8 @@ padded clean form. It finds typos and contained phrases, not synonyms.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +16,51 @@ from themelift.functions.vectors import DIGITS
 from themelift.operators.keywords import gram_counts, prepare_keywords, profile_keywords
 from themelift.operators.positions import topk_per
 from themelift.schemas import KEYWORD_KEY, METRICS
-from themelift.sizing import BROADCAST_BYTES, SALTS
+from themelift.sizing import BROADCAST_BYTES, SALTS, lookup_join
 
 TOP_K = 100
-
-
-def squared_norm(grams: Column) -> Column:
-    """Sum of squared gram counts: the number of ordered pairs of equal grams. Equal grams are
-    neighbours after sorting, so it is the sum over runs of 2 * place - 1."""
-    return F.aggregate(
+# Grams per keyword whose absence is tested before the exact comparison.
+RARE = 4
+# Width of a size class of query norms.
+CLASS_RATIO = 1.25
+# Memory of a keyword's probes relative to its row in the keyword table.
+PROBE_FACTOR = 64
+SLACK = 1e-8
+
+
+def gram_runs(grams: Column) -> Column:
+    """Struct of a gram list: ``total`` is the sum of squared gram counts, ``top`` the highest
+    count. Equal grams are neighbours after sorting; the n-th of a run adds 2 n - 1."""
+    plain = F.struct(F.size(grams).alias("total"), F.lit(1).alias("top"))
+    run = F.aggregate(
         F.array_sort(grams),
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total")),
-        lambda s, g: F.struct(
-            g.alias("last"),
-            F.when(g == s["last"], s["run"] + 1).otherwise(F.lit(1)).alias("run"),
-            (s["total"] + F.when(g == s["last"], 2 * s["run"] + 1).otherwise(F.lit(1))).alias(
-                "total"
-            ),
+        F.struct(
+            F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total"), F.lit(0).alias("top")
         ),
-        lambda s: s["total"],
+        lambda s, g: _next_run(s, g, F.when(g == s["last"], s["run"] + 1).otherwise(F.lit(1))),
+        lambda s: F.struct(s["total"].alias("total"), s["top"].alias("top")),
+    )
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), plain).otherwise(run)
+
+
+def _next_run(state: Column, gram: Column, run: Column) -> Column:
+    return F.struct(
+        gram.alias("last"),
+        run.alias("run"),
+        (state["total"] + 2 * run - 1).alias("total"),
+        F.greatest(state["top"], run).alias("top"),
+    )
+
+
+def with_gram_text(log: DataFrame) -> DataFrame:
+    """Add what the comparison needs of a query, so that it is computed once at ingest: the padded
+    text, the squared norm of its gram counts and the highest count."""
+    if "q_text" in log.columns:
+        return log
+    text = log.withColumn("q_text", padded(F.col("normalized_query")))
+    grams = text.withColumn("_grams", gram_list(F.col("q_text")))
+    return grams.withColumn("_runs", gram_runs(F.col("_grams"))).select(
+        *text.columns, F.col("_runs.total").alias("q_norm"), F.col("_runs.top").alias("q_top")
     )
 
 
@@ -42,42 +70,98 @@ def gram_cosine(dot: Column, left: Column, right: Column) -> Column:
 
 
 def _keyword_vectors(kw: DataFrame) -> DataFrame:
-    """(market, kw_text, gram, count) of distinct keyword texts with their squared norm."""
+    """(market, kw_clean, gram, c) of distinct keyword texts with their squared norm, their number
+    of grams and their highest count."""
     texts = kw.select("market", "kw_clean").distinct().withColumn("kw_text", padded(F.col("kw_clean")))
     grams = explode_grams(texts, "kw_text").groupBy("market", "kw_clean", "gram").agg(
         F.count(F.lit(1)).alias("c")
     )
     whole = Window.partitionBy("market", "kw_clean")
-    return grams.withColumn("kw_norm", F.sum(F.col("c") * F.col("c")).over(whole))
+    return (
+        grams.withColumn("kw_norm", F.sum(F.col("c") * F.col("c")).over(whole))
+        .withColumn("kw_grams", F.sum("c").over(whole))
+        .withColumn("kw_top", F.max("c").over(whole))
+    )
 
 
-def _probes(vectors: DataFrame, counts: DataFrame, min_sim: float) -> DataFrame:
+def _size_class(norm: Column) -> Column:
+    return F.floor(F.log(norm.cast("double")) / F.lit(math.log(CLASS_RATIO))).cast("int")
+
+
+def _query_class() -> Column:
+    """Size class of a query without repeated grams; all others share class -1."""
+    return F.when(F.col("q_top") == 1, _size_class(F.col("q_norm"))).otherwise(F.lit(-1))
+
+
+def _keyword_classes(min_sim: float) -> Column:
+    """Size classes of the queries that can reach the floor with a keyword. Without repeats the
+    inner product is at most the smaller gram total, which bounds the query's norm both ways."""
+    square = min_sim * min_sim
+    low = F.col("kw_norm") * F.lit(square - SLACK) / (F.col("kw_top") * F.col("kw_top"))
+    high = F.col("kw_grams") * F.col("kw_grams") / (F.col("kw_norm") * F.lit(square - SLACK))
+    classes = F.sequence(_size_class(F.greatest(low, F.lit(1.0))), _size_class(F.greatest(high, F.lit(1.0))))
+    return F.concat(F.array(F.lit(-1)), classes)
+
+
+def _ranked(vectors: DataFrame, counts: DataFrame) -> DataFrame:
+    """Keyword vectors with ``n``, the occurrences of each gram in the log, and ``weights``, the
+    whole vector of the keyword with the rarest gram first."""
+    ranked = vectors.join(counts, ["market", "gram"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0))
+    )
+    whole = Window.partitionBy("market", "kw_clean")
+    ordered = F.array_sort(F.collect_list(F.struct("n", "gram", "c")).over(whole))
+    return ranked.withColumn("weights", ordered)
+
+
+def _probes(ranked: DataFrame, min_sim: float) -> DataFrame:
     """The grams of each keyword that a query must share one of to reach the floor.
 
     Grams are taken from the rarest in the log to the most frequent. Once the grams left have a
     norm below ``min_sim`` times the whole norm, a query that shares only those stays below the
-    floor, so they need no probe. ``earlier`` lists the probes before each one, ``weights`` is the
-    whole keyword vector.
+    floor, so they need no probe. ``probe_no`` is the gram's place in ``weights``.
     """
     by_rarity = Window.partitionBy("market", "kw_clean").orderBy("n", "gram")
     rest = by_rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = by_rarity.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("market", "kw_clean")
-    ranked = vectors.join(counts, ["market", "gram"], "left").withColumn(
-        "n", F.coalesce("n", F.lit(0))
-    )
-    floor = min_sim * min_sim - 1e-8
+    enough = F.col("left_norm") >= F.col("kw_norm") * F.lit(min_sim * min_sim - SLACK)
     return (
         ranked.withColumn("left_norm", F.sum(F.col("c") * F.col("c")).over(rest))
-        .withColumn("earlier", F.collect_list("gram").over(before))
-        .withColumn(
-            "weights", F.map_from_entries(F.collect_list(F.struct("gram", "c")).over(whole))
-        )
-        .where((F.col("left_norm") >= F.col("kw_norm") * floor) & (F.col("n") > 0))
-        .select("market", "kw_clean", "gram", "kw_norm", "earlier", "weights")
+        .withColumn("probe_no", F.row_number().over(by_rarity))
+        .where(enough & (F.col("n") > 0))
     )
 
 
+def _possible(min_sim: float) -> Column:
+    """Cheap bounds of the cosine: the inner product is at most the highest count of one side
+    times the grams of the other, and grams of the keyword that the query lacks add nothing to
+    it. The lack is tested for the keyword's rarest grams."""
+    need = F.sqrt((F.col("kw_norm") * F.col("q_norm")).cast("double")) * F.lit(min_sim - SLACK)
+    q_count = F.length("q_text") - F.lit(GRAM - 1)
+    lacking = F.lit(0).cast("bigint")
+    for i in range(RARE):
+        lacks = ~F.contains(F.col("q_text"), F.col(f"rare_{i}"))
+        lacking = lacking + F.when(lacks, F.col(f"rare_{i}_c")).otherwise(0)
+    return (need <= F.col("kw_top") * q_count) & (
+        need <= F.col("q_top") * (F.col("kw_grams") - lacking)
+    )
+
+
+def _inner_product() -> Column:
+    """Inner product of both count vectors; containment is the count when no gram repeats."""
+    once = F.aggregate(
+        F.col("weights"),
+        F.lit(0).cast("bigint"),
+        lambda acc, w: acc + F.when(F.contains(F.col("q_text"), w["gram"]), w["c"]).otherwise(0),
+    )
+    repeated = F.aggregate(
+        F.col("weights"),
+        F.lit(0).cast("bigint"),
+        lambda acc, w: acc
+        + w["c"] * F.size(F.filter(gram_list(F.col("q_text")), lambda g: g == w["gram"])),
+    )
+    return F.when(F.col("q_top") == 1, once).otherwise(repeated)
+
+
 def gram_topk(
     keywords: DataFrame,
     log: DataFrame,
@@ -88,42 +172,52 @@ def gram_topk(
 ) -> DataFrame:
     """The ``k`` log rows nearest to each keyword by gram cosine, exact; ties go to the lower id.
 
-    Without a floor every query that shares a gram is compared. With ``min_sim`` only the probe
-    grams are joined, which leaves out the grams that most of the log shares. A candidate is
-    compared once: at the first place of the first probe gram that its query holds.
+    Without a floor every query that shares a gram is compared. With ``min_sim`` the join is on
+    the probe grams and the size classes that can reach it, which leaves out the grams and the
+    lengths that most of the log shares. A candidate is compared once: at the first place of the
+    first probe gram that its query holds.
     """
     kw = prepare_keywords(keywords)
-    fits = profile_keywords(kw, "kw_clean").fits(limit // 64)
+    profile = profile_keywords(kw, "kw_clean")
+    size, limit = profile.size, limit // PROBE_FACTOR
     vectors = _keyword_vectors(kw)
-    text = log.select("market", "id", "normalized_query", *METRICS).withColumn(
-        "q_text", padded(F.col("normalized_query"))
+    text = with_gram_text(log).select(
+        "market", "id", "normalized_query", *METRICS, "q_text", "q_norm", "q_top"
     )
     wanted = vectors.select("market", "gram").distinct()
-    counts = gram_counts(text, "q_text", (GRAM,), wanted, fits)
-    probes = _probes(vectors, counts, min_sim).join(
-        kw.select(*KEYWORD_KEY, "kw_clean"), ["market", "kw_clean"]
+    counts = gram_counts(text, "q_text", (GRAM,), wanted, size.fits(limit))
+    ranked = _ranked(vectors, counts)
+    probes = _probes(ranked, min_sim)
+    key = ["market", "gram"]
+    slim = probes.select(
+        *key,
+        "kw_clean",
+        "probe_no",
+        "kw_norm",
+        "kw_grams",
+        "kw_top",
+        *[F.get("weights", F.lit(i))["gram"].alias(f"rare_{i}") for i in range(RARE)],
+        *[F.get("weights", F.lit(i))["c"].alias(f"rare_{i}_c") for i in range(RARE)],
     )
+    if min_sim > 0:
+        slim = slim.withColumn("q_class", F.explode(_keyword_classes(min_sim)))
+        text = text.withColumn("q_class", _query_class())
+        key.append("q_class")
     grams = explode_grams(text, "q_text")
-    if fits:
-        joined = grams.join(F.broadcast(probes), ["market", "gram"])
-    else:
-        salted = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-        joined = (
-            grams.withColumn("_salt", spread).join(salted, ["market", "gram", "_salt"]).drop("_salt")
-        )
-    first = (F.position(F.col("gram"), F.col("q_text")) == F.col("at")) & ~F.exists(
-        F.col("earlier"), lambda g: F.contains(F.col("q_text"), g)
-    )
-    q_grams = gram_list(F.col("q_text"))
-    inner = F.aggregate(
-        q_grams,
-        F.lit(0).cast("bigint"),
-        lambda acc, g: acc + F.coalesce(F.col("weights")[g], F.lit(0).cast("bigint")),
+    pairs = (
+        lookup_join(grams, slim, key, limit=limit, salts=salts, size=size)
+        .where(F.position(F.col("gram"), F.col("q_text")) == F.col("at"))
+        .where(_possible(min_sim))
     )
+    whole = ranked.select("market", "kw_clean", "weights").dropDuplicates(["market", "kw_clean"])
+    whole = whole.join(kw.select(*KEYWORD_KEY, "kw_clean"), ["market", "kw_clean"])
+    compared = lookup_join(pairs, whole, ["market", "kw_clean"], limit=limit, salts=salts, size=size)
+    earlier = F.slice("weights", F.lit(1), F.col("probe_no") - 1)
     scored = (
-        joined.where(first)
-        .withColumn("similarity", gram_cosine(inner, F.col("kw_norm"), squared_norm(q_grams)))
+        compared.where(~F.exists(earlier, lambda w: F.contains(F.col("q_text"), w["gram"])))
+        .withColumn(
+            "similarity", gram_cosine(_inner_product(), F.col("kw_norm"), F.col("q_norm"))
+        )
         .where(F.col("similarity") >= min_sim)
         .select(*KEYWORD_KEY, "id", "normalized_query", *METRICS, "similarity")
     )

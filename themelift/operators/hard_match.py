@@ -23,7 +23,7 @@ from themelift.operators.keywords import (
     rarest_gram,
 )
 from themelift.schemas import HIT_COLUMNS, KEYWORD_KEY, METRICS
-from themelift.sizing import BROADCAST_BYTES, SALTS
+from themelift.sizing import BROADCAST_BYTES, SALTS, lookup_join
 from themelift.sources.query_log import with_match_text
 
 LOG_COLUMNS = ["market", "id", "normalized_query", *METRICS]
@@ -49,14 +49,6 @@ def _probes(
     return kw.join(rarest_gram(grams, stats, literal), ["market", literal])
 
 
-def _join_on_gram(grams: DataFrame, probes: DataFrame, fits: bool, salts: int) -> DataFrame:
-    if fits:
-        return grams.join(F.broadcast(probes), ["market", "gram"])
-    salted = probes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
-    return grams.withColumn("_salt", spread).join(salted, ["market", "gram", "_salt"]).drop("_salt")
-
-
 def _hits(pairs: DataFrame) -> DataFrame:
     return (
         pairs.withColumn("method", F.lit("hard"))
@@ -88,7 +80,9 @@ def hard_match(
     probes = _probes(kw, "kw_fold", text, profile, stats, fits)
     grams = explode_grams(text, "match_text", profile.gram_sizes)
     first = F.position(F.col("kw_fold"), F.col("match_text"))
-    pairs = _join_on_gram(grams, probes, fits, salts).where(
+    pairs = lookup_join(
+        grams, probes, ["market", "gram"], limit=limit, salts=salts, size=profile.size
+    ).where(
         (first > 0) & (first == F.col("at") - F.col("gram_at") + 1)
     )
     return _hits(pairs)
@@ -109,7 +103,9 @@ def _wildcard_match(
     text = with_match_text(log).select(*LOG_COLUMNS, "match_text")
     probes = _probes(kw, "literal", text, profile, stats, fits)
     grams = explode_grams(text, "match_text", profile.gram_sizes)
-    pairs = _join_on_gram(grams, probes, fits, salts).where(
+    pairs = lookup_join(
+        grams, probes, ["market", "gram"], limit=limit, salts=salts, size=profile.size
+    ).where(
         (F.position(F.col("gram"), F.col("match_text")) == F.col("at"))
         & F.like(F.col("match_text"), like_pattern(F.col("kw_fold")))
     )
@@ -169,7 +165,8 @@ def hard_match_indexed(
     also prunes the index's folders); the log itself is joined by id to verify the candidates.
     """
     kw = prepare_keywords(keywords)
-    fits = profile_keywords(kw, "kw_fold").fits(limit)
+    size = profile_keywords(kw, "kw_fold").size
+    fits = size.fits(limit)
     grams = keyword_grams(kw, "kw_fold")
     key = ["market", "gram"]
     if stats is None:
@@ -186,13 +183,10 @@ def hard_match_indexed(
         else:
             stats = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     probes = kw.join(rarest_gram(grams, stats, "kw_fold"), ["market", "kw_fold"])
-    postings = index
     if buckets:
         probes = probes.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-        probes = F.broadcast(probes) if fits else probes
-        candidates = postings.join(probes, key + ["bucket"])
-    else:
-        candidates = _join_on_gram(postings, probes, fits, salts)
+        key = key + ["bucket"]
+    candidates = lookup_join(index, probes, key, limit=limit, salts=salts, size=size)
     candidates = candidates.select(*KEYWORD_KEY, "kw_fold", "id")
     text = with_match_text(log).select(*LOG_COLUMNS, "match_text")
     pairs = text.join(candidates, ["market", "id"]).where(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from themelift.functions import ids, text, vectors
 from themelift.operators import history, inference, merge, verdicts
-from themelift.operators.gram_match import gram_topk
+from themelift.operators.gram_match import gram_topk, with_gram_text
 from themelift.operators.hard_match import gram_index, hard_match, hard_match_indexed
 from themelift.operators.keywords import dedup_keywords
 from themelift.operators.lexical import lexical_topk
@@ -58,12 +58,12 @@ def _hit_rows(hits: DataFrame) -> DataFrame:
 
 def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Keyword table and query log, stored as tables the way a run finds them."""
-    log = query_log.with_match_text(fx.part_log(spark, sf))
+    log = with_gram_text(query_log.with_match_text(fx.part_log(spark, sf)))
     return stage(fx.part_keywords(spark, sf), "keywords"), stage(log, "log")
 
 
 def _text_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    log = query_log.with_match_text(fx.pair_log(spark, sf))
+    log = with_gram_text(query_log.with_match_text(fx.pair_log(spark, sf)))
     return stage(fx.pair_keywords(spark, sf), "keywords"), stage(log, "log")
 
 
