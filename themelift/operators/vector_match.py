@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from themelift.operators.positions import topk_per
 from themelift.schemas import HIT_COLUMNS, KEYWORD_KEY
 from themelift.sizing import measure, scratch_dir
 
+# The task code below travels with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_SIM = 0.8
 TOP_K = 100
 CHUNK_BYTES = 32 * 1024 * 1024
