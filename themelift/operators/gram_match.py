@@ -210,15 +210,18 @@ def gram_topk(
         .where(_possible(min_sim))
     )
     whole = ranked.select("market", "kw_clean", "weights").dropDuplicates(["market", "kw_clean"])
-    whole = whole.join(kw.select(*KEYWORD_KEY, "kw_clean"), ["market", "kw_clean"])
     compared = lookup_join(pairs, whole, ["market", "kw_clean"], limit=limit, salts=salts, size=size)
     earlier = F.slice("weights", F.lit(1), F.col("probe_no") - 1)
-    scored = (
+    near = (
         compared.where(~F.exists(earlier, lambda w: F.contains(F.col("q_text"), w["gram"])))
         .withColumn(
             "similarity", gram_cosine(_inner_product(), F.col("kw_norm"), F.col("q_norm"))
         )
         .where(F.col("similarity") >= min_sim)
-        .select(*KEYWORD_KEY, "id", "normalized_query", *METRICS, "similarity")
+        .select("market", "kw_clean", "id", "normalized_query", *METRICS, "similarity")
     )
+    # Texts are compared once; only then they are handed to every theme that uses them.
+    themed = kw.select(*KEYWORD_KEY, "kw_clean")
+    scored = lookup_join(near, themed, ["market", "kw_clean"], limit=limit, salts=salts, size=size)
+    scored = scored.select(*KEYWORD_KEY, "id", "normalized_query", *METRICS, "similarity")
     return topk_per(scored, KEYWORD_KEY, [F.col("similarity").desc(), F.col("id")], k)

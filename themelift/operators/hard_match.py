@@ -37,7 +37,7 @@ def gram_stats(log: DataFrame, sizes: tuple[int, ...] = (1, 2, GRAM)) -> DataFra
 def _probes(
     kw: DataFrame, literal: str, text: DataFrame, profile: KeywordProfile, stats: DataFrame | None, fits: bool
 ) -> DataFrame:
-    """Keyword rows with their probe gram."""
+    """Distinct (market, literal) texts with their probe gram."""
     grams = keyword_grams(kw, literal)
     if stats is None:
         wanted = grams.select("market", "gram").distinct()
@@ -46,7 +46,7 @@ def _probes(
         stats = stats.join(
             F.broadcast(grams.select("market", "gram").distinct()), ["market", "gram"], "left_semi"
         )
-    return kw.join(rarest_gram(grams, stats, literal), ["market", literal])
+    return rarest_gram(grams, stats, literal)
 
 
 def _hits(pairs: DataFrame) -> DataFrame:
@@ -80,12 +80,15 @@ def hard_match(
     probes = _probes(kw, "kw_fold", text, profile, stats, fits)
     grams = explode_grams(text, "match_text", profile.gram_sizes)
     first = F.position(F.col("kw_fold"), F.col("match_text"))
-    pairs = lookup_join(
-        grams, probes, ["market", "gram"], limit=limit, salts=salts, size=profile.size
-    ).where(
-        (first > 0) & (first == F.col("at") - F.col("gram_at") + 1)
+    pairs = (
+        lookup_join(grams, probes, ["market", "gram"], limit=limit, salts=salts, size=profile.size)
+        .where((first > 0) & (first == F.col("at") - F.col("gram_at") + 1))
+        .select(*LOG_COLUMNS, "kw_fold")
     )
-    return _hits(pairs)
+    # Texts are matched once; only then they are handed to every theme that uses them.
+    themed = kw.select(*KEYWORD_KEY, "kw_fold")
+    key = ["market", "kw_fold"]
+    return _hits(lookup_join(pairs, themed, key, limit=limit, salts=salts, size=profile.size))
 
 
 def _wildcard_match(
@@ -101,7 +104,7 @@ def _wildcard_match(
     profile = profile_keywords(kw, "literal")
     fits = profile.fits(limit)
     text = with_match_text(log).select(*LOG_COLUMNS, "match_text")
-    probes = _probes(kw, "literal", text, profile, stats, fits)
+    probes = kw.join(_probes(kw, "literal", text, profile, stats, fits), ["market", "literal"])
     grams = explode_grams(text, "match_text", profile.gram_sizes)
     pairs = lookup_join(
         grams, probes, ["market", "gram"], limit=limit, salts=salts, size=profile.size

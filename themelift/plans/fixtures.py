@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in at least one task per core: a table of one row group would be taken apart by
+    one task. A table of many files is left as it is scanned."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
+
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Line count, returned lines and net price in ten-thousandths per part, exact integers."""
     net = F.round(F.col("l_extendedprice") * 100).cast("bigint") * F.round(
@@ -118,11 +126,13 @@ def part_keywords(spark: SparkSession, sf: str) -> DataFrame:
 def pair_log(spark: SparkSession, sf: str) -> DataFrame:
     """Query log of adjacent lower-case word pairs of the documents' texts. The id of a pair is
     the place of its first occurrence."""
-    docs = table(spark, sf, "documents")
+    docs = _documents(spark, sf)
     words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: F.length(w) > 0)
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("words") - 1),
-        lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)),
+    n = F.size("words") - 1
+    pairs = F.zip_with(
+        F.slice("words", F.lit(1), n),
+        F.slice("words", F.lit(2), n),
+        lambda a, b: F.concat_ws(" ", a, b),
     )
     per_doc = (
         docs.select("doc_id", words.alias("words"))
@@ -151,7 +161,7 @@ def pair_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """Keywords for the pair log: per document source, the words that occur in most documents."""
-    docs = table(spark, sf, "documents")
+    docs = _documents(spark, sf)
     words = F.array_distinct(
         F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: F.length(w) >= 6)
     )
