@@ -135,14 +135,13 @@ def _possible(min_sim: float) -> Column:
     """Cheap bounds of the cosine: the inner product is at most the highest count of one side
     times the grams of the other, and grams of the keyword that the query lacks add nothing to
     it. The lack is tested for the keyword's rarest grams."""
-    need = F.sqrt((F.col("kw_norm") * F.col("q_norm")).cast("double")) * F.lit(min_sim - SLACK)
-    q_count = F.length("q_text") - F.lit(GRAM - 1)
-    lacking = F.lit(0).cast("bigint")
-    for i in range(RARE):
-        lacks = ~F.contains(F.col("q_text"), F.col(f"rare_{i}"))
-        lacking = lacking + F.when(lacks, F.col(f"rare_{i}_c")).otherwise(0)
-    return (need <= F.col("kw_top") * q_count) & (
-        need <= F.col("q_top") * (F.col("kw_grams") - lacking)
+    lacking = " + ".join(
+        f"if(contains(q_text, rare_{i}), 0, coalesce(rare_{i}_c, 0))" for i in range(RARE)
+    )
+    need = f"sqrt(double(kw_norm * q_norm)) * {min_sim - SLACK!r}D"
+    return F.expr(
+        f"{need} <= kw_top * (length(q_text) - {GRAM - 1}) "
+        f"and {need} <= q_top * (kw_grams - ({lacking}))"
     )
 
 

@@ -185,14 +185,17 @@ def hard_match_indexed(
             )
         else:
             stats = index.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    probes = kw.join(rarest_gram(grams, stats, "kw_fold"), ["market", "kw_fold"])
+    probes = rarest_gram(grams, stats, "kw_fold")
     if buckets:
         probes = probes.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
         key = key + ["bucket"]
     candidates = lookup_join(index, probes, key, limit=limit, salts=salts, size=size)
-    candidates = candidates.select(*KEYWORD_KEY, "kw_fold", "id")
+    candidates = candidates.select("market", "id", "kw_fold")
     text = with_match_text(log).select(*LOG_COLUMNS, "match_text")
-    pairs = text.join(candidates, ["market", "id"]).where(
-        F.contains(F.col("match_text"), F.col("kw_fold"))
+    pairs = (
+        text.join(candidates, ["market", "id"])
+        .where(F.contains(F.col("match_text"), F.col("kw_fold")))
+        .select(*LOG_COLUMNS, "kw_fold")
     )
-    return _hits(pairs)
+    themed = kw.select(*KEYWORD_KEY, "kw_fold")
+    return _hits(lookup_join(pairs, themed, ["market", "kw_fold"], limit=limit, salts=salts, size=size))

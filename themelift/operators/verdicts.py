@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from themelift.functions.text import clean, strip
 from themelift.operators.positions import topk_per
 from themelift.schemas import THEME_KEY
-from themelift.sizing import lookup_join
+from themelift.sizing import Size, lookup_join, measure, stage
 
 # Words that mark a comparison.
 COMPARISON_WORDS = ["vs", "versus"]
@@ -118,25 +118,37 @@ def label_identity(results: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def _names_other_brand(rows: DataFrame, brands: DataFrame, text: Column, name: str) -> DataFrame:
+def other_names(brands: DataFrame) -> tuple[DataFrame, Size]:
+    """Cleaned names of all brands, and their size."""
+    names = brands.select(clean(_lower("brand")).alias("_other")).distinct()
+    return names.withColumn("_known", F.lit(True)), measure(brands.select("brand"))
+
+
+def _names_other_brand(
+    rows: DataFrame, others: tuple[DataFrame, Size], text: Column, name: str
+) -> DataFrame:
     """Boolean ``name``: ``text`` is the cleaned name of another brand than the row's parent."""
-    others = brands.select(clean(_lower("brand")).alias("_other")).distinct()
+    names, size = others
     keyed = rows.withColumn("_other", F.when(F.length(text) > 0, text))
-    found = lookup_join(keyed, others.withColumn("_known", F.lit(True)), ["_other"], "left")
+    found = lookup_join(keyed, names, ["_other"], "left", size=size)
     is_parent = F.coalesce(F.col("_other") == F.col("parent"), F.lit(False))
     return found.withColumn(name, F.coalesce("_known", F.lit(False)) & ~is_parent).drop(
         "_other", "_known"
     )
 
 
-def label_residual_brand(results: DataFrame, table: DataFrame, brands: DataFrame) -> DataFrame:
+def label_residual_brand(
+    results: DataFrame, table: DataFrame, others: tuple[DataFrame, Size]
+) -> DataFrame:
     """``other_brand``: without the brand the query is the name of another brand. The parent brand
     is allowed."""
     rows = with_brand(results, table)
-    return _names_other_brand(rows, brands, _residual("normalized_query"), "other_brand")
+    return _names_other_brand(rows, others, _residual("normalized_query"), "other_brand")
 
 
-def label_comparison(results: DataFrame, table: DataFrame, brands: DataFrame) -> DataFrame:
+def label_comparison(
+    results: DataFrame, table: DataFrame, others: tuple[DataFrame, Size]
+) -> DataFrame:
     """``comparison``: the query has a comparison word, and the words besides it and the brand
     name another brand."""
     rows = with_brand(results, table)
@@ -145,7 +157,7 @@ def label_comparison(results: DataFrame, table: DataFrame, brands: DataFrame) ->
     compared = F.when(
         F.arrays_overlap(_words("normalized_query"), marks), F.array_join(rest, "")
     ).otherwise("")
-    return _names_other_brand(rows, brands, compared, "comparison")
+    return _names_other_brand(rows, others, compared, "comparison")
 
 
 def label_off_topic(results: DataFrame, table: DataFrame) -> DataFrame:
@@ -161,10 +173,11 @@ def rule_labels(
     results: DataFrame, brands: DataFrame, aliases: DataFrame, off_topic: DataFrame
 ) -> DataFrame:
     """Add ``is_valid`` and ``reason`` by the first failing rule; rows that pass all are valid."""
-    table = brand_table(brands, aliases, off_topic)
+    table = stage(brand_table(brands, aliases, off_topic), "brands")
+    others = other_names(brands)
     rows = label_identity(results, table)
-    rows = label_residual_brand(rows, table, brands)
-    rows = label_comparison(rows, table, brands)
+    rows = label_residual_brand(rows, table, others)
+    rows = label_comparison(rows, table, others)
     rows = label_off_topic(rows, table)
     reason = F.coalesce(*[F.when(F.col(flag), F.lit(text)) for flag, text in REASONS])
     return rows.select(

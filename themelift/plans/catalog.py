@@ -13,7 +13,13 @@ from themelift.operators.gram_match import gram_topk, with_gram_text
 from themelift.operators.hard_match import gram_index, hard_match, hard_match_indexed
 from themelift.operators.keywords import dedup_keywords
 from themelift.operators.lexical import lexical_topk
-from themelift.operators.vector_match import MIN_SIM, vector_topk, vector_topk_lsh, vector_verify
+from themelift.operators.vector_match import (
+    MIN_SIM,
+    TOP_K,
+    vector_topk,
+    vector_topk_lsh,
+    vector_verify,
+)
 from themelift.plans import fixtures as fx
 from themelift.plans.pipeline import match_hits, match_themes
 from themelift.sizing import scratch_dir, stage
@@ -86,7 +92,7 @@ def _labelled(spark: SparkSession, sf: str, results: DataFrame) -> DataFrame:
 
 
 def _final(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf, _results(spark, sf))
+    return _labelled(spark, sf, stage(_results(spark, sf), "results"))
 
 
 # Scans, sources, sinks
@@ -311,19 +317,17 @@ def hard_match_indexed_rows(spark, sf):
     return _hit_rows(hard_match_indexed(fx.part_keywords(spark, sf), gram_index(log), log))
 
 
-def _neighbours(spark, sf):
-    return vector_topk(fx.vector_keywords(spark, sf), fx.vector_log(spark, sf))
-
-
 @query("vector_topk")
 def vector_topk_rows(spark, sf):
-    return _neighbours(spark, sf).select("theme", "keyword", "id", "similarity")
+    near = vector_topk(fx.vector_keywords(spark, sf), fx.vector_log(spark, sf))
+    return near.select("theme", "keyword", "id", "similarity")
 
 
 @query("attach_metrics")
 def attach_metrics_rows(spark, sf):
-    hits = _neighbours(spark, sf)
-    out = query_log.attach_metrics(hits, fx.part_log_rows(spark, sf))
+    words = fx.vector_keywords(spark, sf)
+    hits = vector_topk(words, fx.vector_log(spark, sf))
+    out = query_log.attach_metrics(hits, fx.part_log_rows(spark, sf), TOP_K * words.count())
     return out.select("theme", "keyword", "id", "similarity", "normalized_query", "SRPV", "AdClick", "revenue")
 
 
@@ -541,7 +545,8 @@ def concat_runs_rows(spark, sf):
 
 def _brand_rows(spark, sf):
     brands, aliases, off_topic = fx.brand_tables(spark, sf)
-    return fx.brand_queries(spark, sf), verdicts.brand_table(brands, aliases, off_topic), brands
+    table = stage(verdicts.brand_table(brands, aliases, off_topic), "brands")
+    return fx.brand_queries(spark, sf), table, verdicts.other_names(brands)
 
 
 def _flag(rows: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,8 @@ def match_hits(
     log = with_match_text(log)
     hard = hard_match(keywords, log, stats)
     if q_vecs is not None and kw_vecs is not None:
-        candidates = attach_metrics(vector_topk(kw_vecs, q_vecs, k, min_sim), log)
+        near = vector_topk(kw_vecs, q_vecs, k, min_sim)
+        candidates = attach_metrics(near, log, max_hits=k * kw_vecs.count())
     else:
         candidates = gram_topk(keywords, log, k, min_sim)
     return union_hits(hard, vector_verify(candidates, min_sim))

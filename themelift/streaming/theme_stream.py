@@ -36,8 +36,11 @@ def start_theme_stream(
     """
 
     def match(batch: DataFrame, batch_no: int) -> None:
-        results = match_themes(keywords_of(batch), log, stats=stats)
+        # The requests are read several times: for their size, their grams and the match.
+        keywords = keywords_of(batch).persist()
+        results = match_themes(keywords, log, stats=stats)
         results.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_no}")
+        keywords.unpersist()
 
     return (
         read_requests(spark, in_dir, files_per_batch)
