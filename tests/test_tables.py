@@ -26,6 +26,8 @@ def test_csv_with_quotes_and_missing_looking_texts(spark, tmp_path):
     )
     rows = query_log.read_query_log(spark, str(path), "Japan").collect()
     assert [r.normalized_query for r in rows] == ['a "b", c', "NA", "null", f"ナイキ{WIDE}シューズ"]
+    placed = query_log.read_query_log(spark, str(path), "Japan", row_id=True).collect()
+    assert sorted(r.id for r in placed) == [0, 1, 2, 4]
 
 
 def test_multi_line_is_opt_in(spark, tmp_path):

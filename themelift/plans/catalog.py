@@ -121,7 +121,7 @@ def row_id_rows(spark, sf):
     rows.select("normalized_query", "SRPV", "AdClick", "revenue").write.options(
         header=True, escape='"'
     ).csv(path)
-    return query_log.with_row_id(query_log.read_query_log(spark, path, fx.MARKET))
+    return query_log.read_query_log(spark, path, fx.MARKET, row_id=True)
 
 
 @query("materialized_log")

@@ -71,7 +71,10 @@ def lookup_join(
     if size.fits(limit):
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
+    hashed = [
+        F.col(f"`{f.name}`") for f in big.schema.fields if not isinstance(f.dataType, T.MapType)
+    ]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     return big.withColumn("_salt", spread).join(salted, on + ["_salt"], how).drop("_salt")
 
 

@@ -14,18 +14,21 @@ HIT_BYTES = 256
 
 
 def read_query_log(
-    spark: SparkSession, path: str, market: str, multi_line: bool = False
+    spark: SparkSession, path: str, market: str, multi_line: bool = False, row_id: bool = False
 ) -> DataFrame:
     """Scan a query-log CSV with header. Rows without query text are dropped; texts such as
     ``NA`` or ``null`` are data. Files split across tasks unless ``multi_line`` is set, which
-    only logs with line breaks inside quotes need."""
-    return (
+    only logs with line breaks inside quotes need. ``row_id`` adds the row's place in the file,
+    dropped rows counted."""
+    rows = (
         spark.read.schema(QUERY_LOG_CSV)
         .options(header=True, escape='"', nullValue="", multiLine=multi_line, encoding="UTF-8")
         .csv(path)
-        .where(F.length("normalized_query") > 0)
         .withColumn("market", F.lit(market))
     )
+    if row_id:
+        rows = with_row_id(rows)
+    return rows.where(F.length("normalized_query") > 0)
 
 
 def with_row_id(scan: DataFrame) -> DataFrame:
