@@ -218,5 +218,16 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     return lookup_join(prints, stage(named, "components"), ["fp"])
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component: that with the
+    smallest id. Of rows with that same id one stays; rows with a null id stay."""
+    found = stage(near_copies(docs, shingle, radius).select("doc_id", "component_id"), "copies")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    kept = lookup_join(docs, stage(gone, "gone"), ["doc_id"], "left_anti")
+    repeated = lookup_join(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return lookup_join(kept, again, ["doc_id"], "left_anti").unionByName(repeated)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

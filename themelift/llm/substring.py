@@ -288,10 +288,10 @@ def removable_windows(dealt: DataFrame, parts: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, BLOBS)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """id (never null), row_key (a hash of id and text, never null) and text."""
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """id (never null), row_key (a hash of id and text, never null), text and more."""
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(id_.alias("id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return docs.select(id_.alias("id"), F.xxhash64("doc_id", "text").alias("row_key"), "text", *more)
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -306,32 +306,43 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return by_document(removable_windows(window_rows(marked, window, parts), parts))
 
 
-def remove_passages(docs: DataFrame, window: int = WINDOW, keep: Column | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and kept: the text itself where nothing is removed, otherwise the
-    words that stay, joined by one space. Other columns can be carried as one struct, ``keep``."""
-    carried = docs.select("*", (F.lit(None).cast("int") if keep is None else keep).alias("_keep"))
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    rows = carried.select(id_, F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").cast("long"), "_keep")
-    if keep is None:  # the same projection as in removals(), so that one exchange serves both joins
-        rows = keyed(docs)
+def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed and kept: the words that stay, joined by one space."""
+    joined = keyed(docs).join(removals(docs, window), ["id", "row_key"], "left")
+    out = _kept(joined.select("id", "text", "places"), window, ())
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
+
+
+def without_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns: text as it is where nothing is removed, otherwise the
+    words that stay, joined by one space; n_chars, if there is one, counts the new text."""
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)])
+    rows = keyed(docs, row.alias("row"))
     joined = rows.join(removals(docs, window), ["id", "row_key"], "left")
-    carry = ["_keep"] if keep is not None else []
-    kind = carried.schema["_keep"].dataType.simpleString()
+    out = _kept(joined.select("id", "text", "places", "row"), window, ("row",))
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    old = {n: F.col(f"row.c{k}") for k, n in enumerate(names)}
+    return out.select(
+        *[
+            F.when(changed, new[n].cast(docs.schema[n].dataType)).otherwise(c).alias(n) if n in new else c.alias(n)
+            for n, c in old.items()
+        ]
+    )
 
+
+def _kept(joined: DataFrame, window: int, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in groups(batch, 1):
                 words, removed, texts = kept_words(batch.column(2), first, last, data, offsets, window)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
-                    + [batch.column(3).slice(first, last - first) for _ in carry],
-                    ["id", "n_words", "n_removed", "kept", *carry],
-                )
-
-    out = joined.select("id", "text", "places", *carry).mapInArrow(
-        run, "id long, n_words long, n_removed long, kept string" + f", _keep {kind}" * len(carry)
-    )
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept", *carry)
+                own = [batch.column(k).slice(first, last - first) for k in (0, *range(3, 3 + len(carry)))]
+                new = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([own[0], *new, *own[1:]], ["id", "n_words", "n_removed", "kept", *carry])
+
+    kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInArrow(run, "id long, n_words long, n_removed long, kept string" + kinds)
 
 
 def kept_words(places: pa.Array, first: int, last: int, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
