@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themelift.llm.common import held_out
+from themelift.llm.common import held_out, numbered
 from themelift.llm.doc_stats import COUNTS, measured
 from themelift.sizing import lookup_join, stage
 
@@ -173,5 +173,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the threshold."""
-    out = scored(docs, learn(docs, labels, label), tuple(docs.columns))
-    return out.where(F.col("_score") >= threshold).drop("_score")
+    rows, named = numbered(docs)
+    text = F.col(rows.columns[docs.columns.index("text")])
+    out = scored(rows.withColumn("text", text), learn(docs, labels, label), tuple(rows.columns))
+    return out.where(F.col("_score") >= threshold).select(*named)

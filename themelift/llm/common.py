@@ -34,6 +34,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The table with columns named by number, so that columns of any name can be carried along,
+    and the expressions that give them their names back."""
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{n}`").alias(f"_column_{k}") for k, n in enumerate(names)])
+    return rows, [F.col(f"_column_{k}").alias(n) for k, n in enumerate(names)]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and the offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

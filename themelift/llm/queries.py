@@ -11,6 +11,7 @@ from themelift.llm import boosted_trees, quality_rules, toxicity, warc
 from themelift.llm.bpe import token_digests
 from themelift.llm.common import read_table
 from themelift.llm.html_extract import extract
+from themelift.llm.oracle import ORACLE
 from themelift.llm.packing import pack_documents
 from themelift.llm.simhash import hex_digits, near_copies
 from themelift.llm.substring import remove_passages
@@ -89,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -138,12 +138,12 @@ class Tree:
         return new
 
     def join(self, value: int, near: list[int]) -> Iterator[int]:
-        """Values to link with: one of each group among the near nodes; these become one group."""
-        groups = {self.group(n) for n in near}
+        """Values to link with: a near node of each group that has one; the groups become one."""
+        groups = {self.group(n): n for n in near}
         first = min(groups, default=-1)
-        for group in groups:
+        for group, node in groups.items():
             self.parent[group] = first
-            yield self.values[group]
+            yield self.values[node]
 
 
 def shard_masks(count: int, radius: int, mean: int = SHARD_MEAN) -> list[int]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themelift.llm.boosted_trees import labelled
-from themelift.llm.common import Flat, WordNumbers, held_out, mixed, row_groups, text_buffer
+from themelift.llm.common import Flat, WordNumbers, held_out, numbered, row_groups, text_buffer
 from themelift.llm.simhash import lowered
 from themelift.sizing import lookup_join, stage
 
@@ -289,9 +289,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Bro
     return model, fit_curve(x, got["y"].to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str, keep: tuple[str, ...]) -> DataFrame:
+def scored(docs: DataFrame, model: Broadcast, weights: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` and _score, the likelihood of label 1."""
-    model, weights = learn(docs, labels, label)
     margin = sum((F.col(n) * float(w) for n, w in zip(DETAILS, weights, strict=False)), F.lit(float(weights[-1])))
     return described(docs, model, keep).withColumn("_score", 1 / (1 + F.exp(-margin))).drop(*DETAILS)
 
@@ -299,11 +298,13 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, keep: tuple[str, ...]
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = scored(rows, labels, label, ("doc_id",)).withColumnRenamed("_score", "score")
+    out = scored(rows, *learn(rows, labels, label), ("doc_id",)).withColumnRenamed("_score", "score")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score stays under the threshold."""
-    out = scored(docs, labels, label, tuple(docs.columns))
-    return out.where(F.col("_score") < threshold).drop("_score")
+    rows, named = numbered(docs)
+    text = F.col(rows.columns[docs.columns.index("text")])
+    out = scored(rows.withColumn("text", text), *learn(docs, labels, label), tuple(rows.columns))
+    return out.where(F.col("_score") < threshold).select(*named)
