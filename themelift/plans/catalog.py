@@ -394,14 +394,14 @@ def job_detail_rows(spark, sf):
 
 def _request_rows(spark, sf):
     rows = fx.table(spark, sf, "customer")
-    segment = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("  "), F.lower("c_mktsegment"))).otherwise(
-        F.col("c_mktsegment")
-    )
-    market = F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))
-    asked = rows.select("c_custkey", segment.alias("theme"), market.alias("market"))
-    rich = rows.where(F.col("c_acctbal") > 9900)
-    done = rich.select(
-        F.col("c_mktsegment").alias("theme"),
+    group = F.floor(F.col("c_custkey") / 8).cast("string")
+    name = F.concat_ws(" ", "c_mktsegment", group)
+    asked_as = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("  "), F.lower(name))).otherwise(name)
+    market = F.concat(F.lit("NATION_"), (F.col("c_nationkey") % 5).cast("string"))
+    asked = rows.select("c_custkey", asked_as.alias("theme"), market.alias("market"))
+    # Customers of odd keys have an answer already.
+    done = rows.where(F.col("c_custkey") % 2 == 1).select(
+        name.alias("theme"),
         market.alias("market"),
         F.col("c_name").alias("answer"),
         F.col("c_custkey").alias("answered_at"),

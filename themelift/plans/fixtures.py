@@ -5,13 +5,13 @@ Each function reads whole tables below ``sf`` and gives one of the library's inp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themelift.functions.ids import job_id
+from themelift.operators.positions import with_position
 
 MARKET = "Australia"
-WORD_BREAK = "[^a-zà-öø-ÿ]+"
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -109,23 +109,25 @@ def _noun():
 
 
 def part_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """Theme = noun of the part name at its first part, keywords = its names by length and text."""
+    """Theme = noun of the part name at its first part, keywords = its names by length and text.
+    Every noun also has a keyword that no text holds, and every region is a theme without any."""
     named = table(spark, sf, "part").select(_noun().alias("theme"), "p_name", "p_partkey")
     themes = named.groupBy("theme").agg(F.min("p_partkey").alias("theme_pos"))
     names = named.select("theme", F.col("p_name").alias("keyword")).distinct()
-    by_length = Window.partitionBy("theme").orderBy(F.length("keyword"), "keyword")
-    return names.join(themes, "theme").select(
-        "theme_pos",
-        "theme",
-        F.lit(MARKET).alias("market"),
-        (F.row_number().over(by_length) - 1).cast("bigint").alias("kw_pos"),
-        "keyword",
+    idle = themes.select("theme", F.concat(F.lit("zzz "), "theme").alias("keyword"))
+    rows = names.unionByName(idle).join(themes, "theme")
+    regions = table(spark, sf, "region").select(
+        F.lower("r_name").alias("theme"),
+        F.lower("r_name").alias("keyword"),
+        (-1 - F.col("r_regionkey").cast("bigint")).alias("theme_pos"),
     )
+    placed = with_position(rows.unionByName(regions), ["theme"], [F.length("keyword"), F.col("keyword")], "kw_pos")
+    return placed.select("theme_pos", "theme", F.lit(MARKET).alias("market"), "kw_pos", "keyword")
 
 
 def pair_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Query log of adjacent lower-case word pairs of the documents' texts. The id of a pair is
-    the place of its first occurrence."""
+    """Query log of adjacent lower-case word pairs of the documents' texts. Ids number the pairs
+    in the order of their first occurrence, by document and place."""
     docs = _documents(spark, sf)
     words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: F.length(w) > 0)
     n = F.size("words") - 1
@@ -141,39 +143,28 @@ def pair_log(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("normalized_query", "doc_id")
         .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     )
-    return (
-        per_doc.groupBy("normalized_query")
-        .agg(
-            F.min(F.col("doc_id") * 1_000_000 + F.col("place")).alias("id"),
-            F.sum("n").alias("SRPV"),
-            F.count(F.lit(1)).alias("AdClick"),
-        )
-        .select(
-            "id",
-            "normalized_query",
-            "SRPV",
-            "AdClick",
-            F.lit(0.0).alias("revenue"),
-            F.lit(MARKET).alias("market"),
-        )
+    rows = per_doc.groupBy("normalized_query").agg(
+        F.min(F.struct("doc_id", "place")).alias("first"),
+        F.sum("n").alias("SRPV"),
+        F.count(F.lit(1)).alias("AdClick"),
+    )
+    rows = rows.select("normalized_query", "SRPV", "AdClick", "first", F.lit(MARKET).alias("market"))
+    return with_position(rows, ["market"], [F.col("first")], "id").select(
+        "id", "normalized_query", "SRPV", "AdClick", F.lit(0.0).alias("revenue"), "market"
     )
 
 
 def pair_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """Keywords for the pair log: per document source, the words that occur in most documents."""
+    """Keywords for the pair log: per document source, one word of every length that occurs, the
+    last one in text order."""
     docs = _documents(spark, sf)
     words = F.array_distinct(
-        F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: F.length(w) >= 6)
+        F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: F.length(w) > 0)
     )
-    counted = (
-        docs.select("source", F.explode(words).alias("keyword"))
-        .groupBy("source", "keyword")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    frequent = Window.partitionBy("source").orderBy(F.col("n").desc(), "keyword")
     return (
-        counted.withColumn("kw_pos", (F.row_number().over(frequent) - 1).cast("bigint"))
-        .where(F.col("kw_pos") < 15)
+        docs.select("source", F.explode(words).alias("keyword"))
+        .groupBy("source", F.length("keyword").cast("bigint").alias("kw_pos"))
+        .agg(F.max("keyword").alias("keyword"))
         .select(
             F.substring("source", 4, 10).cast("bigint").alias("theme_pos"),
             F.col("source").alias("theme"),
@@ -239,11 +230,12 @@ def customer_external(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def brand_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Brands (nouns), aliases (plural) and unrelated concepts (first and last adjective)."""
+    """Brands (nouns), aliases (plural) and unrelated concepts (adjectives of an even length)."""
     named = table(spark, sf, "part").select(
         _noun().alias("brand"), F.element_at(F.split("p_name", " "), 1).alias("adjective")
     )
-    brands = named.groupBy("brand").agg(F.min("adjective").alias("first"), F.max("adjective").alias("last"))
+    brands = named.select("brand").distinct()
+    unrelated = named.where(F.length("adjective") % 2 == 0).select("brand", F.col("adjective").alias("term")).distinct()
     parents = F.when(F.col("brand") == "widget", F.lit("gizmo"))
     return (
         brands.select(
@@ -252,7 +244,7 @@ def brand_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
             F.col("brand").isin("ring", "plate").alias("is_common_word"),
         ),
         brands.select("brand", F.concat(F.col("brand"), F.lit("s")).alias("alias")),
-        brands.select("brand", F.explode(F.array("first", "last")).alias("term")),
+        unrelated,
     )
 
 
@@ -284,9 +276,10 @@ def brand_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Jobs (user and day), theme tasks (event type within a job) and batches (events)."""
+    """Jobs, theme tasks (event type within a job) and batches (events). A job is a user and a day;
+    its key is that pair, whole, so that no two jobs share one."""
     events = table(spark, sf, "events").select(
-        job_id(F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("job_id"),
+        F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("job_id"),
         "event_id",
         "event_type",
         "ts",
@@ -350,10 +343,10 @@ def expansion_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """User turns as requests with one query each (the turn's first 6 words), and the assistant
-    turns that follow them as replies."""
+    """User turns as requests with one query each (the whole turn), and the assistant turns that
+    follow them as replies."""
     turns = table(spark, sf, "conversations")
-    query = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    query = F.col("text")
     requests = turns.where(F.col("role") == "user").select(
         F.col("conv_id").alias("theme_pos"),
         F.col("turn").alias("batch_index"),

@@ -13,8 +13,8 @@ LOWER = UPPER.lower()
 
 # The accented letters of the documents and one ASCII stand-in for each, because the
 # SQL engine's edit distance counts bytes.
-ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-STAND_INS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ01234"
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
+STAND_INS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*"
 
 
 def fold(c: str) -> str:
@@ -93,10 +93,12 @@ cte(
 )
 cte(
     "kw",
-    f"""SELECT t.theme_pos, n.theme, '{MARKET}' AS market,
- row_number() OVER (PARTITION BY n.theme ORDER BY length(n.keyword), n.keyword) - 1 AS kw_pos, n.keyword
- FROM (SELECT DISTINCT theme, p_name AS keyword FROM named) n
- JOIN (SELECT theme, min(p_partkey) AS theme_pos FROM named GROUP BY theme) t ON n.theme = t.theme""",
+    f"""SELECT theme_pos, theme, '{MARKET}' AS market,
+ row_number() OVER (PARTITION BY theme ORDER BY length(keyword), keyword) - 1 AS kw_pos, keyword
+ FROM (SELECT t.theme_pos, n.theme, n.keyword FROM (SELECT DISTINCT theme, p_name AS keyword FROM named
+   UNION ALL SELECT DISTINCT theme, 'zzz ' || theme FROM named) n
+  JOIN (SELECT theme, min(p_partkey) AS theme_pos FROM named GROUP BY theme) t ON n.theme = t.theme
+  UNION ALL SELECT -1 - r_regionkey, lower(r_name), lower(r_name) FROM region)""",
     "named",
 )
 cte(
@@ -106,20 +108,20 @@ cte(
 )
 cte(
     "pair_log",
-    f"""SELECT min(doc_id * 1000000 + i - 1) AS id, q AS normalized_query, count(*) AS "SRPV",
- count(DISTINCT doc_id) AS "AdClick", CAST(0 AS DOUBLE) AS revenue, '{MARKET}' AS market
- FROM (SELECT doc_id, i, words[i] || ' ' || words[i + 1] AS q FROM pair_words, unnest(range(1, len(words))) u(i))
- GROUP BY q""",
+    f"""SELECT row_number() OVER (ORDER BY first_place) - 1 AS id, normalized_query, "SRPV", "AdClick",
+ CAST(0 AS DOUBLE) AS revenue, '{MARKET}' AS market
+ FROM (SELECT min({{'doc': doc_id, 'place': i}}) AS first_place, q AS normalized_query, count(*) AS "SRPV",
+  count(DISTINCT doc_id) AS "AdClick"
+  FROM (SELECT doc_id, i, words[i] || ' ' || words[i + 1] AS q FROM pair_words, unnest(range(1, len(words))) u(i))
+  GROUP BY q)""",
     "pair_words",
 )
 cte(
     "pair_kw",
-    f"""SELECT CAST(substring(source, 4) AS BIGINT) AS theme_pos, source AS theme, '{MARKET}' AS market, kw_pos, keyword
- FROM (SELECT source, keyword, row_number() OVER (PARTITION BY source ORDER BY n DESC, keyword) - 1 AS kw_pos
-  FROM (SELECT source, keyword, count(*) AS n
-   FROM (SELECT d.source, d.doc_id, unnest(list_distinct(list_filter(p.words, lambda w: length(w) >= 6))) AS keyword
-    FROM documents d JOIN pair_words p ON d.doc_id = p.doc_id) GROUP BY source, keyword))
- WHERE kw_pos < 15""",
+    f"""SELECT CAST(substring(source, 4) AS BIGINT) AS theme_pos, source AS theme, '{MARKET}' AS market,
+ length(word) AS kw_pos, max(word) AS keyword
+ FROM (SELECT d.source, unnest(list_distinct(p.words)) AS word FROM documents d JOIN pair_words p ON d.doc_id = p.doc_id)
+ GROUP BY source, length(word)""",
     "pair_words",
 )
 
@@ -196,7 +198,7 @@ def matching(log: str, kw: str, prefix: str) -> None:
 matching("log", "kw", "")
 matching("pair_log", "pair_kw", "pair_")
 
-cte("brands", "SELECT theme AS brand, CASE WHEN theme = 'widget' THEN 'gizmo' END AS parent, theme IN ('ring', 'plate') AS common, [min(adjective), max(adjective)] AS terms FROM named GROUP BY theme", "named")
+cte("brands", "SELECT theme AS brand, CASE WHEN theme = 'widget' THEN 'gizmo' END AS parent, theme IN ('ring', 'plate') AS common, coalesce(list(DISTINCT adjective) FILTER (WHERE length(adjective) % 2 = 0), []) AS terms FROM named GROUP BY theme", "named")
 cte(
     "brand_queries",
     f"""SELECT theme_pos, theme, CASE c WHEN 0 THEN adjective || ' ' || theme WHEN 1 THEN theme || ' vs ' || other
@@ -243,7 +245,7 @@ RANK = """row_number() OVER (PARTITION BY theme_pos ORDER BY "Score" DESC, "Rele
 cte("ranked", f"SELECT *, {RANK} AS rank_pos, ({RANK}) // 25 AS batch_index FROM final", "final")
 cte(
     "events_in_jobs",
-    """SELECT substring(sha256(CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d')), 1, 8) AS job_id, * FROM events""",
+    """SELECT CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d') AS job_id, * FROM events""",
 )
 cte(
     "tasks",
@@ -302,12 +304,12 @@ cte(
 )
 cte(
     "asked",
-    """SELECT c_custkey, 'NATION_' || c_nationkey AS market, lower(c_mktsegment) AS request_key FROM customer""",
+    """SELECT c_custkey, 'NATION_' || c_nationkey % 5 AS market, lower(c_mktsegment) || ' ' || c_custkey // 8 AS request_key FROM customer""",
 )
 cte(
     "answered",
-    """SELECT 'NATION_' || c_nationkey AS market, lower(c_mktsegment) AS request_key, arg_max(c_name, c_custkey) AS answer
- FROM customer WHERE c_acctbal > 9900 GROUP BY ALL""",
+    """SELECT 'NATION_' || c_nationkey % 5 AS market, lower(c_mktsegment) || ' ' || c_custkey // 8 AS request_key, arg_max(c_name, c_custkey) AS answer
+ FROM customer WHERE c_custkey % 2 = 1 GROUP BY ALL""",
 )
 
 
@@ -580,7 +582,7 @@ ORACLE: dict[str, str] = {
         'SELECT theme_pos, normalized_query, "AI_Valid" AS is_valid, "AI_Reason" AS reason FROM final', "final"
     ),
     "verdict_defaults": f"""SELECT u.conv_id AS theme_pos, u.turn AS batch_index,
- array_to_string(string_split(u.text, ' ')[1:6], ' ') AS normalized_query,
+ u.text AS normalized_query,
  NOT (a.turn IS NOT NULL AND u.conv_id % 5 = 0) AS is_valid,
  CASE WHEN a.turn IS NULL THEN '{API_REASON}' WHEN u.conv_id % 5 = 0 THEN 'off brand'
  WHEN u.conv_id % 5 = 1 THEN '{EMPTY_REASON.format('length')}' WHEN u.conv_id % 5 = 2 THEN '{PARSE_REASON}'

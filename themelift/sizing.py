@@ -6,10 +6,8 @@ caller has a shuffle form for the case that the measurement is above the limit.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +15,8 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
+# Rows of one key that are too many for one task.
+HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -60,43 +60,54 @@ def lookup_join(
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
     size: Size | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join whose left side may have one key on a third of its rows.
 
-    The right side is broadcast when it measures below ``limit``. Beyond that the right side is
-    copied once per salt and the left side is spread over the salts, so that a hot key is shared
-    by ``salts`` tasks. ``how`` is one of inner, left, left_semi, left_anti.
+    The right side is broadcast when it measures below ``limit``. Beyond that the keys of the left
+    side are counted. Rows of keys with over ``hot_rows`` rows are spread over salts and only the
+    right side's rows of those keys, which are few, are copied once per salt; all other rows are
+    joined as they are. ``how`` is one of inner, left, left_semi, left_anti.
     """
     size = size or measure(small)
     if size.fits(limit):
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    # Not more than one row for every ``hot_rows`` rows of the left side.
+    hot = stage(counts.where((F.col("_n") > hot_rows) & _whole(on)).select(*on, F.lit(True).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return big.join(small, on, how)
     hashed = [
         F.col(f"`{f.name}`") for f in big.schema.fields if not isinstance(f.dataType, T.MapType)
     ]
     spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
-    return big.withColumn("_salt", spread).join(salted, on + ["_salt"], how).drop("_salt")
+    salt = F.when(F.col("_hot"), spread).otherwise(0)
+    spread_big = big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return spread_big.join(copied, on + ["_salt"], how).drop("_salt")
+
+
+def _whole(on: list[str]) -> Column:
+    """Keys that can match at all."""
+    test = F.lit(True)
+    for c in on:
+        test = test & F.col(f"`{c}`").isNotNull()
+    return test
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the shared checkpoint folder of the session.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder is
-    used only when that is unset, as in tests on one machine.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``, and where that is unset a
+    folder below the session's warehouse, which executors share as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _single_machine_scratch()
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@lru_cache(maxsize=1)
-def _single_machine_scratch() -> str:
-    return tempfile.mkdtemp(prefix="themelift-")
-
-
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back: a cut in the lineage that survives
     the loss of executors, and a scan that later jobs can repeat cheaply."""
