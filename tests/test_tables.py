@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themelift.operators import history, inference, verdicts
-from themelift.operators.positions import list_parts, topk_per, with_position
+from themelift.operators.positions import topk_per, with_position
 from themelift.sizing import lookup_join, measure, stage
 from themelift.sources import query_log, sinks, themes
 from themelift.sources.markets import language_plan, markets, resolve_market
@@ -95,11 +95,17 @@ def test_external_log(spark):
         [(1, "au", "q", 5, "pc"), (2, "jp", "r", 6, "pc")],
         "Id long, TargetMarket string, Query string, Srpv long, DeviceType string",
     )
-    rows = query_log.adapt_external(query_log.market_slice(ext, "jp")).collect()
-    assert [(r.normalized_query, r.SRPV, r.AdClick, r.revenue) for r in rows] == [("r", 6, 0, 0.0)]
+    dim = spark.createDataFrame(
+        [("Australia", "au", None), ("Japan", "jp", "log_jp")], "market string, code string, dedicated_table string"
+    )
+    rows = query_log.adapt_external(query_log.market_slice(ext, "jp"), dim).collect()
+    assert [(r.id, r.normalized_query, r.SRPV, r.AdClick, r.revenue, r.market) for r in rows] == [(2, "r", 6, 0, 0.0, "Japan")]
+    own = spark.createDataFrame([(7, "jp", "s", 1, "pc")], ext.schema)
+    log = query_log.external_log(ext, {"log_jp": own}, dim)
+    assert sorted((r.id, r.market) for r in log.collect()) == [(1, "Australia"), (7, "Japan")]
     assert query_log.market_slice(ext, None, dedicated=True).count() == 2
     both = query_log.append_logs(
-        query_log.adapt_external(ext), spark.createDataFrame([("s", 1)], "normalized_query string, id long")
+        query_log.adapt_external(ext, dim), spark.createDataFrame([("s", 1)], "normalized_query string, id long")
     )
     assert both.count() == 3
 
@@ -152,20 +158,13 @@ def test_topk_above_the_limited_rank(spark):
     assert sorted(r.v for r in got.collect()) == list(range(3800, 5000))
 
 
-def test_list_parts_keep_everything(spark):
-    df = spark.range(95).select(F.lit("g").alias("g"), F.col("id").alias("pos"))
-    parts = list_parts(df, ["g"], "pos", {"items": (F.lit(True), F.col("pos"))}, 10)
-    rows = sorted((r.part, r["items"]) for r in parts.collect())
-    assert [len(i) for _, i in rows] == [10] * 9 + [5]
-    assert sum((i for _, i in rows), []) == list(range(95))
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_lookup_join_with_a_hot_key(spark, how, limit):
+@pytest.mark.parametrize("limit, hot_rows", [(1 << 20, 1), (0, 50), (0, 1000)])
+def test_lookup_join_with_a_hot_key(spark, how, limit, hot_rows):
     big = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     small = spark.createDataFrame([(7, "x"), (8, "y"), (999, "z")], "k long, v string")
-    got = lookup_join(big, small, ["k"], how, limit=limit, salts=4)
+    big = big.union(spark.createDataFrame([(900, None)], "id long, k long"))
+    got = lookup_join(big, small, ["k"], how, limit=limit, salts=4, hot_rows=hot_rows)
     want = big.join(small, ["k"], how)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
@@ -337,26 +336,41 @@ def test_keyword_guard(spark, brand_dims):
 # History
 
 
-def test_theme_lists_in_parts(spark):
+def test_theme_lists(spark):
     final = _results(spark, 60).withColumn("AI_Valid", F.col("SRPV") % 2 == 0)
     kw = spark.createDataFrame(
         [(0, "nike", "India", p, f"k{p}") for p in range(3)],
         "theme_pos long, theme string, market string, kw_pos long, keyword string",
     )
-    whole = history.theme_task_rows(kw, final).first()
-    assert whole.expanded_keywords == ["k0", "k1", "k2"]
-    assert whole.matched_queries == [f"q{i:03d}" for i in range(60)]
-    assert whole.final_queries == [f"q{i:03d}" for i in range(0, 60, 2)]
-    parts = history.theme_task_rows(kw, final, part_size=25).orderBy("part").collect()
-    assert [len(r.matched_queries) for r in parts] == [25, 25, 10]
-    shown = history.preview(history.theme_task_rows(kw, final), "matched_queries", 50).first()
-    assert len(shown.preview) == 50 and shown.n_more == 10
+    items = history.theme_task_items(kw, final)
+    rows = {(r.list, r.pos): (r.item, r.valid) for r in items.collect()}
+    assert rows == {("keyword", p): (f"k{p}", None) for p in range(3)} | {
+        ("query", i): (f"q{i:03d}", i % 2 == 0) for i in range(60)
+    }
+    shown = history.preview(items).first()
+    assert shown.preview == [f"q{i:03d}" for i in range(50)] and shown.n_more == 10
+
+
+def test_preview_of_a_long_list(spark):
+    queries = spark.range(25_000).selectExpr(
+        "0L as theme_pos", "'nike' as theme", "'India' as market", "'query' as list", "id as pos",
+        "concat('q', id) as item", "if(id < 0, null, true) as valid",
+    )
+    words = spark.createDataFrame([(1, "adidas", "India", "keyword", 0, "k", None)], queries.schema)
+    shown = {r.theme: r for r in history.preview(queries.unionByName(words)).collect()}
+    assert shown["nike"].preview == [f"q{i}" for i in range(50)] and shown["nike"].n_more == 24_950
+    assert shown["adidas"].preview == [] and shown["adidas"].n_more == 0
 
 
 def test_counts_and_status(spark):
     final = _results(spark, 4).withColumn("AI_Valid", F.col("SRPV") == 100)
-    row = history.theme_counts(final).first()
+    words = final.select("theme_pos", "theme", "market").unionByName(
+        spark.createDataFrame([(9, "idle", "India")], "theme_pos long, theme string, market string")
+    )
+    rows = {r.theme: r for r in history.theme_counts(final, words).collect()}
+    row = rows.pop(final.first().theme)
     assert (row.match_count, row.valid_count, row.invalid_count) == (4, 1, 3)
+    assert [(r.theme, r.match_count, r.valid_count, r.invalid_count) for r in rows.values()] == [("idle", 0, 0, 0)]
     tasks = spark.createDataFrame([("j", "done"), ("j", "error"), ("k", "done")], "job_id string, status string")
     assert {(r.job_id, r.status) for r in history.job_status(tasks).collect()} == {("j", "error"), ("k", "done")}
 

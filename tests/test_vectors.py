@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from themelift.operators.vector_match import vector_topk, vector_topk_lsh, vector_verify
+from themelift.operators.vector_match import lsh_pairs, vector_topk, vector_topk_lsh, vector_verify
 from themelift.plans.pipeline import match_hits
 from themelift.sources.query_log import attach_metrics
 from themelift.sources.vectors import build_vectors, encode
@@ -69,11 +69,26 @@ def test_empty_keywords(spark, tables):
 def test_lsh_recall(spark, tables):
     kw, q, *_ = tables
     exact = vector_topk(kw, q, 10, 0.7).select("kw_pos", "id")
-    near = vector_topk_lsh(kw, q, 10, 0.7, bucket_length=2.0).select("kw_pos", "id")
+    near = vector_topk_lsh(kw, q, 10, 0.7, bits=6).select("kw_pos", "id")
     found = exact.join(near, ["kw_pos", "id"]).count()
     assert found / exact.count() > 0.9
 
 
+def test_lsh_compares_few_pairs(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(200, 64))
+    rows = np.repeat(centers, 10, axis=0) + rng.normal(size=(2000, 64)) * 0.4
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    q = spark.createDataFrame([("B", i, v.tolist()) for i, v in enumerate(rows)], "market string, id long, vec array<float>")
+    kw = spark.createDataFrame([(i, f"t{i}", "B", 0, f"k{i}", rows[10 * i].tolist()) for i in range(100)], KW)
+    pairs = lsh_pairs(kw, q, 0.8, 12).select("theme_pos", "id")
+    assert pairs.count() == pairs.distinct().count() <= 0.1 * 100 * 2000
+    exact = vector_topk(kw, q, 100, 0.8).select("theme_pos", "id", "similarity")
+    near = vector_topk_lsh(kw, q, 100, 0.8).select("theme_pos", "id", "similarity")
+    both = exact.join(near, ["theme_pos", "id", "similarity"]).count()
+    assert both == near.count() and both >= 0.95 * exact.count() > 500
+
+
 def test_attach_drops_unknown_ids(spark, tables):
     kw, q, *_ = tables
     log = spark.createDataFrame(

@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 
 from themelift.functions.grams import GRAM, explode_grams, gram_list, padded
 from themelift.functions.vectors import DIGITS
-from themelift.operators.keywords import gram_counts, prepare_keywords, profile_keywords
+from themelift.operators.keywords import gram_counts, prepare_keywords
 from themelift.operators.positions import topk_per
 from themelift.schemas import KEYWORD_KEY, METRICS
-from themelift.sizing import BROADCAST_BYTES, SALTS, lookup_join
+from themelift.sizing import BROADCAST_BYTES, SALTS, lookup_join, measure, stage
 
 TOP_K = 100
 # Grams per keyword whose absence is tested before the exact comparison.
 RARE = 4
 # Width of a size class of query norms.
 CLASS_RATIO = 1.25
-# Memory of a keyword's probes relative to its row in the keyword table.
-PROBE_FACTOR = 64
 SLACK = 1e-8
 
 
@@ -168,24 +166,27 @@ def gram_topk(
     min_sim: float = 0.0,
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` log rows nearest to each keyword by gram cosine, exact; ties go to the lower id.
 
     Without a floor every query that shares a gram is compared. With ``min_sim`` the join is on
     the probe grams and the size classes that can reach it, which leaves out the grams and the
     lengths that most of the log shares. A candidate is compared once: at the first place of the
-    first probe gram that its query holds.
+    first probe gram that its query holds. The k best are taken per distinct keyword text; only
+    then they are handed to every theme that uses the text. ``counts`` are stored gram counts of
+    the log (see ``query_gram_stats``).
     """
     kw = prepare_keywords(keywords)
-    profile = profile_keywords(kw, "kw_clean")
-    size, limit = profile.size, limit // PROBE_FACTOR
     vectors = _keyword_vectors(kw)
     text = with_gram_text(log).select(
         "market", "id", "normalized_query", *METRICS, "q_text", "q_norm", "q_top"
     )
-    wanted = vectors.select("market", "gram").distinct()
-    counts = gram_counts(text, "q_text", (GRAM,), wanted, size.fits(limit))
-    ranked = _ranked(vectors, counts)
+    if counts is None:
+        wanted = stage(vectors.select("market", "gram").distinct(), "wanted-grams")
+        counts = gram_counts(text, "q_text", (GRAM,), wanted, measure(wanted).fits(limit))
+    # Read several times below, and measured before it is broadcast or shuffled.
+    ranked = stage(_ranked(vectors, counts), "keyword-grams")
     probes = _probes(ranked, min_sim)
     key = ["market", "gram"]
     slim = probes.select(
@@ -204,12 +205,12 @@ def gram_topk(
         key.append("q_class")
     grams = explode_grams(text, "q_text")
     pairs = (
-        lookup_join(grams, slim, key, limit=limit, salts=salts, size=size)
+        lookup_join(grams, slim, key, limit=limit, salts=salts)
         .where(F.position(F.col("gram"), F.col("q_text")) == F.col("at"))
         .where(_possible(min_sim))
     )
     whole = ranked.select("market", "kw_clean", "weights").dropDuplicates(["market", "kw_clean"])
-    compared = lookup_join(pairs, whole, ["market", "kw_clean"], limit=limit, salts=salts, size=size)
+    compared = lookup_join(pairs, whole, ["market", "kw_clean"], limit=limit, salts=salts)
     earlier = F.slice("weights", F.lit(1), F.col("probe_no") - 1)
     near = (
         compared.where(~F.exists(earlier, lambda w: F.contains(F.col("q_text"), w["gram"])))
@@ -219,8 +220,12 @@ def gram_topk(
         .where(F.col("similarity") >= min_sim)
         .select("market", "kw_clean", "id", "normalized_query", *METRICS, "similarity")
     )
-    # Texts are compared once; only then they are handed to every theme that uses them.
+    best = topk_per(near, ["market", "kw_clean"], [F.col("similarity").desc(), F.col("id")], k)
     themed = kw.select(*KEYWORD_KEY, "kw_clean")
-    scored = lookup_join(near, themed, ["market", "kw_clean"], limit=limit, salts=salts, size=size)
-    scored = scored.select(*KEYWORD_KEY, "id", "normalized_query", *METRICS, "similarity")
-    return topk_per(scored, KEYWORD_KEY, [F.col("similarity").desc(), F.col("id")], k)
+    scored = lookup_join(best, themed, ["market", "kw_clean"], limit=limit, salts=salts)
+    return scored.select(*KEYWORD_KEY, "id", "normalized_query", *METRICS, "similarity")
+
+
+def query_gram_stats(log: DataFrame) -> DataFrame:
+    """(market, gram, n) of a log's padded texts, to be stored with the log."""
+    return gram_counts(with_gram_text(log), "q_text", (GRAM,), None, False)

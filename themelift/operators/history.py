@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themelift.functions.ids import batch_id, theme_id
 from themelift.operators.merge import result_order
-from themelift.operators.positions import list_parts, with_position
-from themelift.schemas import THEME_KEY
+from themelift.operators.positions import topk_per, with_position
+from themelift.schemas import THEME_KEY, VERDICT
 from themelift.sizing import lookup_join
 
-PART_SIZE = 10_000
+PREVIEW = 50
 
 
-def theme_counts(final: DataFrame) -> DataFrame:
-    """Matched, valid and invalid rows per theme; invalid is everything not valid."""
+def themes_of(keywords: DataFrame) -> DataFrame:
+    """The themes of a keyword table."""
+    return keywords.select(*THEME_KEY).distinct()
+
+
+def _for_all(themes: DataFrame, counted: DataFrame, key: list[str], zeros: list[str]) -> DataFrame:
+    """A row for every theme; what has no row in ``counted`` counts 0."""
+    return themes.join(counted, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
+
+
+def theme_counts(final: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Matched, valid and invalid rows of every theme that has keywords; invalid is everything not
+    valid."""
     valid = F.count_if(F.col("AI_Valid")).cast("bigint")
-    return final.groupBy(*THEME_KEY).agg(
+    counted = final.groupBy(*THEME_KEY).agg(
         F.count(F.lit(1)).alias("match_count"),
         valid.alias("valid_count"),
         (F.count(F.lit(1)) - valid).alias("invalid_count"),
     )
+    return _for_all(themes_of(keywords), counted, THEME_KEY, ["match_count", "valid_count", "invalid_count"])
 
 
 def batch_counts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,20 +52,24 @@ def job_status(tasks: DataFrame) -> DataFrame:
     )
 
 
-def theme_rollup(final: DataFrame) -> DataFrame:
-    """Page views, clicks and revenue of each theme, over all rows and over the valid ones."""
+def theme_rollup(final: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Page views, clicks and revenue of every theme that has keywords, over all rows and over the
+    valid ones."""
 
     def over_valid(c: str) -> Column:
         return F.when(F.col("AI_Valid"), F.col(c)).otherwise(F.lit(0))
 
-    return final.groupBy("theme_pos", F.col("theme").alias("SearchTheme"), "market").agg(
-        F.sum("SRPV").alias("SRPV"),
-        F.sum("AdClick").alias("AdClick"),
-        F.round(F.sum("revenue"), 2).alias("revenue"),
-        F.sum(over_valid("SRPV")).alias("valid_SRPV"),
-        F.sum(over_valid("AdClick")).alias("valid_AdClick"),
-        F.round(F.sum(over_valid("revenue")), 2).alias("valid_revenue"),
-    )
+    sums = {
+        "SRPV": F.sum("SRPV"),
+        "AdClick": F.sum("AdClick"),
+        "revenue": F.round(F.sum("revenue"), 2),
+        "valid_SRPV": F.sum(over_valid("SRPV")),
+        "valid_AdClick": F.sum(over_valid("AdClick")),
+        "valid_revenue": F.round(F.sum(over_valid("revenue")), 2),
+    }
+    counted = final.groupBy(*THEME_KEY).agg(*[c.alias(n) for n, c in sums.items()])
+    rows = _for_all(themes_of(keywords), counted, THEME_KEY, list(sums))
+    return rows.select("theme_pos", F.col("theme").alias("SearchTheme"), "market", *sums)
 
 
 def timing_summary(metrics: DataFrame) -> DataFrame:
@@ -64,33 +81,54 @@ def timing_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
-def theme_task_rows(keywords: DataFrame, final: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Ordered list columns of each theme task: expanded keywords, matched and validated queries.
-
-    Lists are cut into parts of ``part_size``; a theme with shorter lists has one row, ``part`` 0.
-    """
+def theme_task_items(keywords: DataFrame, final: DataFrame) -> DataFrame:
+    """The lists of every theme task, one row per item with its position: ``list`` is keyword or
+    query; ``valid`` tells which queries are also validated ones."""
     words = keywords.select(
         *THEME_KEY,
         F.lit("keyword").alias("list"),
         F.col("kw_pos").cast("bigint").alias("pos"),
         F.col("keyword").alias("item"),
-        F.lit(None).cast("boolean").alias("AI_Valid"),
+        F.lit(None).cast("boolean").alias("valid"),
     )
     matched = with_position(final, THEME_KEY, result_order(), "pos").select(
-        *THEME_KEY, F.lit("query").alias("list"), "pos", F.col("normalized_query").alias("item"), "AI_Valid"
+        *THEME_KEY, F.lit("query").alias("list"), "pos", F.col("normalized_query").alias("item"), F.col("AI_Valid").alias("valid")
+    )
+    return words.unionByName(matched)
+
+
+def run_tasks(job: str, keywords: DataFrame, final: DataFrame) -> DataFrame:
+    """Theme task rows of a finished run, themes without matches included."""
+    words = keywords.groupBy(*THEME_KEY).agg(F.count(F.lit(1)).alias("n_keywords"))
+    rows = words.join(theme_counts(final, keywords), THEME_KEY)
+    return rows.select(
+        F.lit(job).alias("job_id"),
+        theme_id(F.lit(job), F.col("theme_pos")).alias("theme_id"),
+        *THEME_KEY,
+        F.lit("done").alias("status"),
+        "n_keywords",
+        "match_count",
+        "valid_count",
+        "invalid_count",
+    )
+
+
+def run_batches(job: str, requests: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Validation batch rows of a run: the queries of each request, at most a batch of them, and
+    the verdicts of its reply as a map. ``verdicts``: theme_pos, batch_index, normalized_query,
+    is_valid, reason."""
+    entry = F.struct("normalized_query", F.struct(*[F.col(f.name) for f in VERDICT.fields]).alias("verdict"))
+    results = verdicts.groupBy("theme_pos", "batch_index").agg(F.map_from_entries(F.collect_list(entry)).alias("results"))
+    task = theme_id(F.lit(job), F.col("theme_pos"))
+    return requests.join(results, ["theme_pos", "batch_index"], "left").select(
+        F.lit(job).alias("job_id"),
+        task.alias("theme_id"),
+        batch_id(task, F.col("batch_index")).alias("batch_id"),
+        "batch_index",
+        "queries",
+        "results",
+        F.when(F.col("results").isNull(), "error").otherwise("done").alias("status"),
     )
-    is_query = F.col("list") == "query"
-    return list_parts(
-        words.unionByName(matched),
-        THEME_KEY,
-        "pos",
-        {
-            "expanded_keywords": (F.col("list") == "keyword", F.col("item")),
-            "matched_queries": (is_query, F.col("item")),
-            "validated_queries": (is_query & F.col("AI_Valid"), F.col("item")),
-        },
-        part_size,
-    ).withColumn("final_queries", F.col("validated_queries"))
 
 
 def encode_lists(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,29 +146,33 @@ def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
     return jobs.orderBy(F.col("created_at").desc(), F.col("job_id")).limit(limit)
 
 
-def job_detail(
-    jobs: DataFrame, tasks: DataFrame, batches: DataFrame, part_size: int = PART_SIZE
-) -> DataFrame:
-    """Theme tasks of each job, in creation order, with their batches nested in index order.
+def job_detail(jobs: DataFrame, tasks: DataFrame, batches: DataFrame) -> DataFrame:
+    """Theme tasks of each job, in creation order, with their batches in index order: one row per
+    batch, and one row without a batch for a task that has none.
 
-    One row per task, or several ``part`` rows for a task with more than ``part_size`` batches.
     ``jobs``: job_id, job_status; ``tasks``: job_id, theme_id, theme, status, created_at;
     ``batches``: theme_id, batch_index, batch_id, n_queries.
     """
     placed = with_position(
         batches, ["theme_id"], [F.col("batch_index"), F.col("batch_id")], "batch_pos"
     )
-    batch = F.struct("batch_index", "batch_id", "n_queries")
-    nested = list_parts(placed, ["theme_id"], "batch_pos", {"batches": (F.lit(True), batch)}, part_size)
     ordered = with_position(
         tasks, ["job_id"], [F.col("created_at"), F.col("theme_id")], "task_pos"
     )
-    rows = ordered.join(nested, "theme_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    return lookup_join(rows, jobs, ["job_id"], "left")
+    named = lookup_join(ordered, jobs, ["job_id"], "left")
+    return named.join(placed, "theme_id", "left")
 
 
-def preview(df: DataFrame, column: str, n: int = 50) -> DataFrame:
-    """First ``n`` items of a list column and how many more there are."""
-    return df.withColumn("preview", F.slice(column, 1, n)).withColumn(
-        "n_more", F.greatest(F.size(column) - n, F.lit(0)).cast("bigint")
+def preview(items: DataFrame, n: int = PREVIEW) -> DataFrame:
+    """The first ``n`` queries of every theme as a list, and how many more there are."""
+    queries = items.where(F.col("list") == "query")
+    first = topk_per(queries, THEME_KEY, [F.col("pos")], n).groupBy(*THEME_KEY).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("preview")
+    )
+    counted = queries.groupBy(*THEME_KEY).agg((F.count(F.lit(1)) - n).alias("n_more"))
+    rows = themes_of(items).join(first, THEME_KEY, "left").join(counted, THEME_KEY, "left")
+    return rows.select(
+        *THEME_KEY,
+        F.coalesce("preview", F.array().cast("array<string>")).alias("preview"),
+        F.greatest(F.coalesce("n_more", F.lit(0)), F.lit(0)).cast("bigint").alias("n_more"),
     )

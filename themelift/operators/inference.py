@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themelift.functions.ids import batch_id
 from themelift.functions.text import FULL_SPACE, HALF_SPACE, strip
 from themelift.operators.merge import rank
 from themelift.schemas import THEME_KEY, VERDICT_MAP
@@ -97,7 +96,7 @@ def _json_array(content: Column) -> Column:
     items = F.from_json(
         F.nullif(inner, F.lit("")), "array<string>", {"allowSingleQuotes": "false"}
     )
-    return F.when(F.size(items) > 0, items)
+    return F.when(F.exists(items, lambda x: x.isNotNull()), items)
 
 
 def space_variants(keyword: Column, market: Column) -> Column:
@@ -175,8 +174,12 @@ def verdict_defaults(requests: DataFrame, replies: DataFrame) -> DataFrame:
         .when(F.length(found) == 0, F.lit(PARSE_REASON))
         .when(verdicts.isNull(), F.lit(API_REASON))
     )
-    answers = replies.select("theme_pos", "batch_index", "content", "finish_reason").withColumn(
-        "answered", F.lit(True)
+    # Of several replies to one request (a retry) one is read, the longest and then the last in order.
+    reply = F.struct(F.coalesce(F.length("content"), F.lit(0)), "content", "finish_reason")
+    answers = (
+        replies.groupBy("theme_pos", "batch_index")
+        .agg(F.max(reply).alias("reply"))
+        .select("theme_pos", "batch_index", "reply.content", "reply.finish_reason", F.lit(True).alias("answered"))
     )
     joined = requests.select("theme_pos", "batch_index", "queries").join(
         answers, ["theme_pos", "batch_index"], "left"
@@ -194,10 +197,6 @@ def verdict_defaults(requests: DataFrame, replies: DataFrame) -> DataFrame:
     ).select("theme_pos", "batch_index", "normalized_query", "v.is_valid", "v.reason")
 
 
-def with_batch_id(requests: DataFrame, theme_id: str = "theme_id") -> DataFrame:
-    return requests.withColumn("batch_id", batch_id(F.col(theme_id), F.col("batch_index")))
-
-
 def _request_key(theme: Column) -> Column:
     return F.lower(strip(theme))
 

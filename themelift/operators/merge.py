@@ -74,11 +74,15 @@ def score_distribution(results: DataFrame) -> DataFrame:
     return results.groupBy(*THEME_KEY, "Score").agg(F.count(F.lit(1)).alias("n_queries"))
 
 
-def hits_per_keyword(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("theme_pos", "theme", "kw_pos", "keyword").agg(
+def hits_per_keyword(hits: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Hits of every keyword by method, keywords without any included."""
+    key = ["theme_pos", "theme", "kw_pos", "keyword"]
+    counted = hits.groupBy(*key).agg(
         F.count_if(F.col("method") == "hard").cast("bigint").alias("hard_hits"),
         F.count_if(F.col("method") == "vector").cast("bigint").alias("vector_hits"),
     )
+    rows = keywords.select(*key).distinct().join(counted, key, "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("hard_hits", "vector_hits")})
 
 
 def floor_removed(merged: DataFrame, min_rel: float = MIN_RELEVANCE) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ranks within groups: top-k, positions over groups of any size, list parts."""
+"""Ranks within groups: top-k, and positions over groups of any size."""
 
 from __future__ import annotations
 
@@ -72,26 +72,3 @@ def with_position(
     )
     placed = lookup_join(spread, shifts, [*group, "_part"])
     return placed.withColumn(name, F.col("_seq") + F.col("_shift")).select(*df.columns, name)
-
-
-def list_parts(
-    df: DataFrame,
-    group: list[str],
-    position: str,
-    items: dict[str, tuple[Column, Column]],
-    part_size: int = 10_000,
-) -> DataFrame:
-    """Ordered array columns cut into parts, so that no row holds more than ``part_size`` items.
-
-    ``items`` names each list and gives its membership condition and its element. A group whose
-    lists are shorter than a part has exactly one row, ``part`` 0.
-    """
-    parted = df.withColumn("part", F.floor(F.col(position) / F.lit(part_size)).cast("bigint"))
-    lists = [
-        F.transform(
-            F.array_sort(F.collect_list(F.when(member, F.struct(F.col(position), item.alias("item"))))),
-            lambda x: x["item"],
-        ).alias(name)
-        for name, (member, item) in items.items()
-    ]
-    return parted.groupBy(*group, "part").agg(*lists)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -11,18 +12,20 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themelift.functions.text import contained, typo
 from themelift.functions.vectors import DIGITS, cosine
 from themelift.operators.positions import topk_per
 from themelift.schemas import HIT_COLUMNS, KEYWORD_KEY
-from themelift.sizing import measure, scratch_dir
+from themelift.sizing import lookup_join, measure, scratch_dir
 
 # The task code below travels with the job, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_SIM = 0.8
 TOP_K = 100
+RECALL = 0.97
 CHUNK_BYTES = 32 * 1024 * 1024
 
 
@@ -151,44 +154,83 @@ def vector_topk(
     return topk_per(best, KEYWORD_KEY, [F.col("similarity").desc(), F.col("id")], k)
 
 
+def tables_for(bits: int, min_sim: float, recall: float) -> int:
+    """Signature tables that find a pair at the floor with probability ``recall``, if a table finds
+    it where at most one of its bits differs."""
+    agree = 1.0 - math.acos(min_sim) / math.pi
+    once = agree**bits + bits * (1.0 - agree) * agree ** (bits - 1)
+    return max(1, math.ceil(math.log(1.0 - recall) / math.log(1.0 - once)))
+
+
+def _signatures(rows: DataFrame, planes: np.ndarray, bits: int) -> DataFrame:
+    """Add ``signs``: per table, the sides of ``bits`` planes that the vector lies on."""
+    weights = 1 << np.arange(bits)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = _matrix(batch.column("vec")).astype(np.float64)
+            if not len(matrix):
+                continue
+            sides = (matrix @ planes[: matrix.shape[1]] >= 0).reshape(len(matrix), -1, bits)
+            signs = (sides * weights).sum(axis=2)
+            ends = np.arange(len(signs) + 1) * signs.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signs.ravel(), pa.int32()))
+            yield batch.append_column("signs", lists)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("signs", T.ArrayType(T.IntegerType()))])
+    return rows.where(F.size("vec") > 0).mapInArrow(sign, schema)
+
+
+def lsh_pairs(
+    kw_vecs: DataFrame, q_vecs: DataFrame, min_sim: float, bits: int, recall: float = RECALL, seed: int = 7
+) -> DataFrame:
+    """Keyword and log rows that agree in all but at most one bit of some table, each pair once.
+
+    The keyword side asks for its own signature and for those with one bit turned, by an equi-join
+    on (market, table, signature). A pair is kept at the first table that finds it.
+    """
+    tables = tables_for(bits, min_sim, recall)
+    row = q_vecs.select(F.size("vec").alias("n")).where("n > 0").first()
+    planes = np.random.default_rng(seed).normal(size=(row["n"] if row else 1, tables * bits))
+    kw = _signatures(kw_vecs.select(*KEYWORD_KEY, "vec"), planes, bits)
+    turned = F.array(*[F.lit(0)] + [F.lit(1 << b) for b in range(bits)])
+    asked = kw.select(
+        *KEYWORD_KEY, F.col("vec").alias("kw_vec"), F.col("signs").alias("kw_signs"), F.posexplode("signs").alias("table", "sign")
+    ).withColumn("turn", F.explode(turned)).withColumn("sign", F.col("sign").bitwiseXOR(F.col("turn"))).drop("turn")
+    held = _signatures(q_vecs.select("market", "id", "vec"), planes, bits).select(
+        "market", "id", "vec", "signs", F.posexplode("signs").alias("table", "sign")
+    )
+    pairs = lookup_join(held, asked, ["market", "table", "sign"])
+    earlier = F.zip_with(
+        F.slice("signs", F.lit(1), F.col("table")),
+        F.slice("kw_signs", F.lit(1), F.col("table")),
+        lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 1,
+    )
+    return pairs.where(~F.exists(earlier, lambda found: found)).drop("signs", "kw_signs", "table", "sign")
+
+
 def vector_topk_lsh(
     kw_vecs: DataFrame,
     q_vecs: DataFrame,
     k: int = TOP_K,
-    min_sim: float = 0.0,
-    bucket_length: float = 0.5,
-    tables: int = 4,
+    min_sim: float = MIN_SIM,
+    bits: int | None = None,
+    recall: float = RECALL,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate nearest neighbours for keyword sets too large to compare with every log row.
+    """Approximate nearest neighbours above a floor, for keyword sets too large to compare with
+    every log row.
 
-    Random projections bucket both sides; only rows that share a bucket in some table are
-    compared, by an equi-join on (table, bucket). Candidates are ranked by their exact cosine.
-    For unit vectors the squared distance is 2 - 2 cos, which turns the floor into a radius.
+    Signs of random projections bucket both sides (see ``lsh_pairs``); ``bits`` grows with the log
+    unless it is given. Candidates are ranked by their exact cosine, so that every similarity is the
+    exact one; a pair at the floor is found with probability ``recall``, nearer pairs more surely.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_sim)) + 1e-6)
-    left = kw_vecs.select(*KEYWORD_KEY, "vec", array_to_vector("vec").alias("features"))
-    right = q_vecs.select("market", "id", "vec", array_to_vector("vec").alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features",
-        outputCol="hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables,
-        seed=seed,
-    ).fit(right)
-    near = model.approxSimilarityJoin(left, right, radius, "distance")
-    pairs = near.select(
-        *[F.col(f"datasetA.{c}").alias(c) for c in KEYWORD_KEY],
-        F.col("datasetB.market").alias("_market"),
-        F.col("datasetB.id").alias("id"),
-        cosine(F.col("datasetA.vec"), F.col("datasetB.vec")).alias("similarity"),
-    ).where((F.col("market") == F.col("_market")) & (F.col("similarity") >= min_sim))
-    return topk_per(
-        pairs.drop("_market"), KEYWORD_KEY, [F.col("similarity").desc(), F.col("id")], k
-    )
+    if bits is None:
+        bits = min(24, max(12, math.ceil(math.log2(max(q_vecs.count(), 1)))))
+    pairs = lsh_pairs(kw_vecs, q_vecs, min_sim, bits, recall, seed)
+    near = pairs.select(*KEYWORD_KEY, "id", cosine(F.col("kw_vec"), F.col("vec")).alias("similarity"))
+    near = near.where(F.col("similarity") >= min_sim)
+    return topk_per(near, KEYWORD_KEY, [F.col("similarity").desc(), F.col("id")], k)
 
 
 def vector_verify(candidates: DataFrame, min_sim: float = MIN_SIM) -> DataFrame:

@@ -21,11 +21,12 @@ from themelift.operators.vector_match import (
     vector_verify,
 )
 from themelift.plans import fixtures as fx
-from themelift.plans.pipeline import match_hits, match_themes
+from themelift.plans.pipeline import finish, match_hits, match_themes, write_final
+from themelift.schemas import VERDICT_MAP
 from themelift.sizing import scratch_dir, stage
 from themelift.sources import query_log, sinks, themes, vectors as vector_source
 from themelift.sources.markets import language_plan, resolve_market
-from themelift.streaming.theme_stream import progress_events, start_theme_stream
+from themelift.streaming.theme_stream import match_counts, progress_events, start_theme_stream, theme_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -91,6 +92,18 @@ def _labelled(spark: SparkSession, sf: str, results: DataFrame) -> DataFrame:
     return labels.withColumnRenamed("is_valid", "AI_Valid").withColumnRenamed("reason", "AI_Reason")
 
 
+def _answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, the validation requests on them, and the replies."""
+    results = stage(_results(spark, sf), "results")
+    requests = stage(inference.validation_requests(results), "requests")
+    chunks = inference.validation_chunks(_labelled(spark, sf, results))
+    return results, requests, stage(fx.validation_replies(chunks), "replies")
+
+
+def _task_items(spark: SparkSession, sf: str) -> DataFrame:
+    return history.theme_task_items(fx.part_keywords(spark, sf), _final(spark, sf))
+
+
 def _final(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf, stage(_results(spark, sf), "results"))
 
@@ -146,7 +159,31 @@ def market_resolve_rows(spark, sf):
 
 @query("external_adapter")
 def external_adapter_rows(spark, sf):
-    return query_log.adapt_external(fx.customer_external(spark, sf))
+    return query_log.adapt_external(fx.customer_external(spark, sf), fx.nation_markets(spark, sf))
+
+
+def _external_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as external logs: markets of their own tables, the rest shared."""
+    rows, dim = fx.customer_external(spark, sf), fx.nation_markets(spark, sf)
+    names = [r.dedicated_table for r in dim.where("dedicated_table is not null").orderBy("market").collect()]
+    code = {r.dedicated_table: r.code for r in dim.where("dedicated_table is not null").collect()}
+    dedicated = {n: query_log.market_slice(rows, code[n]) for n in names}
+    return query_log.external_log(rows, dedicated, dim)
+
+
+@query("external_match")
+def external_match_rows(spark, sf):
+    """Segments as keywords of every market, matched with the external logs of all markets, the
+    text-relevance neighbours as candidates."""
+    segments = fx.table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("keyword")).distinct()
+    markets = fx.nation_markets(spark, sf).select("market", F.substring("code", 2, 4).cast("bigint").alias("theme_pos"))
+    words = markets.join(F.broadcast(segments)).select(
+        "theme_pos", F.lower("market").alias("theme"), "market", F.length("keyword").cast("bigint").alias("kw_pos"), "keyword"
+    )
+    hits = match_hits(stage(words, "keywords"), stage(_external_log(spark, sf), "log"), lexical=True)
+    return hits.groupBy("theme_pos", "theme", "kw_pos", "keyword", "method").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.sum("id").alias("id_sum")
+    )
 
 
 @query("market_slice")
@@ -339,8 +376,16 @@ def vector_verify_rows(spark, sf):
 
 @query("vector_topk_lsh")
 def vector_topk_lsh_rows(spark, sf):
-    near = vector_topk_lsh(fx.vector_keywords(spark, sf), fx.vector_log(spark, sf))
-    return near.select("theme", "keyword", "id", "similarity")
+    """How the approximate neighbours compare with the exact ones, on vectors and turned copies."""
+    words, rows = fx.vector_keywords(spark, sf), fx.rotated_vectors(spark, sf, 4)
+    key = ["theme", "keyword", "id", "similarity"]
+    exact = stage(vector_topk(words, rows, TOP_K, MIN_SIM).select(*key), "exact")
+    near = stage(vector_topk_lsh(words, rows, TOP_K, MIN_SIM).select(*key), "near")
+    both = near.join(exact, key, "left_semi").agg(F.count(F.lit(1)).alias("n_both"))
+    counts = exact.agg(F.count(F.lit(1)).alias("n_exact")).join(near.agg(F.count(F.lit(1)).alias("n_near"))).join(both)
+    return counts.select(
+        "n_exact", (F.col("n_both") >= 0.9 * F.col("n_exact")).alias("found"), (F.col("n_both") == F.col("n_near")).alias("exact")
+    )
 
 
 @query("lexical_topk")
@@ -383,12 +428,8 @@ def job_detail_rows(spark, sf):
     jobs, tasks, batches = fx.history(spark, sf)
     status = history.job_status(tasks).withColumnRenamed("status", "job_status")
     detail = history.job_detail(status.select("job_id", "job_status"), tasks, batches)
-    listed = F.array_join(
-        F.transform("batches", lambda b: F.concat_ws(":", b["batch_index"].cast("string"), b["n_queries"].cast("string"))),
-        "|",
-    )
     return detail.select(
-        "job_id", "job_status", "theme_id", "task_pos", "theme", "status", "created_at", "part", listed.alias("batches")
+        "job_id", "job_status", "theme_id", "task_pos", "theme", "status", "created_at", "batch_pos", "batch_index", "n_queries"
     )
 
 
@@ -442,7 +483,8 @@ def score_distribution_rows(spark, sf):
 
 @query("hits_per_keyword")
 def hits_per_keyword_rows(spark, sf):
-    return merge.hits_per_keyword(_hits(spark, sf))
+    words, log = _inputs(spark, sf)
+    return merge.hits_per_keyword(match_hits(words, log), words)
 
 
 @query("floor_removed")
@@ -452,7 +494,7 @@ def floor_removed_rows(spark, sf):
 
 @query("theme_counts")
 def theme_counts_rows(spark, sf):
-    return history.theme_counts(_final(spark, sf))
+    return history.theme_counts(_final(spark, sf), fx.part_keywords(spark, sf))
 
 
 @query("batch_counts")
@@ -470,21 +512,12 @@ def job_status_rows(spark, sf):
 
 @query("theme_task_row")
 def theme_task_row_rows(spark, sf):
-    rows = history.theme_task_rows(fx.part_keywords(spark, sf), _final(spark, sf))
-    return rows.select(
-        "theme_pos",
-        "theme",
-        "part",
-        *[
-            F.array_join(c, "|").alias(c)
-            for c in ["expanded_keywords", "matched_queries", "validated_queries"]
-        ],
-    )
+    return _task_items(spark, sf).drop("market")
 
 
 @query("theme_rollup")
 def theme_rollup_rows(spark, sf):
-    return history.theme_rollup(_final(spark, sf))
+    return history.theme_rollup(_final(spark, sf), fx.part_keywords(spark, sf))
 
 
 @query("timing_summary")
@@ -528,8 +561,7 @@ def recent_jobs_rows(spark, sf):
 
 @query("preview_lists")
 def preview_lists_rows(spark, sf):
-    rows = history.theme_task_rows(fx.part_keywords(spark, sf), _final(spark, sf))
-    out = history.preview(rows, "matched_queries")
+    out = history.preview(_task_items(spark, sf))
     return out.select("theme", F.array_join("preview", "|").alias("preview"), "n_more")
 
 
@@ -640,12 +672,7 @@ def expansion_replies_rows(spark, sf):
 
 @query("validation_replies")
 def validation_replies_rows(spark, sf):
-    chunks = inference.validation_chunks(_final(spark, sf))
-    verdict = F.struct(F.col("AI_Valid").alias("is_valid"), F.col("AI_Reason").alias("reason"))
-    entries = F.map_from_entries(F.collect_list(F.struct("normalized_query", verdict)))
-    replies = chunks.groupBy("theme_pos", "batch_index").agg(
-        F.concat(F.lit("Verdicts: "), F.to_json(entries), F.lit(" end")).alias("content")
-    )
+    _, _, replies = _answered(spark, sf)
     return inference.merge_verdicts(inference.parse_verdicts(replies))
 
 
@@ -681,16 +708,38 @@ def space_variants_rows(spark, sf):
 
 @query("history_json")
 def history_json_rows(spark, sf):
-    rows = history.theme_task_rows(fx.part_keywords(spark, sf), _final(spark, sf))
-    encoded = history.encode_lists(rows, ["expanded_keywords", "matched_queries"])
+    results, requests, replies = _answered(spark, sf)
+    batches = history.run_batches("0badcafe", requests, inference.verdict_defaults(requests, replies))
+    encoded = history.encode_lists(batches, ["queries", "results"])
     decoded = history.decode_lists(
-        encoded.withColumn("decoded", F.col("matched_queries")), {"decoded": "array<string>"}
+        encoded.withColumns({"d_queries": F.col("queries"), "d_results": F.col("results")}),
+        {"d_queries": "array<string>", "d_results": VERDICT_MAP.simpleString()},
     )
     return decoded.select(
-        "theme", "expanded_keywords", "matched_queries", F.size("decoded").cast("bigint").alias("n_decoded")
+        "batch_id",
+        "queries",
+        F.size("d_queries").cast("bigint").alias("n_queries"),
+        F.size("d_results").cast("bigint").alias("n_results"),
     )
 
 
+@query("run_batches")
+def run_batches_rows(spark, sf):
+    """Validation batches of the whole run, their verdicts as rows."""
+    results, requests, replies = _answered(spark, sf)
+    rows = history.run_batches("0badcafe", requests, inference.verdict_defaults(requests, replies))
+    verdict = F.explode("results").alias("normalized_query", "v")
+    return rows.select("theme_id", "batch_id", "status", F.size("queries").cast("bigint").alias("n_queries"), verdict).select(
+        "theme_id", "batch_id", "status", "n_queries", "normalized_query", "v.is_valid", "v.reason"
+    )
+
+
+@query("run_tasks")
+def run_tasks_rows(spark, sf):
+    """Theme tasks of the whole run."""
+    return history.run_tasks("0badcafe", fx.part_keywords(spark, sf), finish(*_answered(spark, sf)))
+
+
 # Streaming
 
 
@@ -714,8 +763,7 @@ def stream_theme_matches_rows(spark, sf):
 
 @query("progress_events")
 def progress_events_rows(spark, sf):
-    counts = history.theme_counts(_final(spark, sf))
-    return progress_events("0badcafe", counts)
+    return progress_events("0badcafe", theme_lines(match_counts(_final(spark, sf), fx.part_keywords(spark, sf))))
 
 
 # Whole plan
@@ -723,7 +771,18 @@ def progress_events_rows(spark, sf):
 
 @query("flagship_match")
 def flagship_match_rows(spark, sf):
-    return sinks.result_layout(_final(spark, sf))
+    """The whole run: match, requests, replies, verdicts, theme order, result file."""
+    path = scratch_dir(spark, "results-csv")
+    write_final(finish(*_answered(spark, sf)), path)
+    return sinks.read_results(spark, path)
+
+
+@query("flagship_vectors")
+def flagship_vectors_rows(spark, sf):
+    """The match with vector neighbours as candidates."""
+    words, kw_vecs, q_vecs = fx.vector_themes(spark, sf)
+    log = query_log.with_match_text(fx.part_log_rows(spark, sf))
+    return match_themes(stage(words, "keywords"), stage(log, "log"), kw_vecs, q_vecs, min_sim=0.1).drop("revenue")
 
 
 @query("flagship_text")

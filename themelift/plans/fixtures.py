@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themelift.operators.inference import BATCH_SIZE
 from themelift.operators.positions import with_position
 
 MARKET = "Australia"
@@ -181,6 +182,19 @@ def vector_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rotated_vectors(spark: SparkSession, sf: str, turns: int, step: float = 0.2) -> DataFrame:
+    """The vector log with turned copies of every vector: the pairs of its components are rotated
+    by 0, 1, 2, ... times ``step``, so that a copy's cosine with its vector is that of the angle."""
+    rows = vector_log(spark, sf).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    angle = F.col("turn") * step
+
+    def turned(x, i):
+        other = F.when(i % 2 == 0, -F.get("vec", i + 1)).otherwise(F.get("vec", i - 1))
+        return (x.cast("double") * F.cos(angle) + other.cast("double") * F.sin(angle)).cast("float")
+
+    return rows.select("market", (F.col("id") * turns + F.col("turn")).alias("id"), F.transform("vec", turned).alias("vec"))
+
+
 def vector_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword vectors: the first vector of each label."""
     rows = table(spark, sf, "embeddings")
@@ -342,6 +356,46 @@ def expansion_replies(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("brand", F.col("theme"))
 
 
+def validation_replies(chunks: DataFrame) -> DataFrame:
+    """Reply texts to the validation requests of labelled results (see ``validation_chunks``).
+
+    A reply also takes back the verdict on the first query of the batch before it. Every fourth
+    batch has no reply, and every batch after a multiple of four has a second, empty one.
+    """
+    own = chunks.select("theme_pos", "batch_index", "normalized_query", "AI_Valid", "AI_Reason")
+    again = chunks.where(F.col("rank_pos") % BATCH_SIZE == 0).select(
+        "theme_pos",
+        (F.col("batch_index") + 1).alias("batch_index"),
+        "normalized_query",
+        (~F.col("AI_Valid")).alias("AI_Valid"),
+        F.lit("Second look").alias("AI_Reason"),
+    )
+    asked = chunks.select("theme_pos", "batch_index").distinct().where(F.col("batch_index") % 4 != 3)
+    verdict = F.struct(F.col("AI_Valid").alias("is_valid"), F.col("AI_Reason").alias("reason"))
+    entries = F.map_from_entries(F.collect_list(F.struct("normalized_query", verdict)))
+    rows = own.unionByName(again).join(asked, ["theme_pos", "batch_index"], "left_semi")
+    replies = rows.groupBy("theme_pos", "batch_index").agg(
+        F.concat(F.lit("Verdicts: "), F.to_json(entries), F.lit(" end")).alias("content"),
+        F.lit("stop").alias("finish_reason"),
+    )
+    empty = asked.where(F.col("batch_index") % 4 == 1).select(
+        "theme_pos", "batch_index", F.lit("").alias("content"), F.lit("length").alias("finish_reason")
+    )
+    return replies.unionByName(empty)
+
+
+def vector_themes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keywords, keyword vectors and log vectors of parts: part p has the vector of id p - 1, a
+    label is a theme, and its first vector's part name is the keyword."""
+    q_vecs = vector_log(spark, sf).withColumn("id", F.col("id") + 1)
+    first = vector_keywords(spark, sf).drop("keyword")
+    at = F.regexp_extract(F.col("keyword"), "([0-9]+)", 1).cast("bigint")
+    named = vector_keywords(spark, sf).select("theme_pos", (at + 1).alias("p_partkey"))
+    names = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("keyword"))
+    kw_vecs = first.join(named.join(names, "p_partkey").drop("p_partkey"), "theme_pos")
+    return kw_vecs.drop("vec"), kw_vecs, q_vecs
+
+
 def conversation_requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """User turns as requests with one query each (the whole turn), and the assistant turns that
     follow them as replies."""

@@ -243,6 +243,44 @@ cte(
 )
 RANK = """row_number() OVER (PARTITION BY theme_pos ORDER BY "Score" DESC, "Relevance" DESC, "SRPV" DESC, normalized_query) - 1"""
 cte("ranked", f"SELECT *, {RANK} AS rank_pos, ({RANK}) // 25 AS batch_index FROM final", "final")
+cte(
+    "judged",
+    f"""SELECT * EXCLUDE (rule_valid, rule_reason, taken_back, missing),
+ CASE WHEN taken_back THEN NOT rule_valid WHEN missing THEN true ELSE rule_valid END AS "AI_Valid",
+ CASE WHEN taken_back THEN 'Second look' WHEN missing THEN '{API_REASON}' ELSE rule_reason END AS "AI_Reason"
+ FROM (SELECT * EXCLUDE ("AI_Valid", "AI_Reason"), "AI_Valid" AS rule_valid, "AI_Reason" AS rule_reason,
+  rank_pos % 25 = 0 AND batch_index < max(batch_index) OVER (PARTITION BY theme_pos) AND (batch_index + 1) % 4 <> 3 AS taken_back,
+  batch_index % 4 = 3 AS missing FROM ranked)""",
+    "ranked",
+)
+cte(
+    "batch_verdicts",
+    f"""SELECT theme_pos, batch_index, normalized_query, "AI_Valid" AS is_valid, "AI_Reason" AS reason FROM ranked WHERE batch_index % 4 <> 3
+ UNION ALL SELECT theme_pos, batch_index, normalized_query, true, '{API_REASON}' FROM ranked WHERE batch_index % 4 = 3
+ UNION ALL SELECT r.theme_pos, r.batch_index + 1, r.normalized_query, NOT "AI_Valid", 'Second look' FROM ranked r
+  JOIN (SELECT theme_pos, max(batch_index) AS last FROM ranked GROUP BY theme_pos) m ON m.theme_pos = r.theme_pos
+  WHERE rank_pos % 25 = 0 AND batch_index < last AND (batch_index + 1) % 4 <> 3""",
+    "ranked",
+)
+cte(
+    "vector_results",
+    f"""SELECT * FROM (SELECT theme_pos, theme, '{MARKET}' AS market, normalized_query, CAST(max(hard) + max(vec) AS INTEGER) AS "Score",
+  round(max(relevance), 9) AS "Relevance", max(keyword) AS matched_keyword, arg_min("SRPV", id) AS "SRPV", arg_min("AdClick", id) AS "AdClick"
+  FROM (SELECT k.*, l.id, l.normalized_query, l."SRPV", l."AdClick", 2 AS hard, 0 AS vec, {relevance('l.normalized_query', 'k.keyword')} AS relevance
+   FROM vector_kw k JOIN log_rows l ON contains({fold(half_clean('l.normalized_query'))}, {fold(clean('k.keyword'))})
+   UNION ALL SELECT k.*, l.id, l.normalized_query, l."SRPV", l."AdClick", 0, 1, n.similarity
+   FROM vector_kw k JOIN neighbours n ON n.theme = k.theme JOIN log_rows l ON l.id = n.id + 1
+   WHERE n.similarity >= 0.1 AND (contains({clean('l.normalized_query')}, {clean('k.keyword')}) OR {typo('l.normalized_query', 'k.keyword')}))
+  GROUP BY theme_pos, theme, normalized_query) WHERE "Relevance" >= 0.4""",
+    "vector_kw",
+    "neighbours",
+    "log_rows",
+)
+cte(
+    "vector_kw",
+    """SELECT CAST(label AS BIGINT) AS theme_pos, 'label ' || label AS theme, p_name AS keyword
+ FROM (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) JOIN part ON p_partkey = vec_id + 1""",
+)
 cte(
     "events_in_jobs",
     """SELECT CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d') AS job_id, * FROM events""",
@@ -340,14 +378,6 @@ def joined(column: str, order: str, where: str = "true") -> str:
     return f"coalesce(string_agg({column}, '|' ORDER BY {order}) FILTER (WHERE {where}), '')"
 
 
-TASK_LISTS = f"""SELECT k.theme_pos, k.theme, k.expanded_keywords, coalesce(m.matched, '') AS matched_queries,
- coalesce(m.validated, '') AS validated_queries, m.first_items, m.n
- FROM (SELECT theme_pos, theme, string_agg(keyword, '|' ORDER BY kw_pos) AS expanded_keywords FROM kw GROUP BY theme_pos, theme) k
- LEFT JOIN (SELECT theme_pos, {joined('normalized_query', 'rank_pos')} AS matched,
-  {joined('normalized_query', 'rank_pos', '"AI_Valid"')} AS validated,
-  {joined('normalized_query', 'rank_pos', 'rank_pos < 50')} AS first_items, count(*) AS n FROM ranked GROUP BY theme_pos) m
- ON m.theme_pos = k.theme_pos"""
-
 BATCH_LISTS = """SELECT theme_pos, theme, batch_index,
  CAST(to_json(list(normalized_query ORDER BY rank_pos)) AS VARCHAR) AS queries_json, count(*) AS n_queries
  FROM ranked GROUP BY theme_pos, theme, batch_index"""
@@ -371,9 +401,17 @@ ORACLE: dict[str, str] = {
  FROM (SELECT c_custkey, 'NATION_' || (c_custkey % 30) AS market FROM customer) a LEFT JOIN markets m ON m.market = a.market""",
         "markets",
     ),
-    "external_adapter": """SELECT lower(c_mktsegment) || ' ' || lower(c_name) AS normalized_query,
+    "external_adapter": """SELECT c_custkey AS id, lower(c_mktsegment) || ' ' || lower(c_name) AS normalized_query,
  CAST(floor(abs(c_acctbal)) AS BIGINT) AS "SRPV", CAST(0 AS BIGINT) AS "AdClick", CAST(0 AS DOUBLE) AS revenue,
- 'm' || c_nationkey AS market_code FROM customer""",
+ n_name AS market FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "external_match": """WITH q AS (SELECT c_custkey AS id, lower(c_mktsegment) AS segment, n_nationkey, n_name FROM customer
+  JOIN nation ON n_nationkey = c_nationkey),
+ k AS (SELECT n_nationkey AS theme_pos, lower(n_name) AS theme, length(s) AS kw_pos, s AS keyword
+  FROM nation, (SELECT DISTINCT lower(c_mktsegment) AS s FROM customer)),
+ h AS (SELECT k.*, q.id FROM k JOIN q ON q.n_nationkey = k.theme_pos AND q.segment = k.keyword),
+ v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theme_pos, keyword ORDER BY id) AS rn FROM h) WHERE rn <= 100)
+ SELECT theme_pos, theme, kw_pos, keyword, 'hard' AS method, count(*) AS n_hits, CAST(sum(id) AS BIGINT) AS id_sum FROM h GROUP BY ALL
+ UNION ALL SELECT theme_pos, theme, kw_pos, keyword, 'vector', count(*), CAST(sum(id) AS BIGINT) FROM v GROUP BY ALL""",
     "market_slice": """SELECT c_custkey AS "Id", 'm' || c_nationkey AS "TargetMarket",
  lower(c_mktsegment) || ' ' || lower(c_name) AS "Query", CAST(floor(abs(c_acctbal)) AS BIGINT) AS "Srpv"
  FROM customer WHERE c_nationkey = 7""",
@@ -456,11 +494,13 @@ ORACLE: dict[str, str] = {
  CASE WHEN quality = 0 THEN 'low quality' ELSE '' END AS "AI_Reason" FROM documents LEFT JOIN labels USING (doc_id)""",
     "job_detail": with_ctes(
         """SELECT t.job_id, j.status AS job_status, t.theme_id,
- row_number() OVER (PARTITION BY t.job_id ORDER BY t.created_at, t.theme_id) - 1 AS task_pos, t.theme, t.status,
- t.created_at, CAST(0 AS BIGINT) AS part, b.batches FROM tasks t JOIN job_states j ON j.job_id = t.job_id
- JOIN (SELECT job_id || '-' || event_type AS theme_id,
-  string_agg(event_id || ':' || CAST(floor(value) AS BIGINT), '|' ORDER BY event_id) AS batches
-  FROM events_in_jobs GROUP BY ALL) b ON b.theme_id = t.theme_id""",
+ t.task_pos, t.theme, t.status,
+ t.created_at, b.batch_pos, b.batch_index, b.n_queries
+ FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at, theme_id) - 1 AS task_pos FROM tasks) t
+ JOIN job_states j ON j.job_id = t.job_id
+ LEFT JOIN (SELECT job_id || '-' || event_type AS theme_id, event_id AS batch_index, CAST(floor(value) AS BIGINT) AS n_queries,
+  row_number() OVER (PARTITION BY job_id, event_type ORDER BY event_id) - 1 AS batch_pos
+  FROM events_in_jobs) b ON b.theme_id = t.theme_id""",
         "tasks",
         "job_states",
     ),
@@ -481,9 +521,10 @@ ORACLE: dict[str, str] = {
         'SELECT theme, "Score", count(*) AS n_queries FROM results GROUP BY theme, "Score"', "results"
     ),
     "hits_per_keyword": with_ctes(
-        """SELECT theme_pos, theme, kw_pos, keyword, count(*) FILTER (WHERE method = 'hard') AS hard_hits,
- count(*) FILTER (WHERE method = 'vector') AS vector_hits FROM hits GROUP BY theme_pos, theme, kw_pos, keyword""",
+        """SELECT k.theme_pos, k.theme, k.kw_pos, k.keyword, count(*) FILTER (WHERE method = 'hard') AS hard_hits,
+ count(*) FILTER (WHERE method = 'vector') AS vector_hits FROM kw k LEFT JOIN hits h USING (theme_pos, kw_pos) GROUP BY ALL""",
         "hits",
+        "kw",
     ),
     "floor_removed": with_ctes(
         """SELECT theme, count(*) AS merged_rows, count(*) FILTER (WHERE "Relevance" < 0.4) AS removed_rows
@@ -491,9 +532,11 @@ ORACLE: dict[str, str] = {
         "merged",
     ),
     "theme_counts": with_ctes(
-        """SELECT theme_pos, theme, market, count(*) AS match_count, count(*) FILTER (WHERE "AI_Valid") AS valid_count,
- count(*) FILTER (WHERE NOT "AI_Valid") AS invalid_count FROM final GROUP BY ALL""",
+        """SELECT k.theme_pos, k.theme, k.market, count(normalized_query) AS match_count, count(*) FILTER (WHERE "AI_Valid") AS valid_count,
+ count(*) FILTER (WHERE NOT "AI_Valid") AS invalid_count FROM (SELECT DISTINCT theme_pos, theme, market FROM kw) k
+ LEFT JOIN final f USING (theme_pos) GROUP BY ALL""",
         "final",
+        "kw",
     ),
     "batch_counts": with_ctes(
         """SELECT theme, batch_index, count(*) FILTER (WHERE "AI_Valid") AS valid_count,
@@ -502,18 +545,20 @@ ORACLE: dict[str, str] = {
     ),
     "job_status": with_ctes("SELECT * FROM job_states", "job_states"),
     "theme_task_row": with_ctes(
-        f"""SELECT theme_pos, theme, CAST(0 AS BIGINT) AS part, expanded_keywords, matched_queries, validated_queries
- FROM ({TASK_LISTS})""",
+        """SELECT theme_pos, theme, 'keyword' AS list, kw_pos AS pos, keyword AS item, CAST(NULL AS BOOLEAN) AS valid FROM kw
+ UNION ALL SELECT theme_pos, theme, 'query', rank_pos, normalized_query, "AI_Valid" FROM ranked""",
         "ranked",
         "kw",
     ),
     "theme_rollup": with_ctes(
-        """SELECT theme_pos, theme AS "SearchTheme", market, CAST(sum("SRPV") AS BIGINT) AS "SRPV",
- CAST(sum("AdClick") AS BIGINT) AS "AdClick", round(sum(revenue), 2) AS revenue,
+        """SELECT k.theme_pos, k.theme AS "SearchTheme", k.market, CAST(coalesce(sum("SRPV"), 0) AS BIGINT) AS "SRPV",
+ CAST(coalesce(sum("AdClick"), 0) AS BIGINT) AS "AdClick", coalesce(round(sum(revenue), 2), 0) AS revenue,
  CAST(coalesce(sum("SRPV") FILTER (WHERE "AI_Valid"), 0) AS BIGINT) AS "valid_SRPV",
  CAST(coalesce(sum("AdClick") FILTER (WHERE "AI_Valid"), 0) AS BIGINT) AS "valid_AdClick",
- round(coalesce(sum(revenue) FILTER (WHERE "AI_Valid"), 0), 2) AS valid_revenue FROM final GROUP BY theme_pos, theme, market""",
+ round(coalesce(sum(revenue) FILTER (WHERE "AI_Valid"), 0), 2) AS valid_revenue
+ FROM (SELECT DISTINCT theme_pos, theme, market FROM kw) k LEFT JOIN final f USING (theme_pos) GROUP BY k.theme_pos, k.theme, k.market""",
         "final",
+        "kw",
     ),
     "timing_summary": with_ctes(
         """SELECT status, count(*) AS n_tasks, CAST(sum(match_count) AS BIGINT) AS match_count,
@@ -531,7 +576,11 @@ ORACLE: dict[str, str] = {
         "events_in_jobs",
     ),
     "preview_lists": with_ctes(
-        f"SELECT theme, first_items AS preview, greatest(n - 50, 0) AS n_more FROM ({TASK_LISTS})", "ranked", "kw"
+        f"""SELECT k.theme, {joined('normalized_query', 'rank_pos', 'rank_pos < 50')} AS preview,
+ greatest(count(normalized_query) - 50, 0) AS n_more FROM (SELECT DISTINCT theme_pos, theme FROM kw) k
+ LEFT JOIN ranked r USING (theme_pos) GROUP BY k.theme_pos, k.theme""",
+        "ranked",
+        "kw",
     ),
     "concat_runs": with_ctes(
         f"""{layout('final', False)} UNION ALL BY NAME SELECT theme AS "SearchTheme", normalized_query, "Relevance", "SRPV",
@@ -579,7 +628,9 @@ ORACLE: dict[str, str] = {
         "kw",
     ),
     "validation_replies": with_ctes(
-        'SELECT theme_pos, normalized_query, "AI_Valid" AS is_valid, "AI_Reason" AS reason FROM final', "final"
+        """SELECT theme_pos, normalized_query, arg_max(is_valid, batch_index) AS is_valid, arg_max(reason, batch_index) AS reason
+ FROM batch_verdicts WHERE batch_index % 4 <> 3 GROUP BY theme_pos, normalized_query""",
+        "batch_verdicts",
     ),
     "verdict_defaults": f"""SELECT u.conv_id AS theme_pos, u.turn AS batch_index,
  u.text AS normalized_query,
@@ -596,22 +647,54 @@ ORACLE: dict[str, str] = {
         "spaced",
     ),
     "history_json": with_ctes(
-        """SELECT k.theme, k.expanded_keywords, m.matched_queries, m.n_decoded
- FROM (SELECT theme, CAST(to_json(list(keyword ORDER BY kw_pos)) AS VARCHAR) AS expanded_keywords FROM kw GROUP BY theme) k
- JOIN (SELECT theme, CAST(to_json(list(normalized_query ORDER BY rank_pos)) AS VARCHAR) AS matched_queries, count(*) AS n_decoded
-  FROM ranked GROUP BY theme) m ON m.theme = k.theme""",
+        f"""SELECT '0badcafe-t' || q.theme_pos || '-b' || q.batch_index AS batch_id, q.queries_json AS queries, q.n_queries, v.n_results
+ FROM ({BATCH_LISTS}) q JOIN (SELECT theme_pos, batch_index, count(*) AS n_results FROM batch_verdicts GROUP BY ALL) v
+ ON v.theme_pos = q.theme_pos AND v.batch_index = q.batch_index""",
         "ranked",
+        "batch_verdicts",
+    ),
+    "run_batches": with_ctes(
+        f"""SELECT '0badcafe-t' || v.theme_pos AS theme_id, '0badcafe-t' || v.theme_pos || '-b' || v.batch_index AS batch_id,
+ 'done' AS status, q.n_queries, v.normalized_query, v.is_valid, v.reason
+ FROM batch_verdicts v JOIN ({BATCH_LISTS}) q ON v.theme_pos = q.theme_pos AND v.batch_index = q.batch_index""",
+        "ranked",
+        "batch_verdicts",
+    ),
+    "run_tasks": with_ctes(
+        """SELECT '0badcafe' AS job_id, '0badcafe-t' || k.theme_pos AS theme_id, k.theme_pos, k.theme, k.market, 'done' AS status, k.n_keywords,
+ count(normalized_query) AS match_count, count(*) FILTER (WHERE "AI_Valid") AS valid_count,
+ count(*) FILTER (WHERE NOT "AI_Valid") AS invalid_count
+ FROM (SELECT theme_pos, theme, market, count(*) AS n_keywords FROM kw GROUP BY ALL) k LEFT JOIN judged j USING (theme_pos) GROUP BY ALL""",
+        "judged",
         "kw",
     ),
+    "vector_topk_lsh": with_ctes(
+        """SELECT count(*) FILTER (WHERE similarity >= 0.8) AS n_exact, true AS found, true AS exact
+ FROM (SELECT list_inner_product(CAST(a.anchor AS DOUBLE[]), list_transform(range(1, len(e.embedding) + 1), lambda i:
+   CAST(e.embedding[i] AS DOUBLE) * cos(t * CAST(0.2 AS DOUBLE))
+   + CASE WHEN i % 2 = 1 THEN -CAST(e.embedding[i + 1] AS DOUBLE) ELSE CAST(e.embedding[i - 1] AS DOUBLE) END * sin(t * CAST(0.2 AS DOUBLE)))) AS similarity
+  FROM embeddings e, anchors a, unnest(range(0, 4)) u(t))""",
+        "anchors",
+    ),
+    "flagship_vectors": with_ctes("SELECT * FROM vector_results", "vector_results"),
     "stream_theme_matches": with_ctes("SELECT * FROM results", "results"),
     "progress_events": with_ctes(
-        """SELECT CAST(-1 AS BIGINT) AS event_pos, 'job_start' AS type, '{"type":"job_start","job_id":"0badcafe"}' AS line
- UNION ALL SELECT theme_pos, 'theme_result',
- '{"type":"theme_result","data":{"theme":"' || theme || '","match_count":' || count(*) || '}}' FROM final GROUP BY theme_pos, theme
+        """SELECT CAST(-4611686018427387904 AS BIGINT) AS event_pos, 'job_start' AS type, '{"type":"job_start","job_id":"0badcafe"}' AS line
+ UNION ALL SELECT k.theme_pos, 'theme_result',
+ '{"type":"theme_result","data":{"theme":"' || k.theme || '","expanded_keywords":' || k.words || ',"match_count":' || coalesce(f.n, 0) || '}}'
+ FROM (SELECT theme_pos, theme, CAST(to_json(list(keyword ORDER BY kw_pos)) AS VARCHAR) AS words FROM kw GROUP BY theme_pos, theme) k
+ LEFT JOIN (SELECT theme_pos, count(*) AS n FROM final GROUP BY theme_pos) f ON f.theme_pos = k.theme_pos
  UNION ALL SELECT 4611686018427387904, 'complete', '{"type":"complete","job_id":"0badcafe"}'""",
         "final",
+        "kw",
+    ),
+    "flagship_match": with_ctes(
+        layout("judged", False).replace(
+            " FROM judged",
+            """, row_number() OVER (ORDER BY theme_pos, "Score" DESC, "Relevance" DESC, "SRPV" DESC, normalized_query) - 1 AS row_no FROM judged""",
+        ),
+        "judged",
     ),
-    "flagship_match": with_ctes(layout("final", False), "final"),
     "flagship_text": with_ctes("SELECT * EXCLUDE (market, revenue) FROM pair_results", "pair_results"),
 }
 ORACLE["hard_match_indexed"] = ORACLE["hard_match"]

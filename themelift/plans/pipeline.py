@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from themelift.operators.gram_match import gram_topk
 from themelift.operators.hard_match import hard_match
-from themelift.operators.merge import MIN_RELEVANCE, merge_hits, relevance_floor, union_hits
+from themelift.operators.inference import merge_verdicts, verdict_defaults
+from themelift.operators.lexical import lexical_topk
+from themelift.operators.merge import MIN_RELEVANCE, in_theme_order, merge_hits, relevance_floor, union_hits
 from themelift.operators.vector_match import MIN_SIM, TOP_K, vector_topk, vector_verify
 from themelift.operators.verdicts import apply_verdicts
 from themelift.sources.query_log import attach_metrics, with_match_text
+from themelift.sources.sinks import result_layout, write_results
 
 
 def match_hits(
@@ -21,16 +24,22 @@ def match_hits(
     stats: DataFrame | None = None,
     k: int = TOP_K,
     min_sim: float = MIN_SIM,
+    lexical: bool = False,
+    q_stats: DataFrame | None = None,
 ) -> DataFrame:
     """Substring hits and verified vector hits of all themes. With vector tables the neighbours
-    come from them, otherwise from the texts' character grams."""
+    come from them, with ``lexical`` from text relevance, otherwise from the texts' character
+    grams."""
     log = with_match_text(log)
     hard = hard_match(keywords, log, stats)
     if q_vecs is not None and kw_vecs is not None:
         near = vector_topk(kw_vecs, q_vecs, k, min_sim)
         candidates = attach_metrics(near, log, max_hits=k * kw_vecs.count())
+    elif lexical:
+        near = lexical_topk(keywords, log, k).drop("score", "distance")
+        candidates = attach_metrics(near, log, max_hits=k * keywords.count())
     else:
-        candidates = gram_topk(keywords, log, k, min_sim)
+        candidates = gram_topk(keywords, log, k, min_sim, counts=q_stats)
     return union_hits(hard, vector_verify(candidates, min_sim))
 
 
@@ -43,15 +52,23 @@ def match_themes(
     k: int = TOP_K,
     min_sim: float = MIN_SIM,
     min_rel: float = MIN_RELEVANCE,
+    q_stats: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored results of all themes: one row per theme and query text."""
-    hits = match_hits(keywords, log, kw_vecs, q_vecs, stats, k, min_sim)
+    """Scored results of all themes: one row per theme and query text. ``stats`` and ``q_stats``
+    are gram counts stored with the log, of its match texts and of its padded texts."""
+    hits = match_hits(keywords, log, kw_vecs, q_vecs, stats, k, min_sim, q_stats=q_stats)
     return relevance_floor(merge_hits(hits), min_rel).drop("score_hard", "score_vector")
 
 
-def finish(results: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Results with their verdict columns."""
-    return apply_verdicts(results, verdicts.dropDuplicates(["theme_pos", "normalized_query"]))
+def finish(results: DataFrame, requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """Results with their verdict columns: replies are read, requests without a readable one get
+    their defaults, and of several verdicts on a query that of the last batch holds."""
+    return apply_verdicts(results, merge_verdicts(verdict_defaults(requests, replies)))
+
+
+def write_final(final: DataFrame, path: str) -> None:
+    """Results of a whole run as CSV, themes in input order and each in result order."""
+    write_results(result_layout(in_theme_order(final)), path)
 
 
 def keywords_of(requests: DataFrame) -> DataFrame:

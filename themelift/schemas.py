@@ -67,47 +67,14 @@ RESULT_COLUMNS = [
     "AI_Reason",
 ]
 
-JOBS = T.StructType(
+RESULT_CSV = T.StructType(
     [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("market", T.StringType()),
-        T.StructField("themes", T.ArrayType(T.StringType())),
-        T.StructField("status", T.StringType()),
-        T.StructField("created_at", T.StringType()),
-        T.StructField("finished_at", T.StringType()),
-    ]
-)
-
-THEME_TASKS = T.StructType(
-    [
-        T.StructField("theme_id", T.StringType()),
-        T.StructField("job_id", T.StringType()),
-        T.StructField("theme", T.StringType()),
-        T.StructField("market", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("expanded_keywords", T.ArrayType(T.StringType())),
-        T.StructField("matched_queries", T.ArrayType(T.StringType())),
-        T.StructField("validated_queries", T.ArrayType(T.StringType())),
-        T.StructField("final_queries", T.ArrayType(T.StringType())),
-        T.StructField("match_count", T.LongType()),
-        T.StructField("valid_count", T.LongType()),
-        T.StructField("invalid_count", T.LongType()),
-        T.StructField("error_msg", T.StringType()),
-        T.StructField("created_at", T.StringType()),
-        T.StructField("finished_at", T.StringType()),
-    ]
-)
-
-VALIDATION_BATCHES = T.StructType(
-    [
-        T.StructField("batch_id", T.StringType()),
-        T.StructField("theme_id", T.StringType()),
-        T.StructField("job_id", T.StringType()),
-        T.StructField("batch_index", T.LongType()),
-        T.StructField("queries", T.ArrayType(T.StringType())),
-        T.StructField("results", VERDICT_MAP),
-        T.StructField("status", T.StringType()),
-        T.StructField("created_at", T.StringType()),
-        T.StructField("finished_at", T.StringType()),
+        T.StructField(name, kind)
+        for name, kind in zip(
+            RESULT_COLUMNS,
+            [T.StringType(), T.StringType(), T.DoubleType(), T.LongType(), T.LongType(), T.DoubleType(),
+             T.IntegerType(), T.StringType(), T.BooleanType(), T.StringType()],
+            strict=True,
+        )
     ]
-)
+)

@@ -45,23 +45,25 @@ def with_row_id(scan: DataFrame) -> DataFrame:
     blocks = placed.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")
     )
-    # Two small levels of running sums: blocks within a file, then files.
+    # Running sums in three levels, none of which meets one task whole: blocks within a file, files
+    # within a range of files, and the ranges, of which there are as many as tasks.
+    blocks = stage(blocks, "blocks")
+    before = "rows between unbounded preceding and 1 preceding), 0)"
     files = blocks.groupBy("_file").agg(F.sum("_rows").alias("_file_rows"))
-    file_start = files.selectExpr(
-        "_file",
-        "coalesce(sum(_file_rows) over (order by _file rows between unbounded preceding "
-        "and 1 preceding), 0) as _file_start",
-    )
+    ranged = stage(files.repartitionByRange("_file").withColumn("_range", F.spark_partition_id()), "files")
+    ranges = ranged.groupBy("_range").agg(F.sum("_file_rows").alias("_range_rows"))
+    range_start = ranges.selectExpr("_range", f"coalesce(sum(_range_rows) over (order by _range {before} as _range_start")
+    file_start = ranged.selectExpr(
+        "_file", "_range", f"coalesce(sum(_file_rows) over (partition by _range order by _file {before} as _file_start"
+    ).join(F.broadcast(range_start), "_range")
     block_start = blocks.selectExpr(
         "_file",
         "_block",
         "_first",
-        "coalesce(sum(_rows) over (partition by _file order by _block rows between "
-        "unbounded preceding and 1 preceding), 0) as _block_start",
-    )
-    offsets = block_start.join(file_start, "_file").select(
-        "_file", "_block", (F.col("_file_start") + F.col("_block_start") - F.col("_first")).alias("_shift")
+        f"coalesce(sum(_rows) over (partition by _file order by _block {before} as _block_start",
     )
+    shift = F.col("_range_start") + F.col("_file_start") + F.col("_block_start") - F.col("_first")
+    offsets = block_start.join(file_start, "_file").select("_file", "_block", shift.alias("_shift"))
     # Staged, so that the count scan runs once for the size check and the join together.
     return lookup_join(placed, stage(offsets, "row-offsets"), ["_file", "_block"]).select(
         (F.col("_seq") + F.col("_shift")).alias("id"), *[F.col(f"`{c}`") for c in scan.columns]
@@ -102,18 +104,32 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/market=*")
 
 
-def adapt_external(df: DataFrame) -> DataFrame:
-    """Bring an external log (``TargetMarket, Query, Srpv``) to the query-log columns; metrics
-    that it does not carry are 0."""
-    return df.select(
+def adapt_external(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """Bring an external log (``Id, TargetMarket, Query, Srpv``) to the query-log columns; metrics
+    that it does not carry are 0. The market dimension (market, code) names the market of a code;
+    rows of other codes are not of a known market and go."""
+    codes = dim.select(F.col("code").alias("TargetMarket"), "market").distinct()
+    return lookup_join(df, codes, ["TargetMarket"]).select(
+        F.col("Id").cast("bigint").alias("id"),
         F.col("Query").alias("normalized_query"),
         F.col("Srpv").cast("bigint").alias("SRPV"),
         F.lit(0).cast("bigint").alias("AdClick"),
         F.lit(0.0).alias("revenue"),
-        F.col("TargetMarket").alias("market_code"),
+        "market",
     )
 
 
+def external_log(shared: DataFrame, dedicated: dict[str, DataFrame], dim: DataFrame) -> DataFrame:
+    """The external logs of all markets as one query log: a market whose dimension row names a
+    dedicated table is read from that, whole, every other market from the shared table."""
+    own = dim.where(F.col("dedicated_table").isNotNull())
+    common = adapt_external(shared, dim.where(F.col("dedicated_table").isNull()))
+    logs = [common]
+    for name, table in dedicated.items():
+        logs.append(adapt_external(table, own.where(F.col("dedicated_table") == name)))
+    return append_logs(*logs)
+
+
 def market_slice(df: DataFrame, code: str | None, dedicated: bool = False) -> DataFrame:
     """Rows of one market of a shared table; a dedicated table is taken whole."""
     return df if dedicated else df.where(F.col("TargetMarket") == code)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themelift.schemas import RESULT_COLUMNS
+from themelift.schemas import RESULT_COLUMNS, RESULT_CSV
+from themelift.sources.query_log import with_row_id
 
 
 def result_layout(
@@ -27,6 +28,12 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, escape='"', encoding="UTF-8").csv(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """A result file, with ``row_no``, the place of each row in it."""
+    rows = spark.read.schema(RESULT_CSV).options(header=True, escape='"', nullValue="", encoding="UTF-8").csv(path)
+    return with_row_id(rows).withColumnRenamed("id", "row_no").withColumn("AI_Reason", F.coalesce("AI_Reason", F.lit("")))
+
+
 def concat_runs(*runs: DataFrame) -> DataFrame:
     """Rows of several runs under each other; columns that a run lacks are null there."""
     out = runs[0]
