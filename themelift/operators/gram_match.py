@@ -112,31 +112,34 @@ def _ranked(vectors: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.withColumn("weights", ordered)
 
 
-def _probes(ranked: DataFrame, min_sim: float) -> DataFrame:
-    """The grams of each keyword that a query must share one of to reach the floor.
+def _probes(ranked: DataFrame) -> DataFrame:
+    """The grams of each keyword that a query must share one of to reach the keyword's ``floor``.
 
     Grams are taken from the rarest in the log to the most frequent. Once the grams left have a
-    norm below ``min_sim`` times the whole norm, a query that shares only those stays below the
-    floor, so they need no probe. ``probe_no`` is the gram's place in ``weights``.
+    norm below ``floor`` times the whole norm, a query that shares only those stays below the
+    floor, so they need no probe. ``probe_no`` is the gram's place in ``weights``, ``before`` the
+    number of occurrences of the probes before it.
     """
     by_rarity = Window.partitionBy("market", "kw_clean").orderBy("n", "gram")
     rest = by_rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    enough = F.col("left_norm") >= F.col("kw_norm") * F.lit(min_sim * min_sim - SLACK)
+    before = by_rarity.rowsBetween(Window.unboundedPreceding, -1)
+    enough = F.col("left_norm") >= F.col("kw_norm") * (F.col("floor") * F.col("floor") - SLACK)
     return (
         ranked.withColumn("left_norm", F.sum(F.col("c") * F.col("c")).over(rest))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("probe_no", F.row_number().over(by_rarity))
         .where(enough & (F.col("n") > 0))
     )
 
 
-def _possible(min_sim: float) -> Column:
+def _possible() -> Column:
     """Cheap bounds of the cosine: the inner product is at most the highest count of one side
     times the grams of the other, and grams of the keyword that the query lacks add nothing to
     it. The lack is tested for the keyword's rarest grams."""
     lacking = " + ".join(
         f"if(contains(q_text, rare_{i}), 0, coalesce(rare_{i}_c, 0))" for i in range(RARE)
     )
-    need = f"sqrt(double(kw_norm * q_norm)) * {min_sim - SLACK!r}D"
+    need = f"sqrt(double(kw_norm * q_norm)) * (floor - {SLACK!r}D)"
     return F.expr(
         f"{need} <= kw_top * (length(q_text) - {GRAM - 1}) "
         f"and {need} <= q_top * (kw_grams - ({lacking}))"
@@ -159,6 +162,37 @@ def _inner_product() -> Column:
     return F.when(F.col("q_top") == 1, once).otherwise(repeated)
 
 
+def _compared(text: DataFrame, ranked: DataFrame, probes: DataFrame, key: list[str], limit: int, salts: int) -> DataFrame:
+    """Queries that hold a probe of a keyword text and reach its floor, with their similarity."""
+    slim = probes.select(
+        *key,
+        "kw_clean",
+        "floor",
+        "probe_no",
+        "kw_norm",
+        "kw_grams",
+        "kw_top",
+        *[F.get("weights", F.lit(i))["gram"].alias(f"rare_{i}") for i in range(RARE)],
+        *[F.get("weights", F.lit(i))["c"].alias(f"rare_{i}_c") for i in range(RARE)],
+    )
+    pairs = (
+        lookup_join(explode_grams(text, "q_text"), slim, key, limit=limit, salts=salts)
+        .where(F.position(F.col("gram"), F.col("q_text")) == F.col("at"))
+        .where(_possible())
+    )
+    whole = ranked.select("market", "kw_clean", "weights").dropDuplicates(["market", "kw_clean"])
+    compared = lookup_join(pairs, whole, ["market", "kw_clean"], limit=limit, salts=salts)
+    earlier = F.slice("weights", F.lit(1), F.col("probe_no") - 1)
+    return (
+        compared.where(~F.exists(earlier, lambda w: F.contains(F.col("q_text"), w["gram"])))
+        .withColumn(
+            "similarity", gram_cosine(_inner_product(), F.col("kw_norm"), F.col("q_norm"))
+        )
+        .where(F.col("similarity") >= F.col("floor"))
+        .select("market", "kw_clean", "id", "normalized_query", *METRICS, "similarity")
+    )
+
+
 def gram_topk(
     keywords: DataFrame,
     log: DataFrame,
@@ -170,9 +204,9 @@ def gram_topk(
 ) -> DataFrame:
     """The ``k`` log rows nearest to each keyword by gram cosine, exact; ties go to the lower id.
 
-    Without a floor every query that shares a gram is compared. With ``min_sim`` the join is on
-    the probe grams and the size classes that can reach it, which leaves out the grams and the
-    lengths that most of the log shares. A candidate is compared once: at the first place of the
+    With ``min_sim`` the join is on the probe grams and the size classes that can reach it, which
+    leaves out the grams and the lengths that most of the log shares. Without a floor each keyword
+    gets its own, from the queries that hold its rarest grams. A candidate is compared once: at the first place of the
     first probe gram that its query holds. The k best are taken per distinct keyword text; only
     then they are handed to every theme that uses the text. ``counts`` are stored gram counts of
     the log (see ``query_gram_stats``).
@@ -186,43 +220,26 @@ def gram_topk(
         wanted = stage(vectors.select("market", "gram").distinct(), "wanted-grams")
         counts = gram_counts(text, "q_text", (GRAM,), wanted, measure(wanted).fits(limit))
     # Read several times below, and measured before it is broadcast or shuffled.
-    ranked = stage(_ranked(vectors, counts), "keyword-grams")
-    probes = _probes(ranked, min_sim)
-    key = ["market", "gram"]
-    slim = probes.select(
-        *key,
-        "kw_clean",
-        "probe_no",
-        "kw_norm",
-        "kw_grams",
-        "kw_top",
-        *[F.get("weights", F.lit(i))["gram"].alias(f"rare_{i}") for i in range(RARE)],
-        *[F.get("weights", F.lit(i))["c"].alias(f"rare_{i}_c") for i in range(RARE)],
-    )
+    ranked = stage(_ranked(vectors, counts).withColumn("floor", F.lit(min_sim)), "keyword-grams")
+    key, texts = ["market", "gram"], ["market", "kw_clean"]
+    best_first = [F.col("similarity").desc(), F.col("id")]
+    probes = _probes(ranked)
     if min_sim > 0:
-        slim = slim.withColumn("q_class", F.explode(_keyword_classes(min_sim)))
+        probes = probes.withColumn("q_class", F.explode(_keyword_classes(min_sim)))
         text = text.withColumn("q_class", _query_class())
         key.append("q_class")
-    grams = explode_grams(text, "q_text")
-    pairs = (
-        lookup_join(grams, slim, key, limit=limit, salts=salts)
-        .where(F.position(F.col("gram"), F.col("q_text")) == F.col("at"))
-        .where(_possible(min_sim))
-    )
-    whole = ranked.select("market", "kw_clean", "weights").dropDuplicates(["market", "kw_clean"])
-    compared = lookup_join(pairs, whole, ["market", "kw_clean"], limit=limit, salts=salts)
-    earlier = F.slice("weights", F.lit(1), F.col("probe_no") - 1)
-    near = (
-        compared.where(~F.exists(earlier, lambda w: F.contains(F.col("q_text"), w["gram"])))
-        .withColumn(
-            "similarity", gram_cosine(_inner_product(), F.col("kw_norm"), F.col("q_norm"))
-        )
-        .where(F.col("similarity") >= min_sim)
-        .select("market", "kw_clean", "id", "normalized_query", *METRICS, "similarity")
-    )
-    best = topk_per(near, ["market", "kw_clean"], [F.col("similarity").desc(), F.col("id")], k)
+    else:
+        # The k-th best of the queries that hold a keyword's rarest grams bounds the k-th best of all.
+        seeds = topk_per(_compared(text, ranked, probes.where(F.col("before") < k), key, limit, salts), texts, best_first, k)
+        kth = F.when(F.count(F.lit(1)) == k, F.min("similarity")).otherwise(0.0)
+        floors = stage(seeds.groupBy(*texts).agg(kth.alias("floor")), "floors")
+        raised = ranked.drop("floor").join(floors, texts, "left")
+        ranked = stage(raised.withColumn("floor", F.coalesce("floor", F.lit(0.0))), "keyword-grams")
+        probes = _probes(ranked)
+    near = _compared(text, ranked, probes, key, limit, salts)
+    best = topk_per(near, texts, best_first, k)
     themed = kw.select(*KEYWORD_KEY, "kw_clean")
-    scored = lookup_join(best, themed, ["market", "kw_clean"], limit=limit, salts=salts)
+    scored = lookup_join(best, themed, texts, limit=limit, salts=salts)
     return scored.select(*KEYWORD_KEY, "id", "normalized_query", *METRICS, "similarity")
 
 

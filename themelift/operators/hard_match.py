@@ -126,12 +126,13 @@ def _wildcard_match(
 
 
 def gram_index(log: DataFrame, sizes: tuple[int, ...] = (1, 2, GRAM)) -> DataFrame:
-    """Inverted index of a log: one (market, gram, id) row per distinct gram of a text."""
+    """Inverted index of a log: one (market, gram, id, match_text) row per distinct gram of a text.
+    The text stands beside its postings, so that candidates are verified where they are read."""
     grams = explode_grams(
         with_match_text(log).select("market", "id", "match_text"), "match_text", sizes
     )
     once = F.position(F.col("gram"), F.col("match_text")) == F.col("at")
-    return grams.where(once).select("market", "gram", "id")
+    return grams.where(once).select("market", "gram", "id", "match_text")
 
 
 def write_gram_index(index: DataFrame, path: str, buckets: int = 64, files: int = 4) -> None:
@@ -165,7 +166,8 @@ def hard_match_indexed(
     """Same hits as ``hard_match``, from a stored ``gram_index`` of the log.
 
     Only postings of the probe grams are read (with ``buckets`` of ``write_gram_index`` the join
-    also prunes the index's folders); the log itself is joined by id to verify the candidates.
+    also prunes the index's folders) and verified there; the log is joined by id for the columns of
+    the hits alone.
     """
     kw = prepare_keywords(keywords)
     size = profile_keywords(kw, "kw_fold").size
@@ -190,12 +192,7 @@ def hard_match_indexed(
         probes = probes.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
         key = key + ["bucket"]
     candidates = lookup_join(index, probes, key, limit=limit, salts=salts, size=size)
-    candidates = candidates.select("market", "id", "kw_fold")
-    text = with_match_text(log).select(*LOG_COLUMNS, "match_text")
-    pairs = (
-        text.join(candidates, ["market", "id"])
-        .where(F.contains(F.col("match_text"), F.col("kw_fold")))
-        .select(*LOG_COLUMNS, "kw_fold")
-    )
+    found = candidates.where(F.contains(F.col("match_text"), F.col("kw_fold")))
+    pairs = log.select(*LOG_COLUMNS).join(found.select("market", "id", "kw_fold"), ["market", "id"])
     themed = kw.select(*KEYWORD_KEY, "kw_fold")
     return _hits(lookup_join(pairs, themed, ["market", "kw_fold"], limit=limit, salts=salts, size=size))

@@ -9,7 +9,7 @@ from themelift.functions.text import strip
 from themelift.functions.vectors import DIGITS, to_distance
 from themelift.operators.positions import topk_per
 from themelift.schemas import KEYWORD_KEY
-from themelift.sizing import BROADCAST_BYTES, SALTS, measure
+from themelift.sizing import BROADCAST_BYTES, SALTS, lookup_join, measure
 
 # The usual BM25 constants.
 K1 = 1.2
@@ -33,10 +33,12 @@ def lexical_topk(
 
     ``similarity`` is the score over the keyword's best score, ``distance`` is 1 - similarity.
     Token weights travel with the keyword side, so that the log is joined once, on the tokens the
-    keywords use; the sums are keyed by (keyword, id), which spreads hot tokens evenly.
+    keywords use; the sums are keyed by (keyword, id), which spreads hot tokens evenly. Distinct
+    keyword texts are scored, and only their best rows are handed to the themes that use them.
     """
-    terms = (
-        keywords.select(*KEYWORD_KEY, F.explode(F.array_distinct(tokens(F.col("keyword")))).alias("token"))
+    text = ["market", "keyword"]
+    terms = keywords.select(*text).distinct().select(
+        *text, F.explode(F.array_distinct(tokens(F.col("keyword")))).alias("token")
     )
     fits = measure(terms).fits(limit)
     words = log.select("market", "id", tokens(F.col("normalized_query")).alias("words")).withColumn(
@@ -63,7 +65,7 @@ def lexical_topk(
                 + (F.col("docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
             ),
         )
-        .select(*KEYWORD_KEY, "token", "idf", "avg_dl")
+        .select(*text, "token", "idf", "avg_dl")
     )
     if fits:
         pairs = postings.join(F.broadcast(weighted), ["market", "token"])
@@ -73,10 +75,12 @@ def lexical_topk(
         pairs = postings.withColumn("_salt", spread).join(salted, ["market", "token", "_salt"])
     length = F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avg_dl")
     part = F.col("idf") * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + F.lit(K1) * length)
-    scored = pairs.groupBy(*KEYWORD_KEY, "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    top = topk_per(scored, KEYWORD_KEY, [F.col("score").desc(), F.col("id")], k)
-    best = F.max("score").over(Window.partitionBy(*KEYWORD_KEY))
+    scored = pairs.groupBy(*text, "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    top = topk_per(scored, text, [F.col("score").desc(), F.col("id")], k)
+    best = F.max("score").over(Window.partitionBy(*text))
     similarity = F.round(F.col("score") / best, DIGITS)
-    return top.withColumn("similarity", similarity).withColumn(
+    near = top.withColumn("similarity", similarity).withColumn(
         "distance", to_distance(F.col("similarity"))
     )
+    themed = lookup_join(near, keywords.select(*KEYWORD_KEY), text, limit=limit, salts=salts)
+    return themed.select(*KEYWORD_KEY, "id", "score", "similarity", "distance")

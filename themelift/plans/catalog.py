@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from themelift.functions import ids, text, vectors
 from themelift.operators import history, inference, merge, verdicts
 from themelift.operators.gram_match import gram_topk, with_gram_text
-from themelift.operators.hard_match import gram_index, hard_match, hard_match_indexed
+from themelift.operators.hard_match import gram_index, hard_match, hard_match_indexed, write_gram_index
 from themelift.operators.keywords import dedup_keywords
 from themelift.operators.lexical import lexical_topk
 from themelift.operators.vector_match import (
@@ -350,8 +350,23 @@ def hard_match_text_rows(spark, sf):
 
 @query("hard_match_indexed")
 def hard_match_indexed_rows(spark, sf):
-    log = query_log.with_match_text(fx.part_log_rows(spark, sf))
-    return _hit_rows(hard_match_indexed(fx.part_keywords(spark, sf), gram_index(log), log))
+    """From an index that is stored once; probe buckets alone are read."""
+    log = stage(query_log.with_match_text(fx.part_log_rows(spark, sf)), "log")
+    path = scratch_dir(spark, "index")
+    write_gram_index(gram_index(log), path, buckets=16)
+    words = stage(fx.part_keywords(spark, sf), "keywords")
+    return _hit_rows(hard_match_indexed(words, spark.read.parquet(path), log, buckets=16))
+
+
+@query("hard_match_wildcards")
+def hard_match_wildcards_rows(spark, sf):
+    """Keywords whose second word is replaced by wildcards: its first letter, then anything that
+    holds its last letters."""
+    words = fx.part_keywords(spark, sf)
+    first, last = F.element_at(F.split("keyword", " "), 1), F.element_at(F.split("keyword", " "), -1)
+    pattern = F.concat(first, F.substring(last, 1, 1), F.lit("%"), F.substring(last, -2, 1), F.lit("_"))
+    words = stage(words.withColumn("keyword", pattern), "keywords")
+    return _hit_rows(hard_match(words, fx.part_log_rows(spark, sf), wildcards=True))
 
 
 @query("vector_topk")

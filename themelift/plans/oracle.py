@@ -461,6 +461,14 @@ ORACLE: dict[str, str] = {
         "kw",
         "log_rows",
     ),
+    "hard_match_wildcards": with_ctes(
+        f"""SELECT k.theme, kw_pos, k.pattern AS keyword, id, normalized_query, "SRPV", 'hard' AS method,
+ round({relevance('normalized_query', 'k.pattern')}, 9) AS relevance
+ FROM (SELECT *, w[1] || w[-1][1] || '%' || w[-1][-2] || '_' AS pattern FROM (SELECT *, string_split(keyword, ' ') AS w FROM kw)) k
+ JOIN log_rows l ON {fold(half_clean('normalized_query'))} LIKE '%' || {fold(clean('k.pattern'))} || '%'""",
+        "kw",
+        "log_rows",
+    ),
     "hard_match_text": with_ctes(f"SELECT {HIT_SELECT} FROM pair_hard", "pair_hard"),
     "vector_topk": with_ctes("SELECT * FROM neighbours", "neighbours"),
     "attach_metrics": with_ctes(
