@@ -11,7 +11,7 @@ import pytest
 from themelift.llm import boosted_trees, bpe, html_extract, packing, quality_rules, simhash, substring, topk, toxicity, warc
 from themelift.llm.queries import vocabulary_path
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, n_words string, kept int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, n_words string, kept int, `odd name` struct<`a b`:int>"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
 
 
@@ -21,7 +21,7 @@ def documents(spark):
     rows = [(i, " ".join(random.choices(words, k=random.randint(1, 80)))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, " \t\n"), (103, LONG), (104, LONG), (105, "\n\n\n"), (None, "alpha beta"), (None, None)]
     rows += [rows[3], rows[3], (3, "another text with this id " * 30)]
-    return spark.createDataFrame([(i, t, None, "s", 1, 0.5, 7, "n", None) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, None, "s", 1, 0.5, 7, "n", None, (1,)) for i, t in rows], DOCS)
 
 
 def labels(spark, rows=None):

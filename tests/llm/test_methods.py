@@ -327,3 +327,12 @@ def test_packed_columns_round_trip():
     part, a, b = np.array([2, 0, 2, 1]), np.array([5, 6, 7, 8]), np.array([1, 2, 3, 4], np.int32)
     got = {k: common.unpacked([blob], [np.int64, np.int32]) for k, blob in common.packed(part, 3, [a, b])}
     assert {k: [x.tolist() for x in v] for k, v in got.items()} == {0: [[6], [2]], 1: [[8], [4]], 2: [[5, 7], [1, 3]]}
+
+
+def test_a_worker_holds_one_thing_at_a_time():
+    first = common.hold("a", list)
+    assert common.hold("a", list) is first
+    common.hold("b", dict)
+    assert common.hold("a", list) is not first
+    assert list(common.tidy(lambda batches: (x + 1 for x in batches), "b")(iter([1, 2]))) == [2, 3]
+    assert "a" not in common._held

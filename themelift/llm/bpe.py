@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from themelift.llm.common import Flat, WordNumbers, row_groups, text_buffer
+from themelift.llm.common import Flat, WordNumbers, hold, row_groups, text_buffer, tidy, with_columns
 
 # Letters and numbers (hexadecimal ranges) that are newer than the Unicode version by which the
 # tokenizer's patterns class characters, and lower-case forms newer than this Python's.
@@ -268,15 +269,14 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return " ".join([vocabulary.tokens[i] for i in ids])
 
 
-_encoders: dict[str, tuple[Encoder, Digests]] = {}
-
-
 def encoder(path: str) -> tuple[Encoder, Digests]:
     """One of each for a vocabulary file and Python worker."""
-    if path not in _encoders:
+
+    def make() -> tuple[Encoder, Digests]:
         vocabulary = load_vocabulary(path)
-        _encoders[path] = Encoder(vocabulary), Digests(vocabulary)
-    return _encoders[path]
+        return Encoder(vocabulary), Digests(vocabulary)
+
+    return hold(f"bpe {path}", make)
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -292,8 +292,8 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows, lists], [*keep, "ids"])
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col(text)).mapInArrow(run, f"{kinds}, ids array<int>")
+    schema = with_columns(docs, keep, {"ids": T.ArrayType(T.IntegerType())})
+    return docs.select(*keep, F.col(text)).mapInArrow(tidy(run, f"bpe {path}"), schema)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -306,8 +306,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", out: str = "deco
             texts = [None if x is None else decode(vocabulary, x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{kinds}, `{out}` string")
+    return encoded.mapInArrow(tidy(run, f"bpe {path}"), with_columns(encoded, tuple(names), {out: T.StringType()}))
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -332,5 +331,5 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run, f"bpe {path}"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

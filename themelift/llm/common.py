@@ -6,20 +6,67 @@ A word is a longest run of bytes other than the six ASCII white space characters
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NO_ID = (1 << 63) - 1  # stands for a null id: after all others, never a smaller document
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+_held: dict[str, object] = {}
+
+
+def hold(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker remembers from one task to the next, made where it is missing. A worker
+    remembers one such thing at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers serve one operator after the other."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], holds: str = "") -> Callable[[Iterator], Iterator]:
+    """A task's function that first forgets what other operators hold, and at the end gives back
+    what it has freed itself."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        for name in _held.keys() - {holds}:
+            del _held[name]
+        yield from run(batches)
+        _give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for the function of a group."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        _held.clear()
+        out = run(table)
+        _give_back()
+        return out
+
+    return tidied
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +89,12 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     return rows, [F.col(f"_column_{k}").alias(n) for k, n in enumerate(names)]
 
 
+def with_columns(docs: DataFrame, keep: tuple[str, ...], new: dict[str, T.DataType]) -> T.StructType:
+    """A schema of some columns of a table, of whatever type, and of new columns."""
+    old = [T.StructField(n, docs.schema[n].dataType) for n in keep]
+    return T.StructType(old + [T.StructField(n, kind) for n, kind in new.items()])
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and the offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -193,24 +246,35 @@ class WordNumbers:
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.known: dict[int, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def full(self) -> bool:
+        return len(self.hashes) > self.limit
 
     def number(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], bool]:
         """Of some rows of text: the number of each word, where the words of each row begin (and the
         last row's end), the words that are new, in the order of their numbers, and whether the
         numbers began anew."""
         starts, ends, row = word_bounds(data, offsets)
-        cleared = len(self.known) > self.limit
+        cleared = self.full()
         if cleared:
-            self.known.clear()
+            self.clear()
         distinct, first, each = np.unique(
             word_hashes(data, starts, ends), return_index=True, return_inverse=True
         )
-        known = self.known
-        numbers = [known.get(x, -1) for x in distinct.tolist()]
-        new: list[bytes] = []
-        for at in [k for k, x in enumerate(numbers) if x < 0]:
-            numbers[at] = known[int(distinct[at])] = len(known)
-            new.append(data[starts[first[at]] : ends[first[at]]].tobytes())
+        known, place = len(self.hashes), np.searchsorted(self.hashes, distinct)
+        at = np.minimum(place, max(known - 1, 0))
+        old = self.hashes[at] == distinct if known else np.zeros(len(distinct), bool)
+        numbers = np.zeros(len(distinct), np.int32)
+        numbers[old] = self.numbers[at[old]]
+        fresh = np.flatnonzero(~old)
+        numbers[fresh] = known + np.arange(len(fresh))
+        if len(fresh):
+            self.hashes = np.insert(self.hashes, place[fresh], distinct[fresh])
+            self.numbers = np.insert(self.numbers, place[fresh], numbers[fresh])
+        raw = [data[a:b].tobytes() for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)]
         bounds = np.searchsorted(row, np.arange(len(offsets)))
-        return np.array(numbers, np.int64)[each], bounds, new, cleared
+        return numbers[each].astype(np.int64), bounds, raw, cleared

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themelift.llm.common import (
     BASE,
@@ -21,7 +22,9 @@ from themelift.llm.common import (
     prefix_sums,
     row_groups,
     text_buffer,
+    tidy,
     window_hashes,
+    with_columns,
     word_bounds,
     word_hashes,
 )
@@ -127,7 +130,9 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def measured(docs: DataFrame, names: tuple[str, ...] = COUNTS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def measured(
+    docs: DataFrame, names: tuple[str, ...] = COUNTS, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
     """The columns ``keep`` and a long for each count of the whole text; ``keep`` may hold the text
     and any other column, but none that is named like a count."""
 
@@ -141,5 +146,5 @@ def measured(docs: DataFrame, names: tuple[str, ...] = COUNTS, keep: tuple[str,
                     rows + [pa.array(found[n], pa.int64()) for n in names], [*keep, *names]
                 )
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text")).mapInArrow(run, kinds + "".join(f", {n} long" for n in names))
+    schema = with_columns(docs, keep, {n: T.LongType() for n in names})
+    return docs.select(*keep, F.col("text")).mapInArrow(tidy(run), schema)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themelift.llm.common import Flat, WordNumbers, row_groups, text_buffer
+from themelift.llm.common import Flat, WordNumbers, hold, row_groups, text_buffer, tidy
 
 TIERS = (256, 512, 1024, 2048)
 FINAL_ID = 1
@@ -177,9 +177,6 @@ class Ids:
         return [raw[a:b] + end for a, b in zip(cut, cut[1:], strict=False)]
 
 
-_ids: dict[str, Ids] = {}
-
-
 def packed_batch(doc_ids: list, ids: list[bytes], tiers: tuple[int, ...], first: int) -> tuple[pa.RecordBatch, int]:
     """Rows of the pieces of some documents; sequences are numbered from ``first``. Also the next
     free number."""
@@ -202,9 +199,8 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS) -
     sequence_tokens (the sequence's length, a power of two) and step_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ids:
-            _ids[path] = Ids(path)
-        own, next_id = _ids[path], TaskContext.get().partitionId() << 40
+        own = hold(f"packing {path}", lambda: Ids(path))
+        next_id = TaskContext.get().partitionId() << 40
         doc_ids: list = []
         ids: list[bytes] = []
         size = 0
@@ -222,4 +218,4 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS) -
         if ids:
             yield packed_batch(doc_ids, ids, tiers, next_id)[0]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, f"packing {path}"), SCHEMA)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themelift.llm.common import row_groups, text_buffer, word_bounds
+from themelift.llm.common import row_groups, text_buffer, tidy, word_bounds
 from themelift.llm.components import components
 from themelift.sizing import lookup_join, stage
 
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     [batch.column(0).slice(first, last - first), pa.array(prints)], ["doc_id", "fp"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 class Tree:
@@ -200,7 +200,7 @@ def links(prints: DataFrame, radius: int = RADIUS, count: int | None = None, tre
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     shards = rows.repartition("choice", "key", "tree").sortWithinPartitions("choice", "key", "tree", "asks", "fp")
-    return shards.mapInArrow(run, "a long, b long")
+    return shards.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

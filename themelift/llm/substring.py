@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themelift.llm.common import (
     NO_ID,
@@ -36,8 +37,11 @@ from themelift.llm.common import (
     row_groups,
     shuffle_partitions,
     text_buffer,
+    tidy,
+    tidy_group,
     unpacked,
     window_hashes,
+    with_columns,
     word_bounds,
     word_hashes,
 )
@@ -45,7 +49,7 @@ from themelift.llm.common import (
 WINDOW = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # every remainder modulo 31 is a difference of two of these
-HELD_ROWS = 1 << 21  # anchors or windows that a task holds before it deals them
+HELD_ROWS = 1 << 19  # anchors or windows that a task holds before it deals them
 DEALT, DECIDED = 0, 1
 KINDS = [np.int64, np.int64, np.int64, np.int32]  # hash, id, row key, position
 
@@ -161,7 +165,7 @@ def anchor_rows(docs: DataFrame, window: int, parts: int) -> DataFrame:
         if rows:
             yield from send(deal_anchors(*map(np.concatenate, zip(*held, strict=True)), parts))
 
-    return docs.select("id", "row_key", "text").mapInArrow(run, BLOBS)
+    return docs.select("id", "row_key", "text").mapInArrow(tidy(run), BLOBS)
 
 
 def columns_of(table: pa.Table, kind: int, kinds: list[type]) -> list[np.ndarray]:
@@ -183,7 +187,7 @@ def shared_anchors(dealt: DataFrame, parts: int) -> DataFrame:
             out = [np.concatenate([x, y[rows]]) for x, y in zip(out, (ids, keys, at), strict=True)]
         return pa.Table.from_batches(list(send(deal(parts, DECIDED, out[1], out))), BLOB_SCHEMA)
 
-    return dealt.groupBy("part").applyInArrow(run, BLOBS)
+    return dealt.groupBy("part").applyInArrow(tidy_group(run), BLOBS)
 
 
 BLOB_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -200,7 +204,7 @@ def by_document(dealt: DataFrame) -> DataFrame:
         places = [at[a:b].tobytes() for a, b in zip(start, [*start[1:], len(at)], strict=True)] if len(ids) else []
         return pa.table({"id": ids[start], "row_key": keys[start], "places": pa.array(places, pa.binary())})
 
-    return dealt.groupBy("part").applyInArrow(run, "id long, row_key long, places binary")
+    return dealt.groupBy("part").applyInArrow(tidy_group(run), "id long, row_key long, places binary")
 
 
 def places_of(column: pa.Array, first: int, last: int, words: Words) -> np.ndarray:
@@ -269,7 +273,7 @@ def window_rows(marked: DataFrame, window: int, parts: int) -> DataFrame:
         if rows:
             yield from send(deal_windows(*map(np.concatenate, zip(*held, strict=True)), parts))
 
-    return marked.mapInArrow(run, BLOBS)
+    return marked.mapInArrow(tidy(run), BLOBS)
 
 
 def removable_windows(dealt: DataFrame, parts: int) -> DataFrame:
@@ -285,7 +289,7 @@ def removable_windows(dealt: DataFrame, parts: int) -> DataFrame:
             out = [np.concatenate([x, y[rows]]) for x, y in zip(out, (ids, keys, at), strict=True)]
         return pa.Table.from_batches(list(send(deal(parts, DECIDED, out[1], out))), BLOB_SCHEMA)
 
-    return dealt.groupBy("part").applyInArrow(run, BLOBS)
+    return dealt.groupBy("part").applyInArrow(tidy_group(run), BLOBS)
 
 
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -317,35 +321,38 @@ def without_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns: text as it is where nothing is removed, otherwise the
     words that stay, joined by one space; n_chars, if there is one, counts the new text."""
     names = docs.columns
-    row = F.struct(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)])
+    others = {n: f"c{k}" for k, n in enumerate(names) if n != "text"}
+    row = F.struct(F.col("text").isNull().alias("no_text"), *[F.col(f"`{n}`").alias(c) for n, c in others.items()])
     rows = keyed(docs, row.alias("row"))
     joined = rows.join(removals(docs, window), ["id", "row_key"], "left")
-    out = _kept(joined.select("id", "text", "places", "row"), window, ("row",))
-    changed = F.col("n_removed") > 0
-    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
-    old = {n: F.col(f"row.c{k}") for k, n in enumerate(names)}
-    return out.select(
-        *[
-            F.when(changed, new[n].cast(docs.schema[n].dataType)).otherwise(c).alias(n) if n in new else c.alias(n)
-            for n, c in old.items()
-        ]
-    )
+    out = _kept(joined.select("id", "text", "places", "row"), window, ("row",), verbatim=True)
+    columns = {n: F.col(f"row.{c}") for n, c in others.items()}
+    columns["text"] = F.when(~F.col("row.no_text"), F.col("kept"))
+    if "n_chars" in columns:
+        size = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, size).otherwise(columns["n_chars"])
+    return out.select(*[columns[n].alias(n) for n in names])
+
 
+def _kept(joined: DataFrame, window: int, carry: tuple[str, ...], verbatim: bool = False) -> DataFrame:
+    """Counts and kept text of each row; with ``verbatim`` a text that loses nothing stays as it is."""
 
-def _kept(joined: DataFrame, window: int, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in groups(batch, 1):
-                words, removed, texts = kept_words(batch.column(2), first, last, data, offsets, window)
+                words, removed, texts = kept_words(batch.column(2), first, last, data, offsets, window, verbatim)
                 own = [batch.column(k).slice(first, last - first) for k in (0, *range(3, 3 + len(carry)))]
                 new = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([own[0], *new, *own[1:]], ["id", "n_words", "n_removed", "kept", *carry])
 
-    kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(run, "id long, n_words long, n_removed long, kept string" + kinds)
+    new = {"id": T.LongType(), "n_words": T.LongType(), "n_removed": T.LongType(), "kept": T.StringType()}
+    schema = with_columns(joined, (), new | {c: joined.schema[c].dataType for c in carry})
+    return joined.mapInArrow(tidy(run), schema)
 
 
-def kept_words(places: pa.Array, first: int, last: int, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def kept_words(
+    places: pa.Array, first: int, last: int, data: np.ndarray, offsets: np.ndarray, window: int, verbatim: bool
+) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word count, removed words and kept text of some rows."""
     starts, ends, row = word_bounds(data, offsets)
     bounds = np.searchsorted(row, np.arange(len(offsets)))
@@ -365,5 +372,6 @@ def kept_words(places: pa.Array, first: int, last: int, data: np.ndarray, offset
             own = np.arange(bounds[k], bounds[k + 1])[~gone[bounds[k] : bounds[k + 1]]]
             texts.append(b" ".join([raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]))
         else:
-            texts.append(b" ".join(raw[offsets[k] : offsets[k + 1]].split()))
+            whole = raw[offsets[k] : offsets[k + 1]]
+            texts.append(whole if verbatim else b" ".join(whole.split()))
     return np.diff(bounds), removed, texts

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themelift.llm.common import tidy
+
 SCALE = 256
 TILE_QUERIES = 8192
 TILE_VECTORS = 65_536
@@ -132,7 +134,7 @@ def tile_lists(dealt: DataFrame, k: int) -> DataFrame:
         if here is not None:
             yield from lists()
 
-    return dealt.mapInArrow(run, "query_id long, tile_column long, vec_id long, score long")
+    return dealt.mapInArrow(tidy(run), "query_id long, tile_column long, vec_id long, score long")
 
 
 def merge_tree(lists: DataFrame, k: int, columns: int) -> DataFrame:

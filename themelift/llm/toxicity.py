@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themelift.llm.boosted_trees import labelled
-from themelift.llm.common import Flat, WordNumbers, held_out, numbered, row_groups, text_buffer
+from themelift.llm.common import Flat, WordNumbers, held_out, numbered, row_groups, text_buffer, tidy, with_columns
 from themelift.llm.simhash import lowered
 from themelift.sizing import lookup_join, stage
 
@@ -45,8 +46,7 @@ DISCOUNT = 0.75
 START, END = 0x01, 0x02  # marks; control characters of a text may equal them
 GRAM_SLOTS, CONTEXT_SLOTS = 1 << 23, 1 << 21
 FIT_ROWS = 20_000
-WORDS_KEPT = 400_000
-GRAMS_HELD = 1 << 22
+WORDS_KEPT = 200_000
 ORDINARY, TOXIC, UNKNOWN = 0, 1, 2
 THRESHOLD = 0.5
 DETAILS = ("_whole", "_peak", "_plain_peak")
@@ -74,7 +74,7 @@ class Counter:
         self.counts = np.zeros((WORDS_KEPT, 3), np.int64)
 
     def add(self, data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(self.words.known) > WORDS_KEPT:
+        if self.words.full():
             yield from self.grams()
         numbers, bounds, new, _ = self.words.number(data, offsets)
         self.texts += new
@@ -91,7 +91,7 @@ class Counter:
             distinct, at = np.unique(gram, return_inverse=True)
             sums = [np.bincount(at, self.counts[word, k], len(distinct)).astype(np.int64) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(distinct), *map(pa.array, sums)], ["gram", "c0", "c1", "c2"])
-        self.words.known.clear()
+        self.words.clear()
         self.texts = []
         self.counts[:] = 0
 
@@ -112,7 +112,7 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield from counter.add(part, offsets[first : last + 1] - offsets[first], classes[first:last])
         yield from counter.grams()
 
-    tasks = rows.select(kind.alias("kind"), "text").mapInArrow(run, "gram long, c0 long, c1 long, c2 long")
+    tasks = rows.select(kind.alias("kind"), "text").mapInArrow(tidy(run), "gram long, c0 long, c1 long, c2 long")
     return tasks.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2")])
 
 
@@ -223,33 +223,24 @@ class Scorer:
         return [whole, np.where(np.isfinite(peak), peak, 0.0), np.where(np.isfinite(plain), plain, 0.0)]
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def scorer(model: Broadcast) -> Scorer:
-    """The scorer of a model, one in a Python worker."""
-    key = model._jbroadcast_id if hasattr(model, "_jbroadcast_id") else id(model.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model.value)
-    return _scorers[key]
-
-
-def described(docs: DataFrame, model: Broadcast, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the three numbers of every whole text."""
+def described(docs: DataFrame, model: Broadcast, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep`` and the three numbers of every whole text, which is one of the columns
+    kept or another one."""
+    sent = keep if text in keep else (*keep, text)
+    at = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(model)
+        own = Scorer(model.value)  # freed with the task: workers serve later stages too
         for batch in batches:
-            data, offsets = text_buffer(batch.column(len(keep)))
+            data, offsets = text_buffer(batch.column(at))
             for first, last in row_groups(offsets):
                 part = lowered(data[offsets[first] : offsets[last]])
                 found = own.details(part, offsets[first : last + 1] - offsets[first])
                 rows = [batch.column(k).slice(first, last - first) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rows, *map(pa.array, found)], [*keep, *DETAILS])
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text")).mapInArrow(run, kinds + "".join(f", {n} double" for n in DETAILS))
+    schema = with_columns(docs, keep, {n: T.DoubleType() for n in DETAILS})
+    return docs.select(*sent).mapInArrow(tidy(run), schema)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -289,10 +280,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Bro
     return model, fit_curve(x, got["y"].to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, model: Broadcast, weights: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
+def scored(docs: DataFrame, model: Broadcast, weights: np.ndarray, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns ``keep`` and _score, the likelihood of label 1."""
     margin = sum((F.col(n) * float(w) for n, w in zip(DETAILS, weights, strict=False)), F.lit(float(weights[-1])))
-    return described(docs, model, keep).withColumn("_score", 1 / (1 + F.exp(-margin))).drop(*DETAILS)
+    return described(docs, model, keep, text).withColumn("_score", 1 / (1 + F.exp(-margin))).drop(*DETAILS)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -305,6 +296,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score stays under the threshold."""
     rows, named = numbered(docs)
-    text = F.col(rows.columns[docs.columns.index("text")])
-    out = scored(rows.withColumn("text", text), *learn(docs, labels, label), tuple(rows.columns))
+    text = rows.columns[docs.columns.index("text")]
+    out = scored(rows, *learn(docs, labels, label), tuple(rows.columns), text)
     return out.where(F.col("_score") < threshold).select(*named)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themelift.llm.common import tidy
 from themelift.sizing import lookup_join, scratch_dir, stage
 
 RECORDS_A_FILE = 4096
@@ -155,7 +156,7 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
             columns.append(pa.array(bodies, pa.binary()))
         return pa.RecordBatch.from_arrays(columns, names + ["payload"] * payloads)
 
-    return files.mapInArrow(run, HEADERS + ", payload binary" * payloads)
+    return files.mapInArrow(tidy(run), HEADERS + ", payload binary" * payloads)
 
 
 def originals(headers: DataFrame, least: int = 0) -> DataFrame:
