@@ -13,16 +13,17 @@ each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from themelift.llm.common import held_out, numbered
-from themelift.llm.doc_stats import COUNTS, measured
+from themelift.llm.common import held_out, numbered, row_groups, text_buffer, tidy, with_columns
+from themelift.llm.doc_stats import counts
 from themelift.sizing import lookup_join, stage
 
 SAMPLE_ROWS = 20_000  # labelled rows that the trees are grown from
@@ -31,25 +32,21 @@ RATE, SMOOTHING, LEAST_WEIGHT = 0.2, 1.0, 2.0
 THRESHOLD = 0.3
 
 
-def _share(name: str, of: str) -> Column:
-    return F.col(name) / F.greatest(F.col(of), F.lit(1))
+SHARES_OF_WORDS = (
+    "word_chars", "n_symbols", "n_repeat_words", "n_distinct_words", "n_exclaims", "n_bars", "n_stops", "n_commas",
+    "n_short_words", "n_long_words", "n_word_repeats", "n_pairs_again",
+)
+SHARES_OF_BYTES = ("n_upper", "n_digits", "n_wide")
+FEATURES = (*SHARES_OF_WORDS, *SHARES_OF_BYTES, "n_dup_lines", "words_a_line", "longest_word", "log_words")
 
 
-def features() -> dict[str, Column]:
-    """Ratios of the counts: none grows with the length of a text but the two logarithms."""
-    shares = {
-        name: _share(name, "n_words")
-        for name in (
-            "word_chars", "n_symbols", "n_repeat_words", "n_distinct_words", "n_exclaims", "n_bars", "n_stops",
-            "n_commas", "n_short_words", "n_long_words", "n_word_repeats", "n_pairs_again",
-        )
-    }
-    shares |= {name: _share(name, "n_bytes") for name in ("n_upper", "n_digits", "n_wide")}
-    shares["n_dup_lines"] = _share("n_dup_lines", "n_lines")
-    shares["words_a_line"] = F.log1p(_share("n_words", "n_lines"))
-    shares["longest_word"] = F.log1p("longest_word")
-    shares["log_words"] = F.log1p("n_words")
-    return {k: v.cast("double") for k, v in shares.items()}
+def features(found: dict[str, np.ndarray]) -> np.ndarray:
+    """A row of ratios for each text: none grows with its length but the logarithms."""
+    words, size, lines = (np.maximum(found[n], 1) for n in ("n_words", "n_bytes", "n_lines"))
+    columns = [found[n] / words for n in SHARES_OF_WORDS] + [found[n] / size for n in SHARES_OF_BYTES]
+    columns += [found["n_dup_lines"] / lines, np.log1p(found["n_words"] / lines)]
+    columns += [np.log1p(found["longest_word"]), np.log1p(found["n_words"])]
+    return np.stack(columns, axis=1)
 
 
 @dataclass
@@ -135,33 +132,39 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Trees from at most ``rows`` labelled documents, chosen by a hash of the id."""
     sample = labelled(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     joined = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), stage(sample, "sample"), ["doc_id"])
-    stats = statistics(joined, ("doc_id", "y"))
-    got = stats.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    names = [n for n in stats.columns if n not in ("doc_id", "y")]
-    x = np.stack([got[n].to_numpy() for n in names], axis=1) if len(got) else np.zeros((0, len(names)))
+    found = _per_text(joined, ("doc_id", "y"), {n: T.DoubleType() for n in FEATURES}, lambda x: list(x.T))
+    got = found.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    x = np.stack([got[n].to_numpy() for n in FEATURES], axis=1) if len(got) else np.zeros((0, len(FEATURES)))
     return grow(x, got["y"].to_numpy().astype(float))
 
 
-def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the features of every whole text."""
-    return measured(docs, COUNTS, keep).select(*keep, *[c.alias(f"f_{n}") for n, c in features().items()])
-
-
-def scored(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and _score, the likelihood of label 1."""
-    stats = statistics(docs, keep)
-    names = stats.columns[len(keep) :]
+def _per_text(
+    docs: DataFrame,
+    keep: tuple[str, ...],
+    new: dict[str, T.DataType],
+    of: Callable[[np.ndarray], list[np.ndarray]],
+    text: str = "text",
+) -> DataFrame:
+    """The columns ``keep`` and new ones, made from the features of the whole text, which is one of
+    the columns kept or another one."""
+    sent = keep if text in keep else (*keep, text)
+    at = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(len(keep) + k).to_numpy(zero_copy_only=False) for k in range(len(names))], axis=1)
-            for first in range(0, len(x), 4096):
-                score = 1 / (1 + np.exp(-trees.margins(x[first : first + 4096])))
-                rows = [batch.column(k).slice(first, len(score)) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(score)], [*keep, "_score"])
+            data, offsets = text_buffer(batch.column(at))
+            for first, last in row_groups(offsets):
+                found = counts(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                rows = [batch.column(k).slice(first, last - first) for k in range(len(keep))]
+                made = [pa.array(np.ascontiguousarray(c)) for c in of(features(found))]
+                yield pa.RecordBatch.from_arrays(rows + made, [*keep, *new])
 
-    kinds = "".join(f"`{k}` {stats.schema[k].dataType.simpleString()}, " for k in keep)
-    return stats.mapInArrow(run, kinds + "_score double")
+    return docs.select(*sent).mapInArrow(tidy(run), with_columns(docs, keep, new))
+
+
+def scored(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep`` and _score, the likelihood of label 1."""
+    return _per_text(docs, keep, {"_score": T.DoubleType()}, lambda x: [1 / (1 + np.exp(-trees.margins(x)))], text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -174,6 +177,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the threshold."""
     rows, named = numbered(docs)
-    text = F.col(rows.columns[docs.columns.index("text")])
-    out = scored(rows.withColumn("text", text), learn(docs, labels, label), tuple(rows.columns))
+    out = scored(rows, learn(docs, labels, label), tuple(rows.columns), rows.columns[docs.columns.index("text")])
     return out.where(F.col("_score") >= threshold).select(*named)
