@@ -132,3 +132,24 @@ def test_vectors_that_take_no_part(spark):
         (50, 1, 6, -256 * 128 - 128), (50, 2, 7, -256 * 128 - 128), (50, 3, 0, -256 * 256 - 128),
     ]
     assert topk.top_k(none_of(v), none_of(v)).collect() == []
+
+
+SENTENCE = "A sentence of the text, with several words, and marks; it goes on, and on. "
+PARAGRAPH = f"<p>{SENTENCE * 4}</p>"
+
+
+def test_path_ratios_decide_inside_articles():
+    links = "".join(f"<div class=x><a href=#>Other story number {k}, with a headline</a></div>" for k in range(5))
+    labels = "".join(f"<span><div class=y>t{k}</div></span>" for k in range(12))
+    got = html_extract.main_text(f"<article><h1>Headline</h1>{PARAGRAPH}{links}{PARAGRAPH}<ul><li>one</ul>{PARAGRAPH}{labels}</article>").split("\n")
+    assert got == ["Headline", *[(SENTENCE * 4).strip()] * 2, "one", (SENTENCE * 4).strip()]
+
+
+def test_headline_and_lead_before_the_article():
+    got = html_extract.main_text(f"<main><h1>Headline</h1><p>A lead, of some words.</p><article>{PARAGRAPH}</article></main>")
+    assert got.split("\n")[:2] == ["Headline", "A lead, of some words."] and SENTENCE.strip() in got
+
+
+def test_text_beside_a_teaser_article():
+    got = html_extract.main_text(f"<div class=x>{PARAGRAPH * 4}</div><article class=y><p>Teaser</p></article>")
+    assert got.count("A sentence") == 16

@@ -3,8 +3,11 @@
 A page is read into blocks: stretches of text between block-level tags, each with the path of tags
 from the root. For every path, text length, punctuation, link text and the number of its blocks are
 added up; their ratios are smoothed over neighbouring blocks in page order and fused into one number
-a path. Paths are then taken together by their content root (the outermost article or main part,
-else the parent), weighted by what the root is, and the roots above the threshold are the content.
+a path, which article and main parts multiply by a bonus. Paths whose number reaches a quarter of
+the best are content. In the content root of such paths (the outermost article or main part, else
+the nearest path above them all) blocks between them are content as well (lists, quotes), and
+headings before, and blocks before and after that reach a twentieth (leads, closing lists), but none
+that is half link text.
 Parts that are no article by their tag, class, id or role (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments of readers) have weight 0.
 
@@ -65,10 +68,12 @@ NOT_ARTICLE_WORDS = frozenset(
     "recommended recommendations login signin search toolbar skip copyright disclaimer tracking hidden".split()
 )
 HEADER_WORDS = frozenset("header head top".split())
-CONTENT_TAGS = {"article": 4.0, "main": 3.0}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTENT_TAGS = {"article": 8.0, "main": 8.0}
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
-ROOT_WEIGHT = 2.0
-THRESHOLD = 0.25  # of the best root's number
+ROOT_WEIGHT = 6.0
+THRESHOLD = 0.25  # of the best path's number
+WEAK = 0.05  # the same for blocks next to the content in its root
 SMOOTHING = (0.25, 0.5, 0.25)
 
 TAG = re.compile(
@@ -88,11 +93,11 @@ class Element:
 
     name: str
     path: int  # number of the path of block tags down to it
-    parent: int  # number of the path above that
-    root: int  # number of the path of the content root it is in, -1: none
-    weight: float  # of that root, 1: none, 0: no part of an article
+    root: int  # number of the path of the outermost content root it is in, -1: none
+    weight: float  # the best of the roots it is in, 1: none, 0: no part of an article
     link: bool
     inside: bool  # an article or main part
+    heading: bool
 
 
 @dataclass
@@ -102,9 +107,10 @@ class Block:
     weight: float
     text: str
     links: int
+    heading: bool
 
 
-OUTSIDE = Element("", 0, 0, -1, 1.0, False, False)
+OUTSIDE = Element("", 0, -1, 1.0, False, False, False)
 
 
 def element(name: str, attributes: str, around: Element, paths: dict[tuple[int, str], int]) -> Element:
@@ -128,15 +134,15 @@ def element(name: str, attributes: str, around: Element, paths: dict[tuple[int,
         weight = CONTENT_TAGS["main"]
     elif name in ("div", "section", "td") and words & CONTENT_WORDS:
         weight = ROOT_WEIGHT
-    path, parent, root, best = around.path, around.parent, around.root, around.weight
+    path, root, best = around.path, around.root, around.weight
     if name in BLOCKS:
         label = name + "".join(f".{w}" for w in names.lower().split())
-        path, parent = paths.setdefault((path, label), len(paths) + 1), path
+        path = paths.setdefault((path, label), len(paths) + 1)
     if weight == 0.0 or best == 0.0:
         best = 0.0
-    elif weight > best:
-        root, best = path, weight
-    return Element(name, path, parent, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS)
+    elif weight > 1.0:
+        root, best = path if root < 0 else root, max(best, weight)
+    return Element(name, path, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS, around.heading or name in HEADINGS)
 
 
 def close(open_: list[Element], names: set[str], scope: frozenset[str]) -> None:
@@ -149,8 +155,9 @@ def close(open_: list[Element], names: set[str], scope: frozenset[str]) -> None:
             return
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in its order; those without text are left out."""
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page in its order, without those that have no text; and of each path the
+    number of the path above it."""
     out: list[Block] = []
     open_: list[Element] = []
     paths: dict[tuple[int, str], int] = {}
@@ -162,7 +169,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             now = open_[-1] if open_ else OUTSIDE
-            out.append(Block(now.path, now.parent if now.root < 0 else now.root, now.weight, text, links))
+            out.append(Block(now.path, now.root, now.weight, text, links, now.heading))
         parts.clear()
         links = 0
 
@@ -204,12 +211,12 @@ def blocks(page: str) -> list[Block]:
             open_.append(element(name, attributes, open_[-1] if open_ else OUTSIDE, paths))
     add(page[at:])
     end_block()
-    return out
+    return out, [0, *(above for above, _ in paths)]
 
 
-def ratios(found: list[Block]) -> np.ndarray:
+def ratios(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     """The fused number of each block's path: text and punctuation a block, smoothed over the page
-    and lowered by the share of link text."""
+    and lowered by the share of link text; and that share."""
     at: dict[int, int] = {}
     which = np.array([at.setdefault(b.path, len(at)) for b in found])
     text = np.array([len(b.text) for b in found], float)
@@ -223,22 +230,59 @@ def ratios(found: list[Block]) -> np.ndarray:
 
     share = np.minimum(np.bincount(which, links) / np.bincount(which, text), 1.0)[which]
     fused = np.sqrt(smoothed(text)) * (1.0 + smoothed(marks)) * (1.0 - share)
-    return (np.bincount(which, fused) / many)[which]
+    return (np.bincount(which, fused) / many)[which], share
+
+
+def inside_common(found: list[Block], chosen: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Which blocks lie in the nearest path above all chosen ones; a path has a larger number than
+    those above it."""
+    below = [0] * len(parents)
+    for at in np.flatnonzero(chosen).tolist():
+        below[found[at].path] += 1
+    top, total = 0, sum(below)
+    for path in range(len(parents) - 1, 0, -1):
+        if below[path] == total:
+            top = path
+            break
+        below[parents[path]] += below[path]
+    held = [path == top for path in range(len(parents))]
+    for path in range(1, len(parents)):
+        held[path] = held[path] or held[parents[path]]
+    return np.array([held[b.path] for b in found])
+
+
+def selected(found: list[Block], parents: list[int]) -> np.ndarray:
+    """Which blocks are the content."""
+    fused, share = ratios(found)
+    numbers = fused * np.array([b.weight for b in found])
+    strong = numbers >= THRESHOLD * numbers.max()
+    weak = (numbers >= WEAK * numbers.max()) & (share < 0.5)
+    before = weak | (np.array([b.heading for b in found]) & (share < 0.5))
+    roots, keep = np.array([b.root for b in found]), strong.copy()
+    for root in np.unique(roots[strong]).tolist():
+        here = roots == root
+        if root < 0:
+            here &= inside_common(found, strong & here, parents)
+        at = np.flatnonzero(here)
+        sure = np.flatnonzero(strong[at])
+        first, last = int(sure[0]), int(sure[-1])
+        keep[at[first : last + 1]] |= share[at[first : last + 1]] < 0.5
+        while first > 0 and before[at[first - 1]]:
+            first -= 1
+        while last + 1 < len(at) and weak[at[last + 1]]:
+            last += 1
+        keep[at[first : sure[0]]] = True
+        keep[at[sure[-1] : last + 1]] = True
+    return keep
 
 
 def main_text(page: str) -> str:
-    """The blocks of the content paths, one a line."""
-    found = [b for b in blocks(page) if b.weight > 0]
+    """The blocks that are content, one a line."""
+    found, parents = blocks(page)
+    found = [b for b in found if b.weight > 0]
     if not found:
         return ""
-    fused, weight = ratios(found), max(b.weight for b in found)
-    totals: dict[int, float] = {}
-    for block, number in zip(found, fused, strict=True):
-        if block.weight == weight:
-            totals[block.root] = totals.get(block.root, 0.0) + float(number)
-    least = THRESHOLD * max(totals.values()) if weight <= ROOT_WEIGHT else 0.0
-    chosen = {root for root, total in totals.items() if total >= least}
-    return "\n".join(b.text for b in found if b.weight == weight and b.root in chosen)
+    return "\n".join(b.text for b, keep in zip(found, selected(found, parents), strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
