@@ -6,10 +6,11 @@ import hashlib
 import random
 
 import corpus_pipeline
+import duckdb
 import pytest
 
 from themelift.llm import boosted_trees, bpe, html_extract, packing, quality_rules, simhash, substring, topk, toxicity, warc
-from themelift.llm.queries import vocabulary_path
+from themelift.llm.queries import ORACLE, vocabulary_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, n_words string, kept int, `odd name` struct<`a b`:int>"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
@@ -153,3 +154,18 @@ def test_headline_and_lead_before_the_article():
 def test_text_beside_a_teaser_article():
     got = html_extract.main_text(f"<div class=x>{PARAGRAPH * 4}</div><article class=y><p>Teaser</p></article>")
     assert got.count("A sentence") == 16
+
+
+def test_top_k_of_repeated_rows(spark, tmp_path):
+    random.seed(3)
+    rows = [(i, [random.randint(-8, 8) / 16 for _ in range(4)]) for i in range(130)]
+    rows += [rows[7]] * 4 + [rows[50]] + [rows[100]] * 6 + [(0, [0.5, 0.5, 0.0, 0.25]), (9, [1.0, 1.0, 1.0, 1.0])] + [(8, [1.0, 1.0, 1.0, 1.0])] * 5
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = db.execute(ORACLE["op6_exact_top_k"]).fetchall()
+    v = topk.integer_vectors(table)
+    for tiles in ({}, {"tile_queries": 2, "tile_vectors": 11}):
+        got = topk.top_k(v, v.where("id % 50 = 0"), **tiles).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(got) == 15

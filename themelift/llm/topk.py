@@ -13,7 +13,8 @@ Python's integers.
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 neither do rows without an id. Vectors of another length than the query's are no candidates.
 Repeated ids: a row is a candidate of a query if their ids differ; a query id that occurs in
-several rows is searched for each of them, and its best results are those of all of them. Scores
+several rows is searched for each of them, and its best results are those of all of them. Every pair
+of a query row and a vector row counts: copies of a row take a rank each, as in the SQL. Scores
 beyond 64 bits are given as the nearest 64-bit number.
 """
 
@@ -144,7 +145,7 @@ def merge_tree(lists: DataFrame, k: int, columns: int) -> DataFrame:
     while True:
         columns = -(-columns // FAN_IN)
         rows = rows.groupBy("query_id", F.floor(F.col("tile_column") / FAN_IN).alias("tile_column")).agg(
-            F.slice(F.array_sort(F.collect_set("e")), 1, k).alias("best")
+            F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("best")
         )
         if columns <= 1:
             return rows.select("query_id", F.posexplode("best").alias("at", "e")).select(
