@@ -7,6 +7,7 @@ import random
 
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
 
 from themelift.llm import boosted_trees, bpe, html_extract, packing, quality_rules, simhash, substring, topk, toxicity, warc
@@ -169,3 +170,31 @@ def test_top_k_of_repeated_rows(spark, tmp_path):
     for tiles in ({}, {"tile_queries": 2, "tile_vectors": 11}):
         got = topk.top_k(v, v.where("id % 50 = 0"), **tiles).select("query_id", "rank", "vec_id", "score").collect()
         assert sorted(map(tuple, got)) == sorted(want) and len(got) == 15
+
+
+def test_ratios_of_grams_are_not_shared(spark):
+    words = [bytes(random.Random(k).choices(b"abcdefghijklmnop", k=6)) for k in range(30_000)]
+    keys = np.array([int.from_bytes(w, "big") for w in words])
+    slots = toxicity.slot_of(keys, 1 << 23)
+    order = np.argsort(slots, kind="stable")
+    a, b = next((x, y) for x, y in zip(order, order[1:]) if slots[x] == slots[y] and keys[x] != keys[y])
+    grams = spark.createDataFrame([(int(keys[a]), 8.0), (int(keys[b]), -4.0)], "gram long, ratio double")
+    contexts = spark.createDataFrame([(int(keys[a]) >> 8, 2.0)], "context long, ratio double")
+    texts = [words[a], words[b], words[a][:5] + b"z", words[a] + b" x " + words[a].upper(), None, b" "]
+    docs = spark.createDataFrame([(k, t and t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = {0: 8 / 7, 1: -4 / 7, 2: 2 / 7, 3: 16 / 16, 4: 0, 5: 0}
+    for limit in (1 << 20, 0):
+        model = toxicity.model_of(grams, contexts, limit)
+        assert (model.arrays is None) == (limit == 0)
+        got = {r.doc_id: r._whole for r in toxicity.described(docs, model).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_toxicity_by_joins_equals_broadcast(spark, monkeypatch):
+    docs, known = documents(spark), labels(spark)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+    want = sorted(toxicity.classify(docs, known).collect(), key=key)
+    monkeypatch.setattr(toxicity, "model_of", lambda g, c, make=toxicity.model_of: make(g, c, 0))
+    got = sorted(toxicity.classify(docs, known).collect(), key=key)
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+    assert [r.score for r in got] == pytest.approx([r.score for r in want])

@@ -8,10 +8,10 @@ is rare in a class therefore falls back on what both classes share, and says lit
 only one class has says much, also in a word that was never seen.
 
 Counting runs as Spark aggregations: each task sums the grams of its distinct words, one shuffle
-adds them up, and every lower order and every probability is a join of gram tables. The result, the
-log-likelihood ratio of a gram, is folded by a hash into a table of at most ``GRAM_SLOTS`` and
-``CONTEXT_SLOTS`` numbers (a slot that several grams share has their mean by count), so that what is
-broadcast has a fixed bound however large the corpus is.
+adds them up, and every lower order and every probability is a join of gram tables. The result is a
+table of the log-likelihood ratio of every gram of a class and one of every context. Their size is
+measured: tables within the limit are broadcast whole; larger ones are joined in Spark to the grams
+of the corpus' distinct words, summed per word, and joined back to the words of each document.
 
 A document is described by the length-normalised ratio of its whole text, and by the largest
 length-normalised and the largest plain ratio of a word. A logistic curve over these three, fitted
@@ -28,6 +28,7 @@ of them is 1. Repeated rows have a row each and are counted each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themelift.llm.boosted_trees import labelled
-from themelift.llm.common import Flat, WordNumbers, held_out, numbered, row_groups, text_buffer, tidy, with_columns
+from themelift.llm.common import Flat, WordNumbers, held_out, numbered, row_groups, text_buffer, tidy, with_columns, word_bounds, word_hashes
 from themelift.llm.simhash import lowered
-from themelift.sizing import lookup_join, stage
+from themelift.sizing import BROADCAST_BYTES, lookup_join, measure, stage
 
 ORDER = 6
 DISCOUNT = 0.75
 START, END = 0x01, 0x02  # marks; control characters of a text may equal them
-GRAM_SLOTS, CONTEXT_SLOTS = 1 << 23, 1 << 21
 FIT_ROWS = 20_000
 WORDS_KEPT = 200_000
 ORDINARY, TOXIC, UNKNOWN = 0, 1, 2
@@ -142,8 +142,7 @@ def shared_model(grams: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """gram, weight, ratio: log of its toxic over its ordinary probability; and context, weight,
-    ratio: the same for a gram that neither class has after a context that one of them has."""
+    """gram, ratio: log of its toxic over its ordinary probability; and context, ratio: the same for a gram that neither class has after a context that one of them has."""
     known = counts.where("c0 + c1 > 0").withColumn("context", F.shiftright("gram", 8))
     sums = known.groupBy("context").agg(
         *[F.sum(c).alias(f"sum_{c}") for c in ("c0", "c1")],
@@ -161,17 +160,40 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = known.join(sums, "context").withColumn("tail", tail).join(shared_model(counts), "tail")
     ratio = F.log(probability("c1") / probability("c0")).alias("ratio")
     return (
-        rows.select("gram", (F.col("c0") + F.col("c1")).alias("weight"), ratio),
-        sums.select("context", (F.col("sum_c0") + F.col("sum_c1")).alias("weight"), F.log(freed("c1") / freed("c0")).alias("ratio")),
+        rows.select("gram", ratio),
+        sums.select("context", F.log(freed("c1") / freed("c0")).alias("ratio")),
     )
 
 
-def folded(rows: DataFrame, key: str, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``slots`` slot numbers and their ratios."""
-    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
-    mean = F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")
-    got = rows.groupBy(slot.alias("slot")).agg(mean.cast("float").alias("ratio")).toArrow()
-    return got["slot"].to_numpy(), got["ratio"].to_numpy()
+@dataclass
+class Model:
+    """Ratios of grams and of contexts (columns gram or context, ratio), and the same as sorted
+    arrays where they fit a broadcast."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    arrays: Broadcast | None
+
+
+def model_of(grams: DataFrame, contexts: DataFrame, limit: int = BROADCAST_BYTES) -> Model:
+    tables = [stage(rows.select(key, F.col("ratio").cast("double").alias("ratio")), f"{key}-ratios") for rows, key in ((grams, "gram"), (contexts, "context"))]
+    if sum(measure(t).bytes for t in tables) > limit:
+        return Model(*tables, None)
+    arrays = []
+    for table in tables:
+        got = table.toArrow()
+        keys, numbers = got.column(0).to_numpy(), got["ratio"].to_numpy()
+        order = np.argsort(keys)
+        arrays.append((keys[order], numbers[order]))
+    return Model(*tables, grams.sparkSession.sparkContext.broadcast(arrays))
+
+
+def found_in(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of the keys asked for, NaN where there is none."""
+    if not len(keys):
+        return np.full(len(asked), np.nan)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], np.nan)
 
 
 def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
@@ -194,11 +216,7 @@ class Scorer:
     """Ratios of words; each distinct word is summed once and remembered, up to a bound."""
 
     def __init__(self, model: tuple):
-        (grams, gram_ratios), (contexts, context_ratios) = model
-        self.gram = np.full(GRAM_SLOTS, np.nan, np.float32)
-        self.gram[grams] = gram_ratios
-        self.context = np.zeros(CONTEXT_SLOTS, np.float32)
-        self.context[contexts] = context_ratios
+        self.gram, self.context = model
         self.words, self.ratio = WordNumbers(WORDS_KEPT), Flat(np.float64)
 
     def details(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -207,8 +225,11 @@ class Scorer:
             self.ratio.clear()
         if new:
             gram, word = grams_of(new)
-            found = self.gram[slot_of(gram, GRAM_SLOTS)]
-            found = np.where(np.isnan(found), self.context[slot_of(gram >> 8, CONTEXT_SLOTS)], found)
+            asked, at = np.unique(gram, return_inverse=True)
+            found = found_in(*self.gram, asked)
+            other = np.isnan(found)
+            found[other] = np.nan_to_num(found_in(*self.context, asked[other] >> 8))
+            found = found[at]
             sizes = np.fromiter(map(len, new), np.int64, len(new)) + 1
             both = np.stack([np.bincount(word, found, len(new)), sizes], axis=1)
             self.ratio.add(both.ravel(), np.arange(len(new) + 1) * 2)
@@ -223,14 +244,17 @@ class Scorer:
         return [whole, np.where(np.isfinite(peak), peak, 0.0), np.where(np.isfinite(plain), plain, 0.0)]
 
 
-def described(docs: DataFrame, model: Broadcast, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def described(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` and the three numbers of every whole text, which is one of the columns
     kept or another one."""
+    if model.arrays is None:
+        return joined(docs, model, keep, text)
     sent = keep if text in keep else (*keep, text)
     at = sent.index(text)
+    arrays = model.arrays
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(model.value)  # freed with the task: workers serve later stages too
+        own = Scorer(arrays.value)  # freed with the task: workers serve later stages too
         for batch in batches:
             data, offsets = text_buffer(batch.column(at))
             for first, last in row_groups(offsets):
@@ -243,6 +267,63 @@ def described(docs: DataFrame, model: Broadcast, keep: tuple[str, ...] = ("doc_i
     return docs.select(*sent).mapInArrow(tidy(run), schema)
 
 
+def words_of(texts: DataFrame) -> DataFrame:
+    """row, word (its hash) and n of the distinct words of each row, and once a group of rows the
+    bytes of the word. The table has columns row and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            data, offsets = text_buffer(batch.column(1))
+            for first, last in row_groups(offsets):
+                part = lowered(data[offsets[first] : offsets[last]])
+                starts, ends, row = word_bounds(part, offsets[first : last + 1] - offsets[first])
+                word, one, each = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+                pair, n = np.unique(row * max(len(word), 1) + each, return_counts=True)
+                which = pair % max(len(word), 1)
+                new = np.zeros(len(pair), bool)
+                new[np.unique(which, return_index=True)[1]] = True
+                raw = [part[starts[one[w]] : ends[one[w]]].tobytes() if is_new else None for w, is_new in zip(which.tolist(), new.tolist(), strict=True)]
+                columns = [numbers[first:last][pair // max(len(word), 1)], word.astype(np.int64)[which], n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(raw, pa.binary())], ["row", "word", "n", "bytes"])
+
+    return texts.select("row", "text").mapInArrow(tidy(run), "row long, word long, n long, bytes binary")
+
+
+def word_ratios(words: DataFrame, model: Model) -> DataFrame:
+    """word, ratio and size of distinct words (word, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                rows = batch.slice(first, 4096)
+                gram, word = grams_of(rows.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(rows.column(0).to_numpy()[word]), pa.array(gram)], ["word", "gram"])
+
+    grams = words.select("word", "bytes").mapInArrow(tidy(run), "word long, gram long")
+    grams = lookup_join(grams, model.grams.withColumnRenamed("ratio", "own"), ["gram"], "left")
+    grams = lookup_join(grams.withColumn("context", F.shiftright("gram", 8)), model.contexts, ["context"], "left")
+    ratio = F.coalesce("own", "ratio", F.lit(0.0))
+    return grams.groupBy("word").agg(F.sum(ratio).alias("ratio"), F.count(F.lit(1)).alias("size"))
+
+
+def joined(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str) -> DataFrame:
+    """``described`` by joins, for models of any size."""
+    sent = keep if text in keep else (*keep, text)
+    rows = stage(docs.select(*sent).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    pairs = stage(words_of(rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))), "words")
+    words = pairs.where("bytes is not null").groupBy("word").agg(F.min("bytes").alias("bytes"))
+    known = stage(word_ratios(words, model), "word-ratios")
+    each = lookup_join(pairs.select("row", "word", "n"), known, ["word"])
+    numbers = each.groupBy("row").agg(
+        (F.sum(F.col("n") * F.col("ratio")) / F.sum(F.col("n") * F.col("size"))).alias(DETAILS[0]),
+        F.max(F.col("ratio") / F.col("size")).alias(DETAILS[1]),
+        F.max("ratio").alias(DETAILS[2]),
+    )
+    found = rows.join(numbers, rows["_row"] == numbers["row"], "left")
+    return found.select(*keep, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in DETAILS])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
     """Weights of a logistic curve over the columns of ``x`` and, last, its constant: Newton's
     method with a small ridge."""
@@ -263,15 +344,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return weights
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Broadcast, np.ndarray]:
-    """The folded model and the weights of the curve."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Model, np.ndarray]:
+    """The model and the weights of the curve."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learned = stage(labelled(labels, label), "labels")
     counts = stage(gram_counts(rows, learned), "grams")
-    gram_ratios, context_ratios = ratios(counts)
-    model = docs.sparkSession.sparkContext.broadcast(
-        (folded(gram_ratios, "gram", GRAM_SLOTS), folded(context_ratios, "context", CONTEXT_SLOTS))
-    )
+    model = model_of(*ratios(counts))
     to_fit = learned.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 4)
     sample = stage(to_fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS), "sample")
     found = described(lookup_join(rows, sample, ["doc_id"]), model, ("doc_id", "y"))
@@ -280,7 +358,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Bro
     return model, fit_curve(x, got["y"].to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, model: Broadcast, weights: np.ndarray, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, weights: np.ndarray, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns ``keep`` and _score, the likelihood of label 1."""
     margin = sum((F.col(n) * float(w) for n, w in zip(DETAILS, weights, strict=False)), F.lit(float(weights[-1])))
     return described(docs, model, keep, text).withColumn("_score", 1 / (1 + F.exp(-margin))).drop(*DETAILS)
