@@ -4,6 +4,7 @@ operator and stage."""
 import base64
 import hashlib
 import random
+import zlib
 
 import corpus_pipeline
 import duckdb
@@ -198,3 +199,18 @@ def test_toxicity_by_joins_equals_broadcast(spark, monkeypatch):
     got = sorted(toxicity.classify(docs, known).collect(), key=key)
     assert [r.doc_id for r in got] == [r.doc_id for r in want]
     assert [r.score for r in got] == pytest.approx([r.score for r in want])
+
+
+def test_every_label_is_counted(spark):
+    rest = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 4]
+    others = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    bad = {i: "zugqwix" for i in rest[:40]} | {i: "vondrek" for i in others[:60]}
+    rows = [(i, f"plain words of the text {bad.get(i, 'more')} and others") for i in rest[:200] + others[:400]]
+    docs = spark.createDataFrame([*rows, (9001, "plain words of the text zugqwix and others")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, int(i in bad)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    counts = toxicity.gram_counts(docs, boosted_trees.labelled(known, "toxic"), known.where("false"))
+    gram, _ = toxicity.grams_of([b"zugqwix"])
+    assert counts.where("c1 > 0").where(counts.gram.isin(gram.tolist())).count() == len(gram)
+    model, _ = toxicity.learn(docs, known)
+    found = {r.gram: r.ratio for r in model.grams.collect()}
+    assert sum(found.get(int(g), 0.0) for g in gram) > 2

@@ -14,11 +14,12 @@ measured: tables within the limit are broadcast whole; larger ones are joined in
 of the corpus' distinct words, summed per word, and joined back to the words of each document.
 
 A document is described by the length-normalised ratio of its whole text, and by the largest
-length-normalised and the largest plain ratio of a word. A logistic curve over these three, fitted
-on at most ``FIT_ROWS`` labelled documents that took no part in the class counts, gives the score.
+length-normalised and the largest plain ratio of a word. A logistic curve over these three gives the
+score. It is fitted on a sample of at most ``FIT_ROWS`` labelled documents (of those with crc32
+modulo 5 equal to 4), described by a model without the sample's labels; the model that scores
+counts them too, so that every label is counted.
 
-Labels are only learned from rows that are not held out; of these, a fifth part of the remainders
-(crc32 modulo 5 is 4) fits the curve and the others are counted.
+Labels are only learned from rows that are not held out.
 
 Defined results: a null or empty text has all three numbers 0; without labels of both classes the
 score is the share of label 1 (0.5 without any). Several label rows of a document count as 1 if any
@@ -47,7 +48,8 @@ DISCOUNT = 0.75
 START, END = 0x01, 0x02  # marks; control characters of a text may equal them
 FIT_ROWS = 20_000
 WORDS_KEPT = 200_000
-ORDINARY, TOXIC, UNKNOWN = 0, 1, 2
+ORDINARY, TOXIC, UNKNOWN, SAMPLED = 0, 1, 2, 3  # SAMPLED: ordinary, and after it toxic, in the curve's sample
+KINDS = ("c0", "c1", "c2", "s0", "s1")
 THRESHOLD = 0.5
 DETAILS = ("_whole", "_peak", "_plain_peak")
 
@@ -71,7 +73,7 @@ class Counter:
     def __init__(self) -> None:
         self.words = WordNumbers(WORDS_KEPT)
         self.texts: list[bytes] = []
-        self.counts = np.zeros((WORDS_KEPT, 3), np.int64)
+        self.counts = np.zeros((WORDS_KEPT, len(KINDS)), np.int64)
 
     def add(self, data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.words.full():
@@ -82,25 +84,27 @@ class Counter:
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         each = np.repeat(classes, np.diff(bounds))
         size = len(self.texts)
-        self.counts[:size] += np.bincount(numbers * 3 + each, minlength=size * 3).reshape(size, 3)
+        self.counts[:size] += np.bincount(numbers * len(KINDS) + each, minlength=size * len(KINDS)).reshape(size, len(KINDS))
 
     def grams(self) -> Iterator[pa.RecordBatch]:
         """The sums so far; counting starts anew."""
         if self.texts:
             gram, word = grams_of(self.texts)
             distinct, at = np.unique(gram, return_inverse=True)
-            sums = [np.bincount(at, self.counts[word, k], len(distinct)).astype(np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), *map(pa.array, sums)], ["gram", "c0", "c1", "c2"])
+            sums = [np.bincount(at, self.counts[word, k], len(distinct)).astype(np.int64) for k in range(len(KINDS))]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), *map(pa.array, sums)], ["gram", *KINDS])
         self.words.clear()
         self.texts = []
         self.counts[:] = 0
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """gram and its counts in ordinary (c0), toxic (c1) and all other (c2) documents."""
-    counted = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 4)
-    rows = lookup_join(docs.select("doc_id", "text"), counted, ["doc_id"], "left")
-    kind = F.when(F.col("y") == 0, ORDINARY).when(F.col("y") == 1, TOXIC).otherwise(UNKNOWN).cast("int")
+def gram_counts(docs: DataFrame, labels: DataFrame, sample: DataFrame) -> DataFrame:
+    """gram and its counts in ordinary (c0), toxic (c1) and all other (c2) documents, and in
+    ordinary (s0) and toxic (s1) documents of the sample."""
+    in_sample = lookup_join(labels, sample.select("doc_id", F.lit(SAMPLED).alias("from")), ["doc_id"], "left")
+    rows = lookup_join(docs.select("doc_id", "text"), stage(in_sample, "counted"), ["doc_id"], "left")
+    class_ = F.when(F.col("y") == 0, ORDINARY).when(F.col("y") == 1, TOXIC)
+    kind = F.coalesce(class_ + F.coalesce("from", F.lit(0)), F.lit(UNKNOWN)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
@@ -112,8 +116,8 @@ def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield from counter.add(part, offsets[first : last + 1] - offsets[first], classes[first:last])
         yield from counter.grams()
 
-    tasks = rows.select(kind.alias("kind"), "text").mapInArrow(tidy(run), "gram long, c0 long, c1 long, c2 long")
-    return tasks.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "c2")])
+    tasks = rows.select(kind.alias("kind"), "text").mapInArrow(tidy(run), "gram long, " + ", ".join(f"{c} long" for c in KINDS))
+    return tasks.groupBy("gram").agg(*[F.sum(c).alias(c) for c in KINDS])
 
 
 def shared_model(grams: DataFrame) -> DataFrame:
@@ -141,7 +145,7 @@ def shared_model(grams: DataFrame) -> DataFrame:
     return lower.select(F.col("below").alias("tail"), F.col("q").alias("p"))
 
 
-def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ratios(counts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """gram, ratio: log of its toxic over its ordinary probability; and context, ratio: the same for a gram that neither class has after a context that one of them has."""
     known = counts.where("c0 + c1 > 0").withColumn("context", F.shiftright("gram", 8))
     sums = known.groupBy("context").agg(
@@ -157,7 +161,7 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return own + freed(c) * F.col("p")
 
     tail = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1))
-    rows = known.join(sums, "context").withColumn("tail", tail).join(shared_model(counts), "tail")
+    rows = known.join(sums, "context").withColumn("tail", tail).join(shared, "tail")
     ratio = F.log(probability("c1") / probability("c0")).alias("ratio")
     return (
         rows.select("gram", ratio),
@@ -348,13 +352,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Mod
     """The model and the weights of the curve."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learned = stage(labelled(labels, label), "labels")
-    counts = stage(gram_counts(rows, learned), "grams")
-    model = model_of(*ratios(counts))
     to_fit = learned.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 4)
     sample = stage(to_fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS), "sample")
+    counts = stage(gram_counts(rows, learned, sample), "grams")
+    shared = stage(shared_model(counts), "shared")
+    model = model_of(*ratios(counts, shared))
     found = described(lookup_join(rows, sample, ["doc_id"]), model, ("doc_id", "y"))
     got = found.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     x = np.stack([got[n].to_numpy() for n in DETAILS], axis=1) if len(got) else np.zeros((0, len(DETAILS)))
+    if model.arrays is not None:
+        model.arrays.destroy()
+    whole = counts.select("gram", (F.col("c0") + F.col("s0")).alias("c0"), (F.col("c1") + F.col("s1")).alias("c1"))
+    model = model_of(*ratios(whole, shared))
     return model, fit_curve(x, got["y"].to_numpy().astype(float))
 
 
