@@ -214,3 +214,17 @@ def test_every_label_is_counted(spark):
     model, _ = toxicity.learn(docs, known)
     found = {r.gram: r.ratio for r in model.grams.collect()}
     assert sum(found.get(int(g), 0.0) for g in gram) > 2
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<svg width='1'/>", "<svg><path d='x'/><text>no</text></svg>", "<math/>", "<object data='x'/>", "<select><option>no", "<select><option>no</select>",
+     "<svg><title/><path/>", "<template><p>no</p></template>", "<object data=x>", "<svg><path>"],
+)
+def test_text_after_embedded_parts(part):
+    assert html_extract.main_text(f"<article><p>Some text, before.{part}</p><p>And more, after it.</p></article>") == "Some text, before.\nAnd more, after it."
+
+
+def test_text_of_formulas_and_fallbacks():
+    page = "<article><p>Let <math><mi>x</mi></math> be, <object data=x>a fallback</object> here.</p></article>"
+    assert html_extract.main_text(page) == "Let x be, a fallback here."

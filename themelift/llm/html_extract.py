@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from themelift.llm.common import tidy
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript textarea title iframe".split())  # text up to the end tag
+SKIPPED = frozenset("svg select template".split())  # elements whose text is none of the page
+ENDED = {"svg", "math", "select"}  # by the start of a block, if never closed
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary "
@@ -54,9 +56,9 @@ ENDS_OPEN = {
     "option": ("option", "select"),
     "body": ("head", "html"),
 }
-SCOPES = frozenset("html table td th caption button object article section div main aside nav header footer form body blockquote li dd figure".split())
+SCOPES = frozenset("html table td th caption button object article section div main aside nav header footer form body blockquote li dd figure template".split())
 
-NOT_ARTICLE_TAGS = frozenset("head nav aside footer form button dialog menu search fieldset label input".split())
+NOT_ARTICLE_TAGS = frozenset("head nav aside footer form button dialog menu search fieldset label input svg select template".split())
 NOT_ARTICLE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split()
 )
@@ -98,6 +100,7 @@ class Element:
     link: bool
     inside: bool  # an article or main part
     heading: bool
+    skipped: bool
 
 
 @dataclass
@@ -110,7 +113,7 @@ class Block:
     heading: bool
 
 
-OUTSIDE = Element("", 0, -1, 1.0, False, False, False)
+OUTSIDE = Element("", 0, -1, 1.0, False, False, False, False)
 
 
 def element(name: str, attributes: str, around: Element, paths: dict[tuple[int, str], int]) -> Element:
@@ -142,7 +145,7 @@ def element(name: str, attributes: str, around: Element, paths: dict[tuple[int,
         best = 0.0
     elif weight > 1.0:
         root, best = path if root < 0 else root, max(best, weight)
-    return Element(name, path, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS, around.heading or name in HEADINGS)
+    return Element(name, path, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS, around.heading or name in HEADINGS, around.skipped or name in SKIPPED)
 
 
 def close(open_: list[Element], names: set[str], scope: frozenset[str]) -> None:
@@ -164,18 +167,21 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     parts: list[str] = []
     links = at = 0
 
+    def skips() -> bool:
+        return bool(open_) and open_[-1].skipped
+
     def end_block() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            now = open_[-1] if open_ else OUTSIDE
+            now = next((e for e in reversed(open_) if not e.skipped), OUTSIDE)
             out.append(Block(now.path, now.root, now.weight, text, links, now.heading))
         parts.clear()
         links = 0
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw:
+        if raw and not skips():
             text = html.unescape(raw)
             parts.append(text)
             if open_ and open_[-1].link:
@@ -187,7 +193,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         ends, name, attributes = (found[k] or found[k + 3] or "" for k in (1, 2, 3))
         name = name.lower()
         if not name:
-            if found[0].startswith("<![CDATA["):
+            if found[0].startswith("<![CDATA[") and not skips():
                 parts.append(found[0][9:].removesuffix("]]>"))
             continue
         if name in BLOCKS:
@@ -200,11 +206,12 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                 close(open_, {name}, scope)
             continue
         if name in ENDS_P:
+            close(open_, ENDED, SCOPES | {"foreignobject"})
             close(open_, {"p"}, SCOPES)
         if name in ENDS_OPEN:
             names, scope = ENDS_OPEN[name]
             close(open_, set(names.split()), frozenset(scope.split()))
-        if name in RAW:
+        if name in RAW and not (attributes.endswith("/") and skips()):
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else len(page)
         elif name not in VOID and not (attributes.endswith("/") and name not in BLOCKS):
