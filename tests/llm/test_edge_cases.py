@@ -228,3 +228,24 @@ def test_text_after_embedded_parts(part):
 def test_text_of_formulas_and_fallbacks():
     page = "<article><p>Let <math><mi>x</mi></math> be, <object data=x>a fallback</object> here.</p></article>"
     assert html_extract.main_text(page) == "Let x be, a fallback here."
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<article class='post has-sidebar'>", "</article>"),
+        ("<article class='post comments-open' id=x>", "</article>"),
+        ("<div class='container has-sidebar'><article>", "</article></div>"),
+        ("<article><div class='elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'>", "</div></div></article>"),
+    ],
+)
+def test_listed_words_of_content_parts(start, end):
+    side = f"<div class=sidebar>{PARAGRAPH}</div><div class='ad'>Buy, now, and here.</div>"
+    got = html_extract.main_text(f"<body>{start}<h1>Headline</h1>{PARAGRAPH * 3}{side}{end}</body>").split("\n")
+    assert got == ["Headline", *[(SENTENCE * 4).strip()] * 3]
+
+
+def test_short_lists_and_quotes_between_paragraphs():
+    page = f"<body><div class=x><h1>Headline</h1>{PARAGRAPH * 10}<ul><li>one<li>two<li>three</ul><blockquote>so</blockquote>{PARAGRAPH * 10}</div></body>"
+    got = html_extract.main_text(page).split("\n")
+    assert got[0] == "Headline" and got[11:15] == ["one", "two", "three", "so"] and len(got) == 25

@@ -9,7 +9,8 @@ the nearest path above them all) blocks between them are content as well (lists,
 headings before, and blocks before and after that reach a twentieth (leads, closing lists), but none
 that is half link text.
 Parts that are no article by their tag, class, id or role (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments of readers) have weight 0.
+notices, adverts, forms, scripts, styles, comments of readers) have weight 0; where article and
+content parts have such a word in a class or id, it lowers their number instead.
 
 Pages are independent; a task holds one page's blocks at a time.
 
@@ -74,6 +75,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_TAGS = {"article": 8.0, "main": 8.0}
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 ROOT_WEIGHT = 6.0
+#: Factors of content parts with a listed word: as a whole class or id, and as a piece of one
+#: (has-sidebar, widget-text). Parts below the least weight are no candidates.
+LISTED, PARTLY, LEAST_WEIGHT = 0.1, 0.5, 0.5
 THRESHOLD = 0.25  # of the best path's number
 WEAK = 0.05  # the same for blocks next to the content in its root
 SMOOTHING = (0.25, 0.5, 0.25)
@@ -101,6 +105,8 @@ class Element:
     inside: bool  # an article or main part
     heading: bool
     skipped: bool
+    factor: float  # of all listed words down to it
+    stems: frozenset[str]  # beginnings of classes up to a listed word, of content parts
 
 
 @dataclass
@@ -111,9 +117,17 @@ class Block:
     text: str
     links: int
     heading: bool
+    factor: float
 
 
-OUTSIDE = Element("", 0, -1, 1.0, False, False, False, False)
+OUTSIDE = Element("", 0, -1, 1.0, False, False, False, False, 1.0, frozenset())
+
+
+def listed(names: str) -> frozenset[str]:
+    """Each class or id up to a listed word in it."""
+    return frozenset(
+        token[: part.end()].lower() for token in names.split() for part in WORD.finditer(token) if part[0].lower() in NOT_ARTICLE_WORDS
+    )
 
 
 def element(name: str, attributes: str, around: Element, paths: dict[tuple[int, str], int]) -> Element:
@@ -129,14 +143,20 @@ def element(name: str, attributes: str, around: Element, paths: dict[tuple[int,
         weight = 0.0
     elif name == "header" or name in ("div", "section") and words & HEADER_WORDS:
         weight = 1.0 if around.inside else 0.0
-    elif name not in ("html", "body", "main") and words & NOT_ARTICLE_WORDS:
-        weight = 0.0
     elif name in CONTENT_TAGS:
         weight = CONTENT_TAGS[name]
     elif role in ("main", "article") or found.get("itemprop") == "articleBody":
         weight = CONTENT_TAGS["main"]
     elif name in ("div", "section", "td") and words & CONTENT_WORDS:
         weight = ROOT_WEIGHT
+    factor, stems = around.factor, around.stems
+    if weight > 0.0 and name not in ("html", "body", "main") and words & NOT_ARTICLE_WORDS:
+        new = listed(names) - stems
+        if new and weight > 1.0:
+            whole = any(token.lower() in NOT_ARTICLE_WORDS for token in names.split())
+            factor, stems = factor * (LISTED if whole else PARTLY), stems | new
+        elif new:
+            factor *= LISTED
     path, root, best = around.path, around.root, around.weight
     if name in BLOCKS:
         label = name + "".join(f".{w}" for w in names.lower().split())
@@ -145,7 +165,7 @@ def element(name: str, attributes: str, around: Element, paths: dict[tuple[int,
         best = 0.0
     elif weight > 1.0:
         root, best = path if root < 0 else root, max(best, weight)
-    return Element(name, path, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS, around.heading or name in HEADINGS, around.skipped or name in SKIPPED)
+    return Element(name, path, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS, around.heading or name in HEADINGS, around.skipped or name in SKIPPED, factor, stems)
 
 
 def close(open_: list[Element], names: set[str], scope: frozenset[str]) -> None:
@@ -175,7 +195,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         text = " ".join("".join(parts).split())
         if text:
             now = next((e for e in reversed(open_) if not e.skipped), OUTSIDE)
-            out.append(Block(now.path, now.root, now.weight, text, links, now.heading))
+            out.append(Block(now.path, now.root, now.weight * now.factor, text, links, now.heading, now.factor))
         parts.clear()
         links = 0
 
@@ -241,11 +261,11 @@ def ratios(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def inside_common(found: list[Block], chosen: np.ndarray, parents: list[int]) -> np.ndarray:
-    """Which blocks lie in the nearest path above all chosen ones; a path has a larger number than
+    """Which blocks lie in the nearest path around all chosen ones; a path has a larger number than
     those above it."""
     below = [0] * len(parents)
     for at in np.flatnonzero(chosen).tolist():
-        below[found[at].path] += 1
+        below[parents[found[at].path]] += 1
     top, total = 0, sum(below)
     for path in range(len(parents) - 1, 0, -1):
         if below[path] == total:
@@ -263,17 +283,20 @@ def selected(found: list[Block], parents: list[int]) -> np.ndarray:
     fused, share = ratios(found)
     numbers = fused * np.array([b.weight for b in found])
     strong = numbers >= THRESHOLD * numbers.max()
-    weak = (numbers >= WEAK * numbers.max()) & (share < 0.5)
-    before = weak | (np.array([b.heading for b in found]) & (share < 0.5))
+    factors = np.array([b.factor for b in found])
+    clean = factors > LISTED * factors[strong].max()
+    joins = (share < 0.5) & clean
+    weak = (numbers >= WEAK * numbers.max()) & joins
+    before = weak | (np.array([b.heading for b in found]) & joins)
     roots, keep = np.array([b.root for b in found]), strong.copy()
     for root in np.unique(roots[strong]).tolist():
         here = roots == root
         if root < 0:
             here &= inside_common(found, strong & here, parents)
-        at = np.flatnonzero(here)
+        at = np.flatnonzero(here & (clean | strong))
         sure = np.flatnonzero(strong[at])
         first, last = int(sure[0]), int(sure[-1])
-        keep[at[first : last + 1]] |= share[at[first : last + 1]] < 0.5
+        keep[at[first : last + 1]] |= joins[at[first : last + 1]]
         while first > 0 and before[at[first - 1]]:
             first -= 1
         while last + 1 < len(at) and weak[at[last + 1]]:
@@ -286,7 +309,7 @@ def selected(found: list[Block], parents: list[int]) -> np.ndarray:
 def main_text(page: str) -> str:
     """The blocks that are content, one a line."""
     found, parents = blocks(page)
-    found = [b for b in found if b.weight > 0]
+    found = [b for b in found if b.weight >= LEAST_WEIGHT]
     if not found:
         return ""
     return "\n".join(b.text for b, keep in zip(found, selected(found, parents), strict=True) if keep)
