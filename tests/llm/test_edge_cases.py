@@ -249,3 +249,11 @@ def test_short_lists_and_quotes_between_paragraphs():
     page = f"<body><div class=x><h1>Headline</h1>{PARAGRAPH * 10}<ul><li>one<li>two<li>three</ul><blockquote>so</blockquote>{PARAGRAPH * 10}</div></body>"
     got = html_extract.main_text(page).split("\n")
     assert got[0] == "Headline" and got[11:15] == ["one", "two", "three", "so"] and len(got) == 25
+
+
+def test_near_copies_of_repeated_ids(spark):
+    a, b, c, d = (" ".join(random.Random(k).choices([f"{k}w{i}" for i in range(400)], k=200)) for k in range(4))
+    rows = [(2, b), (3, a), (3, b), (4, a), (5, c), (5, d), (5, d), (6, d), (None, c)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, [a, b, c, d].index(r.text)) for r in out)
+    assert got == [(0, 2), (2, 1), (3, 0), (5, 2), (5, 3)]

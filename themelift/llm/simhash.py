@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from themelift.llm.common import row_groups, text_buffer, tidy, word_bounds
+from themelift.llm.common import numbered, row_groups, text_buffer, tidy, with_columns, word_bounds
 from themelift.llm.components import components
 from themelift.sizing import lookup_join, stage
 
@@ -94,6 +95,23 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
+def with_prints(docs: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
+    """All columns, and _fp, the fingerprint of the column ``text``."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(at))
+            for first, last in row_groups(offsets):
+                part = lowered(data[offsets[first] : offsets[last]])
+                hashes, row = shingle_hashes(part, offsets[first : last + 1] - offsets[first], shingle)
+                prints = majority_bits(hashes, row, last - first).astype(np.int64)
+                rows = [c.slice(first, last - first) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(prints)], [*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(tidy(run), with_columns(docs, tuple(docs.columns), {"_fp": T.LongType()}))
+
+
 class Tree:
     """A BK-tree of 64-bit numbers, and the groups that its links have made so far."""
 
@@ -206,27 +224,44 @@ def links(prints: DataFrame, radius: int = RADIUS, count: int | None = None, tre
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that is reachable by links of fingerprints
     within ``radius`` bits."""
+    return grouped(docs, shingle, radius).drop("part")
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The same and ``part``, a fingerprint that stands for the component: two components can have
+    the same smallest doc_id."""
     prints = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     joined = components(links(distinct, radius, distinct.count()))
     member = joined.join(distinct, joined["node"] == distinct["fp"])
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = stage(member.join(least, "root").select("fp", "component_id"), "members")
+    moved = stage(member.join(least, "root").select("fp", "component_id", "root"), "members")
     named = distinct.join(moved, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id")
+        "fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("part")
     )
     return lookup_join(prints, stage(named, "components"), ["fp"])
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each component: that with the
-    smallest id. Of rows with that same id one stays; rows with a null id stay."""
-    found = stage(near_copies(docs, shingle, radius).select("doc_id", "component_id"), "copies")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    smallest id. Of rows with that id and in that component one stays, the first by fingerprint and
+    hashes of the row; rows with a null id stay."""
+    found = stage(grouped(docs, shingle, radius), "copies")
     again = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
-    kept = lookup_join(docs, stage(gone, "gone"), ["doc_id"], "left_anti")
-    repeated = lookup_join(kept, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return lookup_join(kept, again, ["doc_id"], "left_anti").unionByName(repeated)
+    once = lookup_join(docs, again, ["doc_id"], "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = lookup_join(once, stage(gone, "gone"), ["doc_id"], "left_anti")
+
+    # Of an id with several rows each row is judged by its own text.
+    repeated, names = numbered(lookup_join(docs, again, ["doc_id"], "left_semi"))
+    id_, text = (repeated.columns[docs.columns.index(n)] for n in ("doc_id", "text"))
+    rows = with_prints(repeated, text, shingle)
+    parts = lookup_join(found, again, ["doc_id"], "left_semi").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_component"), F.col("part").alias("_part")).distinct()
+    rows = lookup_join(rows, stage(parts, "parts"), ["_fp"]).where(F.col(id_).cast("long") == F.col("_component"))
+    hashed = [f.name for f in repeated.schema.fields if not isinstance(f.dataType, T.MapType)]
+    order = F.struct("_fp", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), F.xxhash64(*hashed))
+    first = rows.groupBy(id_, "_part").agg(F.min_by(F.struct(*repeated.columns), order).alias("_row"))
+    return kept.unionByName(first.select("_row.*").select(*names))
 
 
 def hex_digits(fp: Column) -> Column:
