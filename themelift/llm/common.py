@@ -13,6 +13,7 @@ from contextlib import suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,14 +170,35 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each of these stretches of bytes, equal for equal bytes and only for them, and
+    the distinct stretches by number. The stretches don't overlap and are in order."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    own = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[inside])])
+    coded = own.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+
+
+def hashes_of(words: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit halves of the XXH3 hash of each of these byte strings."""
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64)
+    return raw.reshape(-1, 2)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums over the bytes."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts])
+    """The two halves of the hash of each word."""
+    codes, words = word_codes(data, starts, ends)
+    return hashes_of(words)[codes]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums over word hashes, from which those of windows follow. Windows of so many words that
+    powers of the base repeat their patterns (1,024 and more) are not to be told apart by them."""
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(BASE, len(values)), out=sums[1:])
     return sums
@@ -242,17 +264,20 @@ class Flat:
 
 class WordNumbers:
     """Numbers the distinct words that a task meets; beyond a bound it starts anew, so that the
-    memory for what is known of each word is bounded. Words are told apart by 64-bit hashes."""
+    memory for what is known of each word is bounded. Words of some rows are told apart by their
+    bytes, remembered ones by both halves of their hash; a word that shares the first half with
+    another one is new each time."""
 
     def __init__(self, limit: int):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.hashes, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.numbers, self.count = np.zeros(0, np.int32), 0
 
     def full(self) -> bool:
-        return len(self.hashes) > self.limit
+        return self.count > self.limit
 
     def number(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], bool]:
         """Of some rows of text: the number of each word, where the words of each row begin (and the
@@ -262,19 +287,27 @@ class WordNumbers:
         cleared = self.full()
         if cleared:
             self.clear()
-        distinct, first, each = np.unique(
-            word_hashes(data, starts, ends), return_index=True, return_inverse=True
-        )
-        known, place = len(self.hashes), np.searchsorted(self.hashes, distinct)
+        codes, words = word_codes(data, starts, ends)
+        hashes = hashes_of(words)
+        order = np.argsort(hashes[:, 0], kind="stable")
+        hashes, words = hashes[order], words[order]
+        known, place = len(self.hashes), np.searchsorted(self.hashes, hashes[:, 0])
         at = np.minimum(place, max(known - 1, 0))
-        old = self.hashes[at] == distinct if known else np.zeros(len(distinct), bool)
-        numbers = np.zeros(len(distinct), np.int32)
+        taken = self.hashes[at] == hashes[:, 0] if known else np.zeros(len(words), bool)
+        old = taken.copy()
+        old[taken] = self.second[at[taken]] == hashes[taken, 1]
+        numbers = np.zeros(len(words), np.int32)
         numbers[old] = self.numbers[at[old]]
         fresh = np.flatnonzero(~old)
-        numbers[fresh] = known + np.arange(len(fresh))
-        if len(fresh):
-            self.hashes = np.insert(self.hashes, place[fresh], distinct[fresh])
-            self.numbers = np.insert(self.numbers, place[fresh], numbers[fresh])
-        raw = [data[a:b].tobytes() for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)]
+        numbers[fresh] = self.count + np.arange(len(fresh))
+        self.count += len(fresh)
+        first = np.append(True, hashes[1:, 0] != hashes[:-1, 0])[: len(words)]
+        kept = np.flatnonzero(~taken & first)
+        if len(kept):
+            self.hashes = np.insert(self.hashes, place[kept], hashes[kept, 0])
+            self.second = np.insert(self.second, place[kept], hashes[kept, 1])
+            self.numbers = np.insert(self.numbers, place[kept], numbers[kept])
+        each = np.zeros(len(words), np.int64)
+        each[order] = numbers
         bounds = np.searchsorted(row, np.arange(len(offsets)))
-        return numbers[each].astype(np.int64), bounds, raw, cleared
+        return each[codes], bounds, words[fresh].tolist(), cleared

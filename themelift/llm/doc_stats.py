@@ -14,20 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themelift.llm.common import (
-    BASE,
-    BASE_INVERSE,
-    mixed,
-    powers,
-    prefix_sums,
-    row_groups,
-    text_buffer,
-    tidy,
-    window_hashes,
-    with_columns,
-    word_bounds,
-    word_hashes,
-)
+from themelift.llm.common import row_groups, text_buffer, tidy, with_columns, word_bounds, word_codes
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -63,8 +50,9 @@ def per_row(marked: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def repeats(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values stand twice or more in their row, and which of these are not the first."""
-    key = mixed(values ^ mixed(row, 5))
+    """Which values (small numbers) stand twice or more in their row, and which of these are not
+    the first."""
+    key = row * (int(values.max(initial=0)) + 1) + values
     order = np.argsort(key, kind="stable")
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
@@ -74,6 +62,12 @@ def repeats(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return twice, again
 
 
+def joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A small number for each pair, equal for equal pairs and only for them."""
+    key = left * (int(right.max(initial=0)) + 1) + right
+    return np.unique(key, return_inverse=True)[1]
+
+
 def line_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines that hold a word, and those of them that equal an earlier line of their row."""
     rows = len(offsets) - 1
@@ -83,21 +77,18 @@ def line_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tu
     row = np.sort(np.concatenate([np.arange(rows), np.searchsorted(offsets, feeds, "right") - 1]))
     holds = np.searchsorted(starts, ends) > np.searchsorted(starts, begins)
     begins, ends, row = begins[holds], ends[holds], row[holds]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    values = (sums[ends] - sums[begins]) * powers(BASE_INVERSE, len(data) + 1)[begins]
-    _, again = repeats(mixed(values), row)
+    _, again = repeats(word_codes(data, begins, ends)[0], row)
     return np.bincount(row, minlength=rows), np.bincount(row[again], minlength=rows)
 
 
-def covered_words(words: np.ndarray, row: np.ndarray, first: np.ndarray, rows: int, size: int) -> np.ndarray:
-    """Words of each row that lie in a window of ``size`` words that the row holds twice or more."""
-    at = np.arange(max(len(row) - size + 1, 0))
-    at = at[row[at] == row[at + size - 1]]
-    twice, _ = repeats(window_hashes(prefix_sums(words), at, size), row[at])
-    edge = np.zeros(len(row) + size + 1, np.int64)
+def covered_words(words: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Words of each row that lie in a window of three words that the row holds twice or more."""
+    at = np.arange(max(len(row) - 2, 0))
+    at = at[row[at] == row[at + 2]]
+    twice, _ = repeats(joint(joint(words[at], words[at + 1]), words[at + 2]), row[at])
+    edge = np.zeros(len(row) + 4, np.int64)
     np.add.at(edge, at[twice], 1)
-    np.add.at(edge, at[twice] + size, -1)
+    np.add.at(edge, at[twice] + 3, -1)
     return np.bincount(row[np.cumsum(edge)[: len(row)] > 0], minlength=rows)
 
 
@@ -112,18 +103,17 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     out["word_chars"] = per_row(((data & 0xC0) != 0x80) & ~blank, offsets)
     out["n_lines"], out["n_dup_lines"] = line_counts(data, offsets, starts)
-    hashes = word_hashes(data, starts, ends)
-    first = np.searchsorted(row, np.arange(rows))
-    out["n_repeat_words"] = covered_words(hashes, row, first, rows, 3)
-    _, again = repeats(hashes, row)
+    words, _ = word_codes(data, starts, ends)
+    out["n_repeat_words"] = covered_words(words, row, rows)
+    _, again = repeats(words, row)
     out["n_distinct_words"] = out["n_words"] - np.bincount(row[again], minlength=rows)
     out["n_short_words"] = np.bincount(row[size <= 3], minlength=rows)
     out["n_long_words"] = np.bincount(row[size > 12], minlength=rows)
     follows = np.zeros(len(row), bool)
-    follows[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+    follows[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
     out["n_word_repeats"] = np.bincount(row[follows], minlength=rows)
     pair = np.flatnonzero(row[1:] == row[:-1])
-    _, again = repeats(hashes[pair] + mixed(hashes[pair + 1]), row[pair])
+    _, again = repeats(joint(words[pair], words[pair + 1]), row[pair])
     out["n_pairs_again"] = np.bincount(row[pair][again], minlength=rows)
     out["longest_word"] = np.zeros(rows, np.int64)
     np.maximum.at(out["longest_word"], row, size)

@@ -59,7 +59,8 @@ in_cover[list(COVER)] = True
 
 @dataclass
 class Words:
-    """Words of some rows: hash and row of each, where each row's words begin, prefix sums."""
+    """Words of some rows: hash (two halves) and row of each, where each row's words begin, prefix
+    sums over the first halves."""
 
     hashes: np.ndarray
     row: np.ndarray
@@ -68,7 +69,7 @@ class Words:
     sums: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.sums = prefix_sums(self.hashes)
+        self.sums = prefix_sums(self.hashes[:, 0])
         self.place = np.arange(len(self.row)) - self.first[self.row]
 
     def left(self) -> np.ndarray:
@@ -262,7 +263,7 @@ def window_rows(marked: DataFrame, window: int, parts: int) -> DataFrame:
                 begins = covered(np.maximum(near - PERIOD + 1, 0), PERIOD, len(words.row))
                 at = np.flatnonzero(begins & (words.left() >= window))
                 h = window_hashes(words.sums, at, window)
-                again = prefix_sums(mixed(words.hashes, 1))
+                again = prefix_sums(words.hashes[:, 1])
                 more = mixed(window_hashes(again, at, window)).astype(np.uint32).view(np.int32)
                 row = words.row[at] + first
                 held.append((h.astype(np.int64), more, ids[row], keys[row], words.place[at].astype(np.int32)))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themelift.llm.boosted_trees import labelled
-from themelift.llm.common import Flat, WordNumbers, held_out, numbered, row_groups, text_buffer, tidy, with_columns, word_bounds, word_hashes
+from themelift.llm.common import Flat, WordNumbers, hashes_of, held_out, numbered, row_groups, text_buffer, tidy, with_columns, word_bounds, word_codes
 from themelift.llm.simhash import lowered
 from themelift.sizing import BROADCAST_BYTES, lookup_join, measure, stage
 
@@ -282,12 +282,13 @@ def words_of(texts: DataFrame) -> DataFrame:
             for first, last in row_groups(offsets):
                 part = lowered(data[offsets[first] : offsets[last]])
                 starts, ends, row = word_bounds(part, offsets[first : last + 1] - offsets[first])
-                word, one, each = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+                each, own = word_codes(part, starts, ends)
+                word = hashes_of(own)[:, 0]
                 pair, n = np.unique(row * max(len(word), 1) + each, return_counts=True)
                 which = pair % max(len(word), 1)
                 new = np.zeros(len(pair), bool)
                 new[np.unique(which, return_index=True)[1]] = True
-                raw = [part[starts[one[w]] : ends[one[w]]].tobytes() if is_new else None for w, is_new in zip(which.tolist(), new.tolist(), strict=True)]
+                raw = [own[w] if is_new else None for w, is_new in zip(which.tolist(), new.tolist(), strict=True)]
                 columns = [numbers[first:last][pair // max(len(word), 1)], word.astype(np.int64)[which], n.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(raw, pa.binary())], ["row", "word", "n", "bytes"])
 
