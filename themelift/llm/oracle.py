@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from themelift.llm.quality_rules import CURRENT, POLICIES, RULES
+from themelift.llm.secrets import ALLOWED, BASE_KINDS, CLASSES, KINDS, PATTERNS, UNIT, CharacterClass, Pattern
 
 WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
 
@@ -73,9 +74,65 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+def _spans(kind: str, expression: str) -> str:
+    """rid, m (text of a match), s and e (its start and end) of all matches of a pattern."""
+    quoted = expression.replace("'", "''")
+    return f"""
+{kind}_m AS (SELECT rid, regexp_extract_all(t, '{quoted}') AS a, regexp_split_to_array(t, '{quoted}') AS p FROM d
+        WHERE regexp_matches(t, '{quoted}')),
+{kind}_k AS (SELECT *, unnest(range(1, len(a) + 1)) AS k FROM {kind}_m),
+{kind}_f AS (SELECT rid, a[k] AS m, (list_sum(list_transform(p[:k], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(a[:k - 1], lambda x: length(x))), 0))::BIGINT AS s FROM {kind}_k)"""
+
+
+def _pattern(k: int, pattern: Pattern) -> str:
+    quoted = pattern.expression.replace("'", "''")
+    return f"""{_spans(pattern.kind, pattern.expression)},
+{pattern.kind} AS (SELECT rid, {k} AS k, '{pattern.kind}' AS kind, s, s + length(m) AS e FROM {pattern.kind}_f
+        WHERE length(regexp_extract(m, '{quoted}', {pattern.group})) >= {pattern.least})"""
+
+
+def _class(k: int, c: CharacterClass) -> str:
+    allowed = " OR ".join(f"regexp_matches(x, '{a}')" for a in ALLOWED)
+    return f"""{_spans(c.kind, c.expression)},
+{c.kind}_w AS (SELECT rid, s, m, unnest(range(0, length(m) - {c.window - 1})) AS o FROM {c.kind}_f),
+{c.kind}_c AS (SELECT rid, s, o, ch, count(*) AS n
+        FROM (SELECT rid, s, o, unnest(string_split(substr(m, o + 1, {c.window}), '')) AS ch FROM {c.kind}_w) GROUP BY ALL),
+{c.kind}_h AS (SELECT rid, s, o FROM {c.kind}_c GROUP BY ALL HAVING sum(round({UNIT} * n * log2(n))) <= {c.limit}),
+{c.kind}_i AS (SELECT *, sum(new) OVER (PARTITION BY rid, s ORDER BY o) AS island FROM (
+        SELECT *, CASE WHEN o > lag(o) OVER (PARTITION BY rid, s ORDER BY o) + {c.window} THEN 1 ELSE 0 END AS new FROM {c.kind}_h)),
+{c.kind}_j AS (SELECT rid, s, min(o) AS a, max(o) + {c.window} AS b FROM {c.kind}_i GROUP BY rid, s, island),
+{c.kind}_x AS (SELECT j.rid, j.s + a AS s, j.s + b AS e, substr(m, (a + 1)::BIGINT, (b - a)::BIGINT) AS x
+        FROM {c.kind}_j AS j JOIN {c.kind}_f AS f ON f.rid = j.rid AND f.s = j.s),
+{c.kind} AS (SELECT rid, {k} AS k, '{c.kind}' AS kind, s, e FROM {c.kind}_x WHERE NOT ({allowed}))"""
+
+
+def _op12() -> str:
+    steps = [_pattern(k, p) for k, p in enumerate(PATTERNS)]
+    steps += [_class(k, c) for k, c in enumerate(CLASSES, len(PATTERNS))]
+    every = " UNION ALL ".join(f"SELECT * FROM {kind}" for kind in KINDS)
+    least = len(PATTERNS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    name = "kind || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{",".join(steps)},
+every AS ({every}),
+kept AS (SELECT * FROM every AS x WHERE k < {least} OR NOT EXISTS (
+        SELECT 1 FROM every AS y WHERE y.rid = x.rid AND y.k < x.k AND y.s <= x.s AND y.e >= x.e)),
+told AS (SELECT rid, {counts}, string_agg({name}, ',' ORDER BY s, k) FILTER (k < {least}) AS base,
+        string_agg({name}, ',' ORDER BY s, k) AS spans FROM kept GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_KINDS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (rid)
+"""
+
+
 ORACLE = {
     "op1_quality_rules": OP1,
     "op2_warc_revisits": OP2,
     "op5_substring_dedup": OP5,
     "op6_exact_top_k": OP6,
+    "op12_secret_scan": _op12(),
 }

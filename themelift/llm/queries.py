@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themelift.llm import boosted_trees, quality_rules, toxicity, warc
+from themelift.llm import boosted_trees, quality_rules, secrets, toxicity, warc
 from themelift.llm.bpe import token_digests
 from themelift.llm.common import read_table
 from themelift.llm.html_extract import extract
@@ -74,6 +74,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(secrets.of_kinds(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    base = secrets.listed(secrets.of_kinds(*secrets.BASE_KINDS))
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_main_text,
         op10_bpe_round_trip,
+        op12_secret_scan,
     )
 }
 
