@@ -133,10 +133,14 @@ def some_rows(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[bytes]]:
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word; no word reaches over the end of its row."""
-    if not len(data):
+    return run_bounds(~((data == 32) | ((data >= 9) & (data <= 13))), offsets)
+
+
+def run_bounds(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each longest run of marked bytes within a row."""
+    if not len(word):
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

@@ -74,6 +74,37 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _price(count: str, total: str) -> str:
+    return f"(1 + 1000000000::HUGEINT * ({count} + 1) // ({total} + v))"
+
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(
+          regexp_extract_all(translate(coalesce(text, ''), '{SMALL.upper()}', '{SMALL}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM documents),
+k AS (SELECT lang, term, count(*) AS n FROM d GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT d.lang, source, term, count(*) AS n FROM d JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+s AS (SELECT lang, source, coalesce(n_group, 0) AS n_group, coalesce(n_lang, 0) AS n_lang, coalesce(v, 0) AS v FROM g
+        LEFT JOIN (SELECT lang, source, sum(n) AS n_group FROM c GROUP BY ALL) USING (lang, source)
+        LEFT JOIN (SELECT lang, sum(n) AS n_lang, count(*) AS v FROM k GROUP BY ALL) USING (lang)),
+a AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {_price("coalesce(c.n, 0)", "n_group")} AS p,
+        {_price("k.n", "n_lang")} AS q
+        FROM s JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM a JOIN a AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT s.lang, s.source, 'pair' AS part, z.source AS item, coalesce(f.value, 0) AS value
+        FROM s JOIN s AS z ON z.lang = s.lang AND z.source <> s.source
+        LEFT JOIN f ON f.lang = s.lang AND f.source = s.source AND f.item = z.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM a WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def _spans(kind: str, expression: str) -> str:
     """rid, m (text of a match), s and e (its start and end) of all matches of a pattern."""
@@ -135,4 +166,5 @@ ORACLE = {
     "op5_substring_dedup": OP5,
     "op6_exact_top_k": OP6,
     "op12_secret_scan": _op12(),
+    "op13_source_divergence": OP13,
 }

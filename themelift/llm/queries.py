@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from themelift.llm import boosted_trees, quality_rules, secrets, toxicity, warc
 from themelift.llm.bpe import token_digests
 from themelift.llm.common import read_table
+from themelift.llm.divergence import divergence
 from themelift.llm.html_extract import extract
 from themelift.llm.oracle import ORACLE
 from themelift.llm.packing import pack_documents
@@ -81,6 +82,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_main_text,
         op10_bpe_round_trip,
         op12_secret_scan,
+        op13_source_divergence,
     )
 }
 
