@@ -74,6 +74,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+ALNUM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SMALL = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,6 +82,25 @@ def _price(count: str, total: str) -> str:
     return f"(1 + 1000000000::HUGEINT * ({count} + 1) // ({total} + v))"
 
 
+def _lower(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{SMALL.upper()}', '{SMALL}')"
+
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lower("text")}, '{ALNUM}') AS w FROM documents),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+m AS (SELECT rid, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all({_lower("text")}, '{ALNUM}') AS w FROM benchmark),
+q AS (SELECT iid, item_id, term, count(*) AS qn FROM (SELECT iid, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+c AS (SELECT iid, item_id, rid, doc_id, sum(qn * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+          * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (rid), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 OP13 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(
           regexp_extract_all(translate(coalesce(text, ''), '{SMALL.upper()}', '{SMALL}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
@@ -165,6 +185,7 @@ ORACLE = {
     "op2_warc_revisits": OP2,
     "op5_substring_dedup": OP5,
     "op6_exact_top_k": OP6,
+    "op11_ranked_search": OP11,
     "op12_secret_scan": _op12(),
     "op13_source_divergence": OP13,
 }

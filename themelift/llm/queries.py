@@ -12,6 +12,7 @@ from themelift.llm.bpe import token_digests
 from themelift.llm.common import read_table
 from themelift.llm.divergence import divergence
 from themelift.llm.html_extract import extract
+from themelift.llm.lexical_blocks import ranked_search
 from themelift.llm.oracle import ORACLE
 from themelift.llm.packing import pack_documents
 from themelift.llm.simhash import hex_digits, near_copies
@@ -75,6 +76,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(read_table(spark, sf_dir, "documents"))
     counts = [F.size(secrets.of_kinds(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_main_text,
         op10_bpe_round_trip,
+        op11_ranked_search,
         op12_secret_scan,
         op13_source_divergence,
     )
