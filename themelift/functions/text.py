@@ -73,6 +73,13 @@ def typo(query: Column, keyword: Column) -> Column:
     return near & (F.levenshtein(q, k).cast("double") < allowed)
 
 
+def letters(c: Column) -> Column:
+    """A bit for each kind of letter that a non-empty text has, letters with equal code points modulo
+    64 as one kind. An edit turns two bits at most."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(F.substr(c, i, F.lit(1))) % 64)
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(c)), bit), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+
 def utc_text(ts: Column) -> Column:
     """Timestamp as ``yyyy-MM-dd HH:mm:ss``; the session time zone is expected to be UTC."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")

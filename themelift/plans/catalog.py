@@ -13,6 +13,7 @@ from themelift.operators.gram_match import gram_topk, with_gram_text
 from themelift.operators.hard_match import gram_index, hard_match, hard_match_indexed, write_gram_index
 from themelift.operators.keywords import dedup_keywords
 from themelift.operators.lexical import lexical_topk
+from themelift.operators.typo_match import typo_join
 from themelift.operators.vector_match import (
     MIN_SIM,
     TOP_K,
@@ -421,6 +422,14 @@ def gram_topk_text_rows(spark, sf):
     return near.select("theme", "keyword", "id", "normalized_query", "similarity")
 
 
+@query("typo_join")
+def typo_join_rows(spark, sf):
+    """Every log row whose id is divisible by 50 as a keyword, against all rows."""
+    log = stage(fx.pair_log(spark, sf), "log")
+    found = typo_join(stage(fx.pair_samples(log), "keywords"), log)
+    return found.select("theme", "kw_pos", "keyword", "id", "normalized_query", "edits", "similarity")
+
+
 @query("apply_verdicts")
 def apply_verdicts_rows(spark, sf):
     docs = fx.table(spark, sf, "documents").select(

@@ -176,6 +176,18 @@ def pair_keywords(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pair_samples(log: DataFrame) -> DataFrame:
+    """Keywords: every row of a pair log whose id is divisible by 50, dealt to 20 themes."""
+    theme = F.floor(F.col("id") % 1000 / 50).cast("bigint")
+    return log.where(F.col("id") % 50 == 0).select(
+        theme.alias("theme_pos"),
+        F.concat(F.lit("every 50th "), theme.cast("string")).alias("theme"),
+        "market",
+        F.col("id").alias("kw_pos"),
+        F.col("normalized_query").alias("keyword"),
+    )
+
+
 def vector_log(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.lit(MARKET).alias("market"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")

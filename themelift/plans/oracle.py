@@ -37,13 +37,31 @@ def relevance(q: str, k: str) -> str:
     )
 
 
-def typo(q: str, k: str) -> str:
-    def plain(c: str) -> str:
-        return f"translate({clean(c)}, '{ACCENTED}', '{STAND_INS}')"
+def plain(c: str) -> str:
+    return f"translate({clean(c)}, '{ACCENTED}', '{STAND_INS}')"
+
 
+def typo(q: str, k: str) -> str:
     return f"CAST(levenshtein({plain(q)}, {plain(k)}) AS DOUBLE) < CAST(length({clean(k)}) AS DOUBLE) / 5"
 
 
+def typos(log: str, kw: str) -> str:
+    """All pairs of a keyword and a log row that differ in fewer edits than a fifth of the keyword.
+    Of d + 1 pieces of the keyword, d edits leave one as it is, so pairs without any are not compared."""
+    pieces = ", ".join(
+        f"CASE WHEN d >= {i} THEN substring(b, {i} * n // (d + 1) + 1, {i + 1} * n // (d + 1) - {i} * n // (d + 1)) END AS p{i}"
+        for i in range(5)
+    )
+    holds = " OR ".join(f"contains(a, p{i})" for i in range(5))
+    return f"""SELECT * EXCLUDE (a, b, n, d, m, p0, p1, p2, p3, p4, kw_market), round(1 - CAST(edits AS DOUBLE) / n, 9) AS similarity
+ FROM (SELECT k.*, l.*, levenshtein(a, b) AS edits
+  FROM (SELECT *, {pieces}, unnest(range(n - d, n + d + 1)) AS m
+   FROM (SELECT * EXCLUDE (market), market AS kw_market, {plain('keyword')} AS b, length({clean('keyword')}) AS n,
+     (length({clean('keyword')}) + 4) // 5 - 1 AS d FROM {kw}) WHERE n > 0) k
+  JOIN (SELECT *, {plain('normalized_query')} AS a FROM {log}) l ON length(a) = m AND kw_market = market
+  WHERE d > 4 OR {holds}) WHERE edits <= d"""
+
+
 def cents(net: str) -> str:
     return f"CAST(({net} + 50) // 100 AS DOUBLE) / 100"
 
@@ -125,6 +143,13 @@ cte(
     "pair_words",
 )
 
+cte(
+    "pair_samples",
+    f"""SELECT id % 1000 // 50 AS theme_pos, 'every 50th ' || id % 1000 // 50 AS theme, '{MARKET}' AS market, id AS kw_pos,
+ normalized_query AS keyword FROM pair_log WHERE id % 50 = 0""",
+    "pair_log",
+)
+
 
 def matching(log: str, kw: str, prefix: str) -> None:
     """Steps of the match of keyword table ``kw`` with ``log``, named with ``prefix``."""
@@ -171,11 +196,15 @@ def matching(log: str, kw: str, prefix: str) -> None:
  WHERE similarity >= 0.8 AND (contains({clean('normalized_query')}, {clean('keyword')}) OR {typo('normalized_query', 'keyword')})""",
         f"{prefix}near",
     )
+    cte(f"{prefix}typos", typos(log, kw), log, kw)
     cte(
         f"{prefix}hits",
-        f"SELECT * FROM {prefix}hard UNION ALL BY NAME SELECT * FROM {prefix}verified",
+        f"""SELECT * FROM {prefix}hard UNION ALL BY NAME SELECT * EXCLUDE (relevance), max(relevance) AS relevance
+ FROM (SELECT * FROM {prefix}verified UNION ALL BY NAME SELECT * EXCLUDE (similarity, edits), similarity AS relevance, 'vector' AS method
+  FROM {prefix}typos) GROUP BY ALL""",
         f"{prefix}hard",
         f"{prefix}verified",
+        f"{prefix}typos",
     )
     cte(
         f"{prefix}merged",
@@ -495,6 +524,11 @@ ORACLE: dict[str, str] = {
         "log",
     ),
     "gram_topk": with_ctes("SELECT theme, keyword, id, normalized_query, similarity FROM near", "near"),
+    "typo_join": with_ctes(
+        f"SELECT theme, kw_pos, keyword, id, normalized_query, CAST(edits AS INTEGER) AS edits, similarity FROM ({typos('pair_log', 'pair_samples')})",
+        "pair_log",
+        "pair_samples",
+    ),
     "gram_topk_text": with_ctes(
         "SELECT theme, keyword, id, normalized_query, similarity FROM pair_near WHERE similarity >= 0.6", "pair_near"
     ),

@@ -10,6 +10,7 @@ from themelift.operators.hard_match import hard_match
 from themelift.operators.inference import merge_verdicts, verdict_defaults
 from themelift.operators.lexical import lexical_topk
 from themelift.operators.merge import MIN_RELEVANCE, in_theme_order, merge_hits, relevance_floor, union_hits
+from themelift.operators.typo_match import typo_hits, typo_join
 from themelift.operators.vector_match import MIN_SIM, TOP_K, vector_topk, vector_verify
 from themelift.operators.verdicts import apply_verdicts
 from themelift.sources.query_log import attach_metrics, with_match_text
@@ -26,10 +27,12 @@ def match_hits(
     min_sim: float = MIN_SIM,
     lexical: bool = False,
     q_stats: DataFrame | None = None,
+    typos: DataFrame | None = None,
 ) -> DataFrame:
     """Substring hits and verified vector hits of all themes. With vector tables the neighbours
     come from them, with ``lexical`` from text relevance, otherwise from the texts' character
-    grams."""
+    grams. Grams miss typos of short keywords, so there every typo is a hit too, at the higher of
+    both similarities; ``typos`` is the stored ``typo_index`` of the log."""
     log = with_match_text(log)
     hard = hard_match(keywords, log, stats)
     if q_vecs is not None and kw_vecs is not None:
@@ -39,7 +42,10 @@ def match_hits(
         near = lexical_topk(keywords, log, k).drop("score", "distance")
         candidates = attach_metrics(near, log, max_hits=k * keywords.count())
     else:
-        candidates = gram_topk(keywords, log, k, min_sim, counts=q_stats)
+        near = vector_verify(gram_topk(keywords, log, k, min_sim, counts=q_stats), min_sim)
+        both = union_hits(near, typo_hits(typo_join(keywords, log, typos)))
+        key = [c for c in both.columns if c != "relevance"]
+        return union_hits(hard, both.groupBy(*key).agg(F.max("relevance").alias("relevance")))
     return union_hits(hard, vector_verify(candidates, min_sim))
 
 
@@ -53,10 +59,12 @@ def match_themes(
     min_sim: float = MIN_SIM,
     min_rel: float = MIN_RELEVANCE,
     q_stats: DataFrame | None = None,
+    typos: DataFrame | None = None,
 ) -> DataFrame:
     """Scored results of all themes: one row per theme and query text. ``stats`` and ``q_stats``
-    are gram counts stored with the log, of its match texts and of its padded texts."""
-    hits = match_hits(keywords, log, kw_vecs, q_vecs, stats, k, min_sim, q_stats=q_stats)
+    are gram counts stored with the log, of its match texts and of its padded texts, ``typos`` its
+    typo index."""
+    hits = match_hits(keywords, log, kw_vecs, q_vecs, stats, k, min_sim, q_stats=q_stats, typos=typos)
     return relevance_floor(merge_hits(hits), min_rel).drop("score_hard", "score_vector")
 
 
