@@ -44,11 +44,11 @@ from pyspark.sql import types as T
 
 from themelift.llm.common import NO_ID, row_groups, text_buffer, tidy
 from themelift.llm.terms import LETTERS_AND_DIGITS, term_codes
-from themelift.sizing import measure, stage
+from themelift.sizing import measure, scratch_dir, stage
 
 TOP = 10
 ITEM_BYTES = 4 << 20  # of the items that are asked in one pass
-SHARD_ROWS = 4096
+SHARD_ROWS = 2048
 CELLS = 1 << 24  # rows times terms of a shard at most
 VALUES = 1 << 20  # entries of the vectors of a shard, and fewer where the terms are many
 SUMMARY_BYTES = 1 << 27  # of all summaries of a shard when they are laid out
@@ -57,6 +57,8 @@ SHORT = 32  # shorter lists have no blocks, their documents are scored
 SKETCH = 32
 LEVEL = 3_922  # a step of a summary; 255 of them are over the largest component
 FIRST_BLOCKS = 4
+#: A row is a whole shard, so a reader is to take few of them at a time.
+FEW_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def component(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -333,6 +335,12 @@ class Best:
         self.add(item, scores, shard.ids[rows])
 
 
+def write_index(shards: DataFrame, path: str) -> DataFrame:
+    """Store shards, a few MB in each row group, and give them as they are read back."""
+    shards.write.options(**FEW_ROWS).parquet(path)
+    return shards.sparkSession.read.schema(shards.schema).parquet(path)
+
+
 def found_in(shards: DataFrame, items: Asked, weights: np.ndarray, id_type: T.DataType, k: int = TOP) -> DataFrame:
     """item (its number), item_id, id and score: each task's k best of every item."""
     sent = shards.sparkSession.sparkContext.broadcast((items, weights))
@@ -368,7 +376,7 @@ def _search_part(docs: DataFrame, items: DataFrame, k: int, shape: dict[str, int
     part = asked([(r["item_id"], r["text"]) for r in items.collect()])
     rows = stage(vectors(docs, part.terms), "lexical-vectors")
     stats = statistics(rows, len(part.terms))
-    shards = stage(index(rows, stats, **shape), "lexical-shards")
+    shards = write_index(index(rows, stats, **shape), scratch_dir(docs.sparkSession, "lexical-shards"))
     found = found_in(shards, part, stats.weights(), items.schema["item_id"].dataType, k)
     order = Window.partitionBy("item").orderBy(F.desc("score"), "id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
