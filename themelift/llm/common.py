@@ -277,8 +277,8 @@ class WordNumbers:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.numbers, self.count = np.zeros(0, np.int32), 0
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.second, self.count = np.zeros(1 << 16, np.uint64), 0  # second halves by number
 
     def full(self) -> bool:
         return self.count > self.limit
@@ -299,17 +299,19 @@ class WordNumbers:
         at = np.minimum(place, max(known - 1, 0))
         taken = self.hashes[at] == hashes[:, 0] if known else np.zeros(len(words), bool)
         old = taken.copy()
-        old[taken] = self.second[at[taken]] == hashes[taken, 1]
+        old[taken] = self.second[self.numbers[at[taken]]] == hashes[taken, 1]
         numbers = np.zeros(len(words), np.int32)
         numbers[old] = self.numbers[at[old]]
         fresh = np.flatnonzero(~old)
         numbers[fresh] = self.count + np.arange(len(fresh))
         self.count += len(fresh)
+        while self.count > len(self.second):
+            self.second = np.concatenate([self.second, np.zeros_like(self.second)])
+        self.second[numbers[fresh]] = hashes[fresh, 1]
         first = np.append(True, hashes[1:, 0] != hashes[:-1, 0])[: len(words)]
         kept = np.flatnonzero(~taken & first)
         if len(kept):
             self.hashes = np.insert(self.hashes, place[kept], hashes[kept, 0])
-            self.second = np.insert(self.second, place[kept], hashes[kept, 1])
             self.numbers = np.insert(self.numbers, place[kept], numbers[kept])
         each = np.zeros(len(words), np.int64)
         each[order] = numbers
