@@ -20,12 +20,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from themelift.operators.gram_match import gram_topk, query_gram_stats, with_gram_text  # noqa: E402
 from themelift.operators.hard_match import gram_index, gram_stats, hard_match, hard_match_indexed  # noqa: E402
+from themelift.operators.posting_blocks import block_match, posting_blocks, write_blocks  # noqa: E402
 from themelift.operators.typo_match import typo_index, typo_join  # noqa: E402
 from themelift.operators.vector_match import MIN_SIM, vector_topk  # noqa: E402
 from themelift.plans import fixtures  # noqa: E402
 from themelift.plans.catalog import REGISTRY  # noqa: E402
 from themelift.plans.pipeline import match_themes  # noqa: E402
-from themelift.sizing import stage  # noqa: E402
+from themelift.sizing import scratch_dir, stage  # noqa: E402
 from themelift.sources.query_log import with_match_text  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -105,6 +106,18 @@ def main() -> None:
     vectors = stage(fixtures.rotated_vectors(spark, SF_DIR, VECTOR_TURNS, 0.002), "vectors")
     kw_vectors = stage(fixtures.vector_keywords(spark, SF_DIR), "kw-vectors")
     runs["ingest_index"] = timed(spark, lambda: tables.setdefault("index", stage(gram_index(log), "index")))
+
+    def index_blocks() -> DataFrame:
+        path = scratch_dir(spark, "blocks")
+        write_blocks(posting_blocks(log), path)
+        tables["blocks"] = spark.read.parquet(path)
+        return tables["blocks"]
+
+    few = stage(kw.where(F.length("keyword") >= 6).orderBy("keyword").limit(10), "few")
+    runs["ingest_blocks"] = timed(spark, index_blocks)
+    runs["stored_block_match"] = timed(spark, lambda: block_match(kw, tables["blocks"], log))
+    runs["stored_block_match_few"] = timed(spark, lambda: block_match(few, tables["blocks"], log))
+    runs["stored_hard_match_few"] = timed(spark, lambda: hard_match(few, log, stats))
     runs["ingest_typos"] = timed(spark, lambda: tables.setdefault("typos", stage(typo_index(log), "typos")))
     runs["stored_typo_join"] = timed(spark, lambda: typo_join(kw, log, tables["typos"]))
     runs["stored_hard_match"] = timed(spark, lambda: hard_match(kw, log, stats))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from brute import gram_near, hard, merge
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ from themelift.operators.hard_match import (
     hard_match_indexed,
     write_gram_index,
 )
-from themelift.operators.keywords import blank_keywords, dedup_keywords
+from themelift.operators.keywords import blank_keywords, dedup_keywords, prepare_keywords
 from themelift.operators.lexical import lexical_topk
 from themelift.operators.merge import merge_hits, relevance_floor
+from themelift.operators import posting_blocks as posting_blocks_module
+from themelift.operators.posting_blocks import block_candidates, block_match, posting_blocks, write_blocks
 from themelift.plans.pipeline import match_hits, match_themes
 from themelift.schemas import KEYWORDS, QUERY_LOG
 
@@ -206,3 +209,46 @@ def test_lexical_topk(spark, limit):
     kw = kw_of(spark, [(0, "t", "Australia", 0, "google maps"), (0, "t", "Australia", 1, "none")])
     got = lexical_topk(kw, log, 1, limit=limit, salts=2).collect()
     assert [(r.id, r.similarity, r.distance) for r in got] == [(5, 1.0, 0.0)]
+
+
+def test_posting_blocks_equal_brute_force(spark, skewed, tmp_path):
+    kw, log = skewed
+    rows = log_of(spark, log).repartition(3)
+    for chunk, limit, rare in ((1 << 16, 1 << 26, 3), (40, 0, 2), (7, 1 << 26, 1)):
+        write_blocks(posting_blocks(rows, chunk=chunk), str(tmp_path / f"{chunk}"), buckets=3)
+        blocks = spark.read.parquet(str(tmp_path / f"{chunk}"))
+        got = block_match(kw_of(spark, kw), blocks, rows, rare=rare, limit=limit, salts=3)
+        assert hard_rows(got) == hard(kw, log)
+
+
+def test_posting_blocks_hold_every_gram_once(spark, skewed):
+    _, log = skewed
+    blocks = posting_blocks(log_of(spark, log).coalesce(1), chunk=100).collect()
+    found = []
+    for b in blocks:
+        ids = posting_blocks_module._decoded(b.first_id, b.n, b.steps).tolist()
+        assert b.last_id == ids[-1] and all(x < y for x, y in zip(ids, ids[1:], strict=False))
+        found += [(b.market, b.gram, i) for i in ids]
+    index = gram_index(log_of(spark, log)).select("market", "gram", "id").collect()
+    assert sorted(found) == sorted(map(tuple, index))
+
+
+@pytest.mark.parametrize("ids", [[5], [0, 1, 2], [7, 300, 301], [1, 1 << 20], [3, 1 << 40, (1 << 62) + 1]])
+def test_steps_in_as_few_bytes_as_needed(ids):
+    coded = posting_blocks_module._coded(np.array(ids))
+    assert posting_blocks_module._decoded(ids[0], len(ids), coded).tolist() == ids
+    assert len(coded) == 0 if len(ids) == 1 else len(coded) // (len(ids) - 1) in (1, 2, 4, 8)
+
+
+def test_posting_blocks_of_nothing(spark):
+    empty, kw = log_of(spark, []), kw_of(spark, [(1, "t", "Japan", 0, "a")])
+    assert posting_blocks(empty).collect() == []
+    assert block_match(kw, posting_blocks(empty), empty).collect() == []
+    assert block_match(kw_of(spark, []), posting_blocks(log_of(spark, [SAMPLE[0] + ("Japan",)])), empty).collect() == []
+
+
+def test_intersection_reads_no_text(spark, skewed):
+    kw, log = skewed
+    found = block_candidates(prepare_keywords(kw_of(spark, kw)), posting_blocks(log_of(spark, log)))
+    assert found.columns == ["market", "kw_fold", "id"]
+    assert found.count() == found.distinct().count()

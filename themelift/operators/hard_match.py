@@ -49,7 +49,8 @@ def _probes(
     return rarest_gram(grams, stats, literal)
 
 
-def _hits(pairs: DataFrame) -> DataFrame:
+def with_hit_columns(pairs: DataFrame) -> DataFrame:
+    """Matched pairs of keywords and log rows as hits of the substring part of the score."""
     return (
         pairs.withColumn("method", F.lit("hard"))
         .withColumn("relevance", hard_relevance(F.col("normalized_query"), F.col("keyword")))
@@ -88,7 +89,7 @@ def hard_match(
     # Texts are matched once; only then they are handed to every theme that uses them.
     themed = kw.select(*KEYWORD_KEY, "kw_fold")
     key = ["market", "kw_fold"]
-    return _hits(lookup_join(pairs, themed, key, limit=limit, salts=salts, size=profile.size))
+    return with_hit_columns(lookup_join(pairs, themed, key, limit=limit, salts=salts, size=profile.size))
 
 
 def _wildcard_match(
@@ -112,7 +113,7 @@ def _wildcard_match(
         (F.position(F.col("gram"), F.col("match_text")) == F.col("at"))
         & F.like(F.col("match_text"), like_pattern(F.col("kw_fold")))
     )
-    hits = _hits(pairs)
+    hits = with_hit_columns(pairs)
     if not profile.has_free:
         return hits
     # Only wildcards: any text with at least as many characters as there are underscores. The
@@ -122,7 +123,7 @@ def _wildcard_match(
     )
     free = F.broadcast(free) if fits else free
     rest = text.join(free, "market").where(F.length("match_text") >= F.col("_needs"))
-    return hits.unionByName(_hits(rest))
+    return hits.unionByName(with_hit_columns(rest))
 
 
 def gram_index(log: DataFrame, sizes: tuple[int, ...] = (1, 2, GRAM)) -> DataFrame:
@@ -195,4 +196,4 @@ def hard_match_indexed(
     found = candidates.where(F.contains(F.col("match_text"), F.col("kw_fold")))
     pairs = log.select(*LOG_COLUMNS).join(found.select("market", "id", "kw_fold"), ["market", "id"])
     themed = kw.select(*KEYWORD_KEY, "kw_fold")
-    return _hits(lookup_join(pairs, themed, ["market", "kw_fold"], limit=limit, salts=salts, size=size))
+    return with_hit_columns(lookup_join(pairs, themed, ["market", "kw_fold"], limit=limit, salts=salts, size=size))

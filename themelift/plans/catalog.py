@@ -13,6 +13,7 @@ from themelift.operators.gram_match import gram_topk, with_gram_text
 from themelift.operators.hard_match import gram_index, hard_match, hard_match_indexed, write_gram_index
 from themelift.operators.keywords import dedup_keywords
 from themelift.operators.lexical import lexical_topk
+from themelift.operators.posting_blocks import block_match, posting_blocks, write_blocks
 from themelift.operators.typo_match import typo_join
 from themelift.operators.vector_match import (
     MIN_SIM,
@@ -359,6 +360,16 @@ def hard_match_indexed_rows(spark, sf):
     return _hit_rows(hard_match_indexed(words, spark.read.parquet(path), log, buckets=16))
 
 
+@query("hard_match_blocks")
+def hard_match_blocks_rows(spark, sf):
+    """Every 50th row of the pair log as a keyword, from compressed posting blocks stored once."""
+    log = stage(query_log.with_match_text(fx.pair_log(spark, sf)), "log")
+    path = scratch_dir(spark, "blocks")
+    write_blocks(posting_blocks(log), path, buckets=16)
+    words = stage(fx.pair_samples(log), "keywords")
+    return _hit_rows(block_match(words, spark.read.parquet(path), log))
+
+
 @query("hard_match_wildcards")
 def hard_match_wildcards_rows(spark, sf):
     """Keywords whose second word is replaced by wildcards: its first letter, then anything that

@@ -45,6 +45,15 @@ def typo(q: str, k: str) -> str:
     return f"CAST(levenshtein({plain(q)}, {plain(k)}) AS DOUBLE) < CAST(length({clean(k)}) AS DOUBLE) / 5"
 
 
+def hard(log: str, kw: str) -> str:
+    """All pairs of a keyword and a log row that holds it."""
+    return f"""SELECT k.* EXCLUDE (wanted), l.id, l.normalized_query, l."SRPV", l."AdClick", l.revenue, 'hard' AS method,
+ {relevance('l.normalized_query', 'k.keyword')} AS relevance
+ FROM (SELECT *, {fold(clean('keyword'))} AS wanted FROM {kw}) k
+ JOIN (SELECT *, {fold(half_clean('normalized_query'))} AS stored FROM {log}) l
+ ON contains(l.stored, k.wanted) WHERE l.market = k.market"""
+
+
 def typos(log: str, kw: str) -> str:
     """All pairs of a keyword and a log row that differ in fewer edits than a fifth of the keyword.
     Of d + 1 pieces of the keyword, d edits leave one as it is, so pairs without any are not compared."""
@@ -155,11 +164,7 @@ def matching(log: str, kw: str, prefix: str) -> None:
     """Steps of the match of keyword table ``kw`` with ``log``, named with ``prefix``."""
     cte(
         f"{prefix}hard",
-        f"""SELECT k.* EXCLUDE (wanted), l.id, l.normalized_query, l."SRPV", l."AdClick", l.revenue, 'hard' AS method,
- {relevance('l.normalized_query', 'k.keyword')} AS relevance
- FROM (SELECT *, {fold(clean('keyword'))} AS wanted FROM {kw}) k
- JOIN (SELECT *, {fold(half_clean('normalized_query'))} AS stored FROM {log}) l
- ON contains(l.stored, k.wanted) WHERE l.market = k.market""",
+        hard(log, kw),
         log,
         kw,
     )
@@ -498,6 +503,9 @@ ORACLE: dict[str, str] = {
         "kw",
         "log_rows",
     ),
+    "hard_match_blocks": with_ctes(
+        f"SELECT {HIT_SELECT} FROM ({hard('pair_log', 'pair_samples')})", "pair_log", "pair_samples"
+    ),
     "hard_match_text": with_ctes(f"SELECT {HIT_SELECT} FROM pair_hard", "pair_hard"),
     "vector_topk": with_ctes("SELECT * FROM neighbours", "neighbours"),
     "attach_metrics": with_ctes(
