@@ -28,6 +28,7 @@ from themelift.schemas import VERDICT_MAP
 from themelift.sizing import scratch_dir, stage
 from themelift.sources import query_log, sinks, themes, vectors as vector_source
 from themelift.sources.markets import language_plan, resolve_market
+from themelift.streaming import job_stream
 from themelift.streaming.theme_stream import match_counts, progress_events, start_theme_stream, theme_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -796,6 +797,33 @@ def stream_theme_matches_rows(spark, sf):
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+@query("stream_jobs")
+def stream_jobs_rows(spark, sf):
+    """How each job ends: requests and replies as two streams of files, the replies in reverse."""
+    base = scratch_dir(spark, "jobs")
+    asked, told = fx.job_streams(spark, sf)
+    asked.repartitionByRange(2, "theme_pos").write.json(f"{base}/requests/files")
+    told.repartitionByRange(2, F.desc("theme_pos")).write.json(f"{base}/replies/files")
+    log = stage(with_gram_text(query_log.with_match_text(fx.part_log(spark, sf))), "log")
+
+    def run() -> None:
+        requests = job_stream.read_files(spark, f"{base}/requests/*", job_stream.REQUEST, 1)
+        replies = job_stream.read_files(spark, f"{base}/replies/*", job_stream.REPLY, 1)
+        answers = job_stream.answered(requests, replies, delay="2 hours")
+        job_stream.start_matches(answers, log, f"{base}/out", f"{base}/state").awaitTermination()
+        job_stream.start_jobs(spark, f"{base}/out", f"{base}/lines", f"{base}/job-state", delay="2 hours").awaitTermination()
+
+    run()
+    for day in (2, 3):  # a job that only moves the streams' time on
+        at = F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+        clock = asked.agg(F.lit("clock").alias("job_id"), F.lit(day).cast("long").alias("theme_pos"), at.alias("at"))
+        clock.select("job_id", "theme_pos", F.lit("none").alias("theme"), F.lit(fx.MARKET).alias("market"), F.lit(9).cast("long").alias("n_themes"), F.col("at").alias("asked_at")).write.json(f"{base}/requests/{day}")
+        clock.select("job_id", "theme_pos", F.lit("[]").alias("content"), F.col("at").alias("replied_at")).write.json(f"{base}/replies/{day}")
+        run()
+    lines = spark.read.parquet(f"{base}/lines").where("job_id <> 'clock' and type in ('complete', 'error')")
+    return lines.select("job_id", "type", "n_themes", "done", "failed", "match_count", (F.col("line_no") + 1).alias("n_lines"))
+
+
 @query("progress_events")
 def progress_events_rows(spark, sf):
     return progress_events("0badcafe", theme_lines(match_counts(_final(spark, sf), fx.part_keywords(spark, sf))))

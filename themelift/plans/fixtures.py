@@ -368,6 +368,24 @@ def expansion_replies(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("brand", F.col("theme"))
 
 
+def job_streams(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Themes as requests of three jobs, and the replies to them, seven minutes later each. Themes of
+    four letters are never answered, and the second job waits for a theme that nobody asks for."""
+    words = part_keywords(spark, sf)
+    ordered = F.array_sort(F.collect_list(F.struct("kw_pos", "keyword")))
+    themes = words.groupBy("theme_pos", "theme", "market").agg(F.to_json(F.transform(ordered, lambda s: s["keyword"])).alias("content"))
+    number = F.abs("theme_pos") % 3
+    themes = themes.withColumn("job_id", F.concat(F.lit("job-"), number.cast("string")))
+    sizes = themes.groupBy("job_id").agg((F.count(F.lit(1)) + F.when(F.col("job_id") == "job-1", 1).otherwise(0)).alias("n_themes"))
+    asked = F.timestamp_add("MINUTE", F.abs("theme_pos") % 40, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows = themes.join(sizes, "job_id").withColumn("asked_at", asked)
+    replies = rows.where(F.length("theme") != 4).withColumn("replied_at", F.timestamp_add("MINUTE", F.lit(7), "asked_at"))
+    return (
+        rows.select("job_id", "theme_pos", "theme", "market", "n_themes", "asked_at"),
+        replies.select("job_id", "theme_pos", "content", "replied_at"),
+    )
+
+
 def validation_replies(chunks: DataFrame) -> DataFrame:
     """Reply texts to the validation requests of labelled results (see ``validation_chunks``).
 

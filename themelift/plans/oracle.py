@@ -728,6 +728,16 @@ ORACLE: dict[str, str] = {
     ),
     "flagship_vectors": with_ctes("SELECT * FROM vector_results", "vector_results"),
     "stream_theme_matches": with_ctes("SELECT * FROM results", "results"),
+    "stream_jobs": with_ctes(
+        """SELECT job_id, CASE WHEN failed > 0 OR job_id = 'job-1' THEN 'error' ELSE 'complete' END AS type,
+ n + CASE WHEN job_id = 'job-1' THEN 1 ELSE 0 END AS n_themes, n - failed AS done, failed, match_count, n + 2 AS n_lines
+ FROM (SELECT 'job-' || abs(t.theme_pos) % 3 AS job_id, count(*) AS n, count(*) FILTER (WHERE length(theme) = 4) AS failed,
+  CAST(coalesce(sum(m.c) FILTER (WHERE length(theme) <> 4), 0) AS BIGINT) AS match_count
+  FROM (SELECT DISTINCT theme_pos, theme FROM kw) t LEFT JOIN (SELECT theme_pos, count(*) AS c FROM results GROUP BY theme_pos) m
+  ON m.theme_pos = t.theme_pos GROUP BY ALL)""",
+        "kw",
+        "results",
+    ),
     "progress_events": with_ctes(
         """SELECT CAST(-4611686018427387904 AS BIGINT) AS event_pos, 'job_start' AS type, '{"type":"job_start","job_id":"0badcafe"}' AS line
  UNION ALL SELECT k.theme_pos, 'theme_result',
