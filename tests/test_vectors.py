@@ -139,3 +139,17 @@ def test_encoder_hook_feeds_the_match(spark):
 def test_encode_batches(spark):
     df = spark.createDataFrame([("ab",), ("b",)], "t string")
     assert [r.v[1] for r in encode(df, _letters, "t", "v").collect()] == [1.0, 1.0]
+
+
+def test_grid_scans_each_side_once(spark, tables):
+    kw, q, *_ = tables
+    plan = vector_topk(kw, q, 5, None, 400)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_grid_with_one_sided_markets_and_nulls(spark):
+    kw = spark.createDataFrame([(0, "t", m, p, f"k{p}", v) for p, (m, v) in enumerate([("A", [1.0, 0.0]), ("C", [1.0, 0.0]), ("A", None), ("A", [0.0, 1.0])])], KW)
+    q = spark.createDataFrame([("A", 1, [1.0, 0.0]), ("A", 2, [0.0, 1.0]), ("B", 3, [1.0, 0.0]), ("A", 4, None)], "market string, id long, vec array<float>")
+    for chunk_bytes in (1 << 25, 40):
+        assert rows_of(vector_topk(kw, q, 1, None, chunk_bytes)) == [(0, 1, 1.0), (3, 2, 1.0)]
+    assert vector_topk(kw, q.limit(0), 1, None, 40).collect() == []

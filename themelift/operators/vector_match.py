@@ -18,7 +18,7 @@ from themelift.functions.text import contained, typo
 from themelift.functions.vectors import DIGITS, cosine
 from themelift.operators.positions import topk_per
 from themelift.schemas import HIT_COLUMNS, KEYWORD_KEY
-from themelift.sizing import lookup_join, measure, scratch_dir
+from themelift.sizing import lookup_join, measure
 
 # The task code below travels with the job, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -126,6 +126,36 @@ def _scan_chunk(
     return q_vecs.select("market", "id", "vec").mapInArrow(best, schema)
 
 
+def _best_of_tile(keywords: pa.Table, rows: pa.Table, k: int, floor: float, schema: list[str]) -> pa.Table:
+    """The k best rows of a tile's log vectors for each of its keywords."""
+    running = _BestPerKeyword(_matrix(keywords["vec"]).astype(np.float64), k, floor)
+    running.add(rows["id"].to_numpy(), _matrix(rows["vec"]))
+    kw, ids, sims = running.result()
+    out = keywords.select(KEYWORD_KEY).take(pa.array(kw))
+    out = out.append_column("id", pa.array(ids, pa.int64())).append_column("similarity", pa.array(sims, pa.float64()))
+    return out.select(schema)
+
+
+def _grid(q_vecs: DataFrame, kw: DataFrame, k: int, min_sim: float | None, blocks: int, stripes: int) -> DataFrame:
+    """Each tile's k best rows of every keyword: keywords are dealt into blocks and log vectors into
+    stripes of a measured size, and a task has one of each. A side is scanned once and copied to the
+    tiles of its row or column of the grid."""
+    kw = kw.withColumn("_block", F.pmod(F.xxhash64(*KEYWORD_KEY), F.lit(blocks)).cast("int"))
+    kw = kw.withColumn("_stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    rows = q_vecs.select("market", "id", "vec").where(F.col("vec").isNotNull())
+    rows = rows.withColumn("_stripe", F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int"))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = kw.select(*KEYWORD_KEY).schema.add("id", "long").add("similarity", "double")
+    floor, names = (-np.inf if min_sim is None else min_sim), schema.fieldNames()
+    none = pa.table({f.name: pa.array([], {"string": pa.string(), "double": pa.float64()}.get(f.dataType.typeName(), pa.int64())) for f in schema.fields})
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_of_tile(left, right, k, floor, names) if len(left) and len(right) else none
+
+    tile = ["market", "_block", "_stripe"]
+    return kw.groupBy(*tile).cogroup(rows.groupBy(*tile)).applyInArrow(best, schema)
+
+
 def vector_topk(
     kw_vecs: DataFrame,
     q_vecs: DataFrame,
@@ -135,22 +165,21 @@ def vector_topk(
 ) -> DataFrame:
     """The ``k`` log rows nearest to each keyword by cosine of unit vectors, exact.
 
-    ``kw_vecs``: keyword columns and ``vec``; ``q_vecs``: market, id, ``vec``. The keyword side is
-    cut into chunks of a measured size, each compared with the log in block products inside the
-    tasks, so neither side is shuffled. A floor is applied inside the tasks too: rows below it never rank before rows above it,
-    so the result is the one of filtering afterwards. Ties go to the lower id.
+    ``kw_vecs``: keyword columns and ``vec``; ``q_vecs``: market, id, ``vec``. Keywords that fit
+    ``chunk_bytes`` go to every task of the log's scan, which compares them in block products, so
+    neither side is shuffled. More keywords meet the log in a grid of tiles of measured size (see
+    ``_grid``). Either way a task hands on k rows for each keyword at most, and the lists are cut
+    again before and after their shuffle. A floor is applied inside the tasks too: rows below it
+    never rank before rows above it, so the result is the one of filtering afterwards. Ties go to
+    the lower id. Null vectors take no part.
     """
     kw = kw_vecs.select(*KEYWORD_KEY, "vec").where(F.col("vec").isNotNull())
-    chunks = -(-measure(kw).bytes // chunk_bytes) or 1
-    if chunks == 1:
+    blocks = -(-measure(kw).bytes // chunk_bytes) or 1
+    if blocks == 1:
         best = _scan_chunk(q_vecs, kw, k, min_sim)
     else:
-        # One pass over the log per chunk, each written out before the next chunk is loaded.
-        path = scratch_dir(q_vecs.sparkSession, "vector-topk")
-        chunk_of = F.pmod(F.xxhash64(*KEYWORD_KEY), F.lit(chunks))
-        for i in range(chunks):
-            _scan_chunk(q_vecs, kw.where(chunk_of == i), k, min_sim).write.mode("append").parquet(path)
-        best = q_vecs.sparkSession.read.parquet(path)
+        stripes = -(-measure(q_vecs.select("id", "vec")).bytes // chunk_bytes) or 1
+        best = _grid(q_vecs, kw, k, min_sim, blocks, stripes)
     return topk_per(best, KEYWORD_KEY, [F.col("similarity").desc(), F.col("id")], k)
 
 

@@ -208,14 +208,12 @@ def rotated_vectors(spark: SparkSession, sf: str, turns: int, step: float = 0.2)
 
 
 def vector_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword vectors: the first vector of each label."""
-    rows = table(spark, sf, "embeddings")
-    first = rows.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return rows.join(first, ["label", "vec_id"]).select(
+    """Keyword vectors: every vector whose id is divisible by 50; a label is a theme."""
+    return table(spark, sf, "embeddings").where(F.col("vec_id") % 50 == 0).select(
         F.col("label").cast("bigint").alias("theme_pos"),
         F.concat(F.lit("label "), F.col("label").cast("string")).alias("theme"),
         F.lit(MARKET).alias("market"),
-        F.lit(0).cast("bigint").alias("kw_pos"),
+        F.col("vec_id").alias("kw_pos"),
         F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("keyword"),
         F.col("embedding").alias("vec"),
     )
@@ -416,13 +414,10 @@ def validation_replies(chunks: DataFrame) -> DataFrame:
 
 def vector_themes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keywords, keyword vectors and log vectors of parts: part p has the vector of id p - 1, a
-    label is a theme, and its first vector's part name is the keyword."""
+    label is a theme, and the part names of its keyword vectors are its keywords."""
     q_vecs = vector_log(spark, sf).withColumn("id", F.col("id") + 1)
-    first = vector_keywords(spark, sf).drop("keyword")
-    at = F.regexp_extract(F.col("keyword"), "([0-9]+)", 1).cast("bigint")
-    named = vector_keywords(spark, sf).select("theme_pos", (at + 1).alias("p_partkey"))
-    names = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("keyword"))
-    kw_vecs = first.join(named.join(names, "p_partkey").drop("p_partkey"), "theme_pos")
+    names = table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("kw_pos"), F.col("p_name").alias("keyword"))
+    kw_vecs = vector_keywords(spark, sf).drop("keyword").join(names, "kw_pos")
     return kw_vecs.drop("vec"), kw_vecs, q_vecs
 
 

@@ -299,21 +299,23 @@ cte(
 cte(
     "vector_results",
     f"""SELECT * FROM (SELECT theme_pos, theme, '{MARKET}' AS market, normalized_query, CAST(max(hard) + max(vec) AS INTEGER) AS "Score",
-  round(max(relevance), 9) AS "Relevance", max(keyword) AS matched_keyword, arg_min("SRPV", id) AS "SRPV", arg_min("AdClick", id) AS "AdClick"
+  round(max(relevance), 9) AS "Relevance", arg_min(keyword, length(keyword) * 1000000 + kw_pos) AS matched_keyword, arg_min("SRPV", id) AS "SRPV", arg_min("AdClick", id) AS "AdClick"
   FROM (SELECT k.*, l.id, l.normalized_query, l."SRPV", l."AdClick", 2 AS hard, 0 AS vec, {relevance('l.normalized_query', 'k.keyword')} AS relevance
    FROM vector_kw k JOIN log_rows l ON contains({fold(half_clean('l.normalized_query'))}, {fold(clean('k.keyword'))})
    UNION ALL SELECT k.*, l.id, l.normalized_query, l."SRPV", l."AdClick", 0, 1, n.similarity
-   FROM vector_kw k JOIN neighbours n ON n.theme = k.theme JOIN log_rows l ON l.id = n.id + 1
+   FROM vector_kw k JOIN neighbours n ON n.keyword = 'vector ' || k.kw_pos JOIN log_rows l ON l.id = n.id + 1
    WHERE n.similarity >= 0.1 AND (contains({clean('l.normalized_query')}, {clean('k.keyword')}) OR {typo('l.normalized_query', 'k.keyword')}))
   GROUP BY theme_pos, theme, normalized_query) WHERE "Relevance" >= 0.4""",
     "vector_kw",
     "neighbours",
     "log_rows",
 )
+cte("asked_vectors", "SELECT label, vec_id, embedding AS anchor FROM embeddings WHERE vec_id % 50 = 0")
 cte(
     "vector_kw",
-    """SELECT CAST(label AS BIGINT) AS theme_pos, 'label ' || label AS theme, p_name AS keyword
- FROM (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) JOIN part ON p_partkey = vec_id + 1""",
+    """SELECT CAST(label AS BIGINT) AS theme_pos, 'label ' || label AS theme, vec_id AS kw_pos, p_name AS keyword
+ FROM asked_vectors JOIN part ON p_partkey = vec_id + 1""",
+    "asked_vectors",
 )
 cte(
     "events_in_jobs",
@@ -349,9 +351,9 @@ cte(
     "neighbours",
     f"""SELECT * EXCLUDE (rn) FROM (SELECT 'label ' || a.label AS theme, 'vector ' || a.vec_id AS keyword, e.vec_id AS id,
  round({DOT}, 9) AS similarity,
- row_number() OVER (PARTITION BY a.label ORDER BY round({DOT}, 9) DESC, e.vec_id) AS rn
- FROM embeddings e CROSS JOIN anchors a) WHERE rn <= 100""",
-    "anchors",
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 9) DESC, e.vec_id) AS rn
+ FROM embeddings e CROSS JOIN asked_vectors a) WHERE rn <= 100""",
+    "asked_vectors",
 )
 cte(
     "markets",
@@ -719,12 +721,12 @@ ORACLE: dict[str, str] = {
         "kw",
     ),
     "vector_topk_lsh": with_ctes(
-        """SELECT count(*) FILTER (WHERE similarity >= 0.8) AS n_exact, true AS found, true AS exact
- FROM (SELECT list_inner_product(CAST(a.anchor AS DOUBLE[]), list_transform(range(1, len(e.embedding) + 1), lambda i:
+        """SELECT 'vector ' || vec_id AS keyword, count(*) FILTER (WHERE similarity >= 0.8) AS n_exact, true AS found, true AS exact
+ FROM (SELECT a.vec_id, list_inner_product(CAST(a.anchor AS DOUBLE[]), list_transform(range(1, len(e.embedding) + 1), lambda i:
    CAST(e.embedding[i] AS DOUBLE) * cos(t * CAST(0.2 AS DOUBLE))
    + CASE WHEN i % 2 = 1 THEN -CAST(e.embedding[i + 1] AS DOUBLE) ELSE CAST(e.embedding[i - 1] AS DOUBLE) END * sin(t * CAST(0.2 AS DOUBLE)))) AS similarity
-  FROM embeddings e, anchors a, unnest(range(0, 4)) u(t))""",
-        "anchors",
+  FROM embeddings e, asked_vectors a, unnest(range(0, 4)) u(t)) GROUP BY vec_id""",
+        "asked_vectors",
     ),
     "flagship_vectors": with_ctes("SELECT * FROM vector_results", "vector_results"),
     "stream_theme_matches": with_ctes("SELECT * FROM results", "results"),
