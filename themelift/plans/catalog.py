@@ -15,6 +15,8 @@ from themelift.operators.keywords import dedup_keywords
 from themelift.operators.lexical import lexical_topk
 from themelift.operators.posting_blocks import block_match, posting_blocks, write_blocks
 from themelift.operators.typo_match import typo_join
+from themelift.operators.positions import topk_per
+from themelift.operators.vector_graph import graph_lists, vector_graph, write_graph
 from themelift.operators.vector_match import (
     MIN_SIM,
     TOP_K,
@@ -24,7 +26,7 @@ from themelift.operators.vector_match import (
 )
 from themelift.plans import fixtures as fx
 from themelift.plans.pipeline import finish, match_hits, match_themes, write_final
-from themelift.schemas import VERDICT_MAP
+from themelift.schemas import KEYWORD_KEY, VERDICT_MAP
 from themelift.sizing import scratch_dir, stage
 from themelift.sources import query_log, sinks, themes, vectors as vector_source
 from themelift.sources.markets import language_plan, resolve_market
@@ -418,6 +420,28 @@ def vector_topk_lsh_rows(spark, sf):
     return rows.select("keyword", "n_exact", "found", (F.col("n_both") == F.col("n_near")).alias("exact"))
 
 
+@query("vector_graph_topk")
+def vector_graph_topk_rows(spark, sf):
+    """What the stored graph finds of each keyword's exact neighbours, on vectors and turned copies of
+    them, and whether it compared fewer than half of the rows."""
+    words, rows, k = fx.vector_keywords(spark, sf), fx.rotated_vectors(spark, sf, 16), 20
+    path = scratch_dir(spark, "graph")
+    write_graph(vector_graph(rows), path)
+    lists = stage(graph_lists(words, spark.read.parquet(path), k), "lists")
+    best = topk_per(lists, KEYWORD_KEY, [F.col("similarity").desc(), F.col("id")], k)
+    near = best.select("keyword", "id", F.col("similarity").alias("near"))
+    exact = vector_topk(words, rows, k).select("keyword", "id", F.col("similarity").alias("exact"))
+    equal = F.when(F.abs(F.col("exact") - F.col("near")) <= 1e-8, 1)  # sums in another order
+    pairs = exact.join(near, ["keyword", "id"], "full").withColumn("both", equal)
+    counts = pairs.groupBy("keyword").agg(*[F.count(c).alias(f"n_{c}") for c in ("exact", "near", "both")])
+    compared = lists.select("keyword", "shard", "compared").distinct().groupBy("keyword").agg(F.sum("compared").alias("compared"))
+    total = stage(rows.groupBy("market").agg((F.count(F.lit(1)) / 2).alias("half")), "rows")
+    few = compared.withColumn("market", F.lit(fx.MARKET)).join(F.broadcast(total), "market")  # a row for each market
+    return counts.join(few, "keyword").select(
+        "keyword", "n_exact", (F.col("n_both") >= 0.95 * F.col("n_exact")).alias("enough"), (F.col("compared") < F.col("half")).alias("few")
+    )
+
+
 @query("lexical_topk")
 def lexical_topk_rows(spark, sf):
     near = lexical_topk(*_inputs(spark, sf))

@@ -720,6 +720,11 @@ ORACLE: dict[str, str] = {
         "judged",
         "kw",
     ),
+    "vector_graph_topk": with_ctes(
+        """SELECT 'vector ' || vec_id AS keyword, least(16 * (SELECT count(*) FROM embeddings), 20) AS n_exact, true AS enough, true AS few
+ FROM asked_vectors""",
+        "asked_vectors",
+    ),
     "vector_topk_lsh": with_ctes(
         """SELECT 'vector ' || vec_id AS keyword, count(*) FILTER (WHERE similarity >= 0.8) AS n_exact, true AS found, true AS exact
  FROM (SELECT a.vec_id, list_inner_product(CAST(a.anchor AS DOUBLE[]), list_transform(range(1, len(e.embedding) + 1), lambda i:
