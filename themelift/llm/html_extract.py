@@ -3,14 +3,16 @@
 A page is read into blocks: stretches of text between block-level tags, each with the path of tags
 from the root. For every path, text length, punctuation, link text and the number of its blocks are
 added up; their ratios are smoothed over neighbouring blocks in page order and fused into one number
-a path, which article and main parts multiply by a bonus. Paths whose number reaches a quarter of
-the best are content. In the content root of such paths (the outermost article or main part, else
-the nearest path above them all) blocks between them are content as well (lists, quotes), and
-headings before, and blocks before and after that reach a twentieth (leads, closing lists), but none
-that is half link text.
-Parts that are no article by their tag, class, id or role (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments of readers) have weight 0; where article and
-content parts have such a word in a class or id, it lowers their number instead.
+a path. Article and main parts multiply it by a bonus, parts that are none by their tag or role
+(menus, headers, footers, sidebars, forms) by 0, and a listed word in a class or id lowers it; no
+block goes before the numbers are compared. Paths whose number reaches a quarter of the best are
+content. In the content root of such paths (the outermost article or main part, else the nearest
+path above them all) blocks between them are content as well, whatever their share of link text in
+an article, and headings before, and blocks before and after that reach a twentieth (leads). Lists,
+tables, definitions and code that end an article belong to it too; a line of copyright outside of
+articles does not.
+Text of inline parts that are none of the article (buttons, labels, hidden parts, adverts) is cut
+out of its block.
 
 Pages are independent; a task holds one page's blocks at a time.
 
@@ -72,12 +74,16 @@ NOT_ARTICLE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header head top".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts that stand for themselves: of a listed word only a whole class or id lowers their number.
+TEXT_PARTS = HEADINGS | frozenset("p blockquote figure figcaption pre li dl dt dd table td th tr caption".split())
+ENDINGS = frozenset("li dt dd td th pre caption figcaption".split())  # parts that may end an article
+LEGAL = re.compile(r"(?i)^\W*(?:\(c\)\s*\d|©|copyright\s*(?:©|\(c\)|\d)|all rights reserved\W*$)")
 CONTENT_TAGS = {"article": 8.0, "main": 8.0}
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 ROOT_WEIGHT = 6.0
 #: Factors of content parts with a listed word: as a whole class or id, and as a piece of one
-#: (has-sidebar, widget-text). Parts below the least weight are no candidates.
-LISTED, PARTLY, LEAST_WEIGHT = 0.1, 0.5, 0.5
+#: (has-sidebar, widget-text).
+LISTED, PARTLY = 0.1, 0.5
 THRESHOLD = 0.25  # of the best path's number
 WEAK = 0.05  # the same for blocks next to the content in its root
 SMOOTHING = (0.25, 0.5, 0.25)
@@ -105,6 +111,8 @@ class Element:
     inside: bool  # an article or main part
     heading: bool
     skipped: bool
+    article: int  # number of the path of the innermost article or main part, -1: none
+    ending: bool  # in a list, table, definition or code
     factor: float  # of all listed words down to it
     stems: frozenset[str]  # beginnings of classes up to a listed word, of content parts
 
@@ -117,10 +125,12 @@ class Block:
     text: str
     links: int
     heading: bool
+    article: int
+    ending: bool
     factor: float
 
 
-OUTSIDE = Element("", 0, -1, 1.0, False, False, False, False, 1.0, frozenset())
+OUTSIDE = Element("", 0, -1, 1.0, False, False, False, False, -1, False, 1.0, frozenset())
 
 
 def listed(names: str) -> frozenset[str]:
@@ -155,7 +165,11 @@ def element(name: str, attributes: str, around: Element, paths: dict[tuple[int,
         if new and weight > 1.0:
             whole = any(token.lower() in NOT_ARTICLE_WORDS for token in names.split())
             factor, stems = factor * (LISTED if whole else PARTLY), stems | new
-        elif new:
+        elif name in TEXT_PARTS:
+            factor *= PARTLY if new & set(names.lower().split()) else 1.0
+        elif name not in BLOCKS and new & set(names.lower().split()):
+            weight = 0.0
+        elif new and name in BLOCKS:
             factor *= LISTED
     path, root, best = around.path, around.root, around.weight
     if name in BLOCKS:
@@ -165,7 +179,12 @@ def element(name: str, attributes: str, around: Element, paths: dict[tuple[int,
         best = 0.0
     elif weight > 1.0:
         root, best = path if root < 0 else root, max(best, weight)
-    return Element(name, path, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS, around.heading or name in HEADINGS, around.skipped or name in SKIPPED, factor, stems)
+    skipped = around.skipped or name in SKIPPED or (best == 0.0 and name not in BLOCKS)
+    article = path if weight >= CONTENT_TAGS["main"] else around.article
+    return Element(
+        name, path, root, best, around.link or name == "a", around.inside or name in CONTENT_TAGS,
+        around.heading or name in HEADINGS, skipped, article, around.ending or name in ENDINGS, factor, stems,
+    )
 
 
 def close(open_: list[Element], names: set[str], scope: frozenset[str]) -> None:
@@ -195,7 +214,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         text = " ".join("".join(parts).split())
         if text:
             now = next((e for e in reversed(open_) if not e.skipped), OUTSIDE)
-            out.append(Block(now.path, now.root, now.weight * now.factor, text, links, now.heading, now.factor))
+            out.append(Block(now.path, now.root, now.weight * now.factor, text, links, now.heading, now.article, now.ending, now.factor))
         parts.clear()
         links = 0
 
@@ -281,13 +300,20 @@ def inside_common(found: list[Block], chosen: np.ndarray, parents: list[int]) ->
 def selected(found: list[Block], parents: list[int]) -> np.ndarray:
     """Which blocks are the content."""
     fused, share = ratios(found)
-    numbers = fused * np.array([b.weight for b in found])
-    strong = numbers >= THRESHOLD * numbers.max()
+    weights = np.array([b.weight for b in found])
+    numbers = fused * weights
+    legal = np.array([b.article < 0 and LEGAL.match(b.text) is not None for b in found])
+    strong = (numbers >= THRESHOLD * numbers.max()) & (weights > 0) & ~legal
+    if not strong.any():
+        return strong
     factors = np.array([b.factor for b in found])
-    clean = factors > LISTED * factors[strong].max()
-    joins = (share < 0.5) & clean
-    weak = (numbers >= WEAK * numbers.max()) & joins
-    before = weak | (np.array([b.heading for b in found]) & joins)
+    clean = (factors > LISTED * factors[strong].max()) & (weights > 0) & ~legal
+    article = np.array([b.article for b in found])
+    own = article >= 0
+    joins = clean & (own | (share < 0.5))
+    weak = (numbers >= WEAK * numbers.max()) & (share < 0.5) & clean
+    headings, endings = (np.array([getattr(b, name) for b in found]) for name in ("heading", "ending"))
+    before = weak | (headings & (share < 0.5) & clean)
     roots, keep = np.array([b.root for b in found]), strong.copy()
     for root in np.unique(roots[strong]).tolist():
         here = roots == root
@@ -299,8 +325,12 @@ def selected(found: list[Block], parents: list[int]) -> np.ndarray:
         keep[at[first : last + 1]] |= joins[at[first : last + 1]]
         while first > 0 and before[at[first - 1]]:
             first -= 1
-        while last + 1 < len(at) and weak[at[last + 1]]:
-            last += 1
+        ends = endings & own & (article == article[at[last]])
+        end = last
+        while end + 1 < len(at) and (weak | ends | headings)[at[end + 1]]:
+            end += 1
+            if (weak | ends)[at[end]]:  # a heading alone ends nothing
+                last = end
         keep[at[first : sure[0]]] = True
         keep[at[sure[-1] : last + 1]] = True
     return keep
@@ -309,7 +339,6 @@ def selected(found: list[Block], parents: list[int]) -> np.ndarray:
 def main_text(page: str) -> str:
     """The blocks that are content, one a line."""
     found, parents = blocks(page)
-    found = [b for b in found if b.weight >= LEAST_WEIGHT]
     if not found:
         return ""
     return "\n".join(b.text for b, keep in zip(found, selected(found, parents), strict=True) if keep)
