@@ -7,8 +7,8 @@ in both windows. So anchors alone are hashed and dealt by their hash. Around anc
 documents share, the match is extended: the whole windows that hold such an anchor are hashed,
 dealt by their hash, and a window is removable if a smaller document has it.
 
-Rows travel as packed arrays, dealt into as many parts as there are shuffle partitions. Before they
-are dealt, a task keeps one row for each hash: what its own documents already decide needs no
+Rows travel as packed arrays, dealt into parts of at most about ``PART_BYTES``, by the counted bytes
+of the texts; a task holds one part at a time. Before they are dealt, a task keeps one row for each hash: what its own documents already decide needs no
 shuffle, and a passage that a third of all documents hold costs one row a task. Window hashes have
 96 bits. The texts are shuffled once; both joins use the same exchange.
 
@@ -49,6 +49,7 @@ from themelift.llm.common import (
 WINDOW = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # every remainder modulo 31 is a difference of two of these
+PART_BYTES = 48 << 20  # of dealt rows: there is about a byte of them for a byte of text
 HELD_ROWS = 1 << 19  # anchors or windows that a task holds before it deals them
 DEALT, DECIDED = 0, 1
 KINDS = [np.int64, np.int64, np.int64, np.int32]  # hash, id, row key, position
@@ -299,12 +300,20 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(id_.alias("id"), F.xxhash64("doc_id", "text").alias("row_key"), "text", *more)
 
 
+def part_count(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Parts for the rows that these texts can deal, and one for each shuffle partition at least.
+    Two bytes of rows are counted for a byte of text: windows have 32 bytes for a word at most, but
+    only around anchors that documents share, and anchors are a fifth of the words."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return max(shuffle_partitions(docs.sparkSession), -(-2 * int(size) // part_bytes))
+
+
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, row_key and places: the first words of removable windows; a document without any has
     no row. Equal windows of a document are named once."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = part_count(docs)
     docs = keyed(docs)
     marks = by_document(shared_anchors(anchor_rows(docs, window, parts), parts))
     marked = docs.join(marks, ["id", "row_key"]).select("id", "row_key", "text", "places")
