@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from themelift.functions.ids import batch_id, theme_id
 from themelift.operators.merge import result_order
 from themelift.operators.positions import topk_per, with_position
+from themelift.operators.run_metrics import job_times
 from themelift.schemas import THEME_KEY, VERDICT
 from themelift.sizing import lookup_join
 
@@ -113,6 +114,20 @@ def run_tasks(job: str, keywords: DataFrame, final: DataFrame) -> DataFrame:
     )
 
 
+def timed_tasks(tasks: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Task rows with the times of their job's run so far (see ``run_metrics``): created_at,
+    finished_at and elapsed_sec. All themes of a run are matched together, so its times are theirs."""
+    return tasks.join(F.broadcast(job_times(metrics).drop("status")), "job_id")  # a row for each job
+
+
+def failed_tasks(job: str, keywords: DataFrame) -> DataFrame:
+    """Theme task rows of a run that failed."""
+    words = keywords.groupBy(*THEME_KEY).agg(F.count(F.lit(1)).alias("n_keywords"))
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("match_count", "valid_count", "invalid_count")]
+    task = theme_id(F.lit(job), F.col("theme_pos")).alias("theme_id")
+    return words.select(F.lit(job).alias("job_id"), task, *THEME_KEY, F.lit("error").alias("status"), "n_keywords", *none)
+
+
 def run_batches(job: str, requests: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Validation batch rows of a run: the queries of each request, at most a batch of them, and
     the verdicts of its reply as a map. ``verdicts``: theme_pos, batch_index, normalized_query,

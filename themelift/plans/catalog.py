@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from themelift.operators.vector_match import (
     vector_verify,
 )
 from themelift.plans import fixtures as fx
-from themelift.plans.pipeline import finish, match_hits, match_themes, write_final
+from themelift.plans.pipeline import finish, match_hits, match_themes, run_job, write_final
 from themelift.schemas import KEYWORD_KEY, VERDICT_MAP
 from themelift.sizing import scratch_dir, stage
 from themelift.sources import query_log, sinks, themes, vectors as vector_source
@@ -802,6 +803,44 @@ def run_tasks_rows(spark, sf):
     return history.run_tasks("0badcafe", fx.part_keywords(spark, sf), finish(*_answered(spark, sf)))
 
 
+def _job_run(spark: SparkSession, sf: str):
+    """A run whose replies come from a canned provider: texts of an even length are valid."""
+
+    def provider(batches):
+        for batch in batches:
+            answers = [
+                {q: {"is_valid": len(q) % 2 == 0, "reason": "" if len(q) % 2 == 0 else "odd"} for q in queries} for queries in batch["queries"]
+            ]
+            yield batch.assign(content=[json.dumps(a) for a in answers], finish_reason="stop")
+
+    words, log = _inputs(spark, sf)
+    return run_job(spark, "0badcafe", words, log, lambda requests: inference.reply_with(requests, provider))
+
+
+@query("run_metrics")
+def run_metrics_rows(spark, sf):
+    """The steps of a run as they were observed."""
+    metrics = _job_run(spark, sf).metrics
+    timed = (F.col("elapsed_sec") >= 0) & (F.col("finished_at") >= F.col("started_at"))
+    return metrics.select(
+        "job_id", "step_no", "step", "status", "rows", *[F.col("counts")[c].alias(c) for c in ("hard", "vector", "valid")], timed.alias("timed")
+    )
+
+
+@query("observed_hits")
+def observed_hits_rows(spark, sf):
+    """Hits per keyword as stored during a run."""
+    return _job_run(spark, sf).tables["keyword_hits"]
+
+
+@query("timed_tasks")
+def timed_tasks_rows(spark, sf):
+    """Theme tasks of a run with its times."""
+    tasks = _job_run(spark, sf).tasks
+    timed = F.col("created_at").isNotNull() & (F.col("finished_at") >= F.col("created_at")) & (F.col("elapsed_sec") > 0)
+    return tasks.select("job_id", "theme_pos", "status", "n_keywords", "match_count", "valid_count", "invalid_count", timed.alias("timed"))
+
+
 # Streaming
 
 

@@ -578,6 +578,33 @@ ORACLE: dict[str, str] = {
         "hits",
         "kw",
     ),
+    "run_metrics": with_ctes(
+        """SELECT '0badcafe' AS job_id, CAST(step_no AS INTEGER) AS step_no, step, 'done' AS status, rows, hard, vector, valid, true AS timed FROM (
+ SELECT 0 AS step_no, 'keywords' AS step, count(*) AS rows, NULL::BIGINT AS hard, NULL::BIGINT AS vector, NULL::BIGINT AS valid FROM kw
+ UNION ALL SELECT 1, 'hits', count(*), count(*) FILTER (method = 'hard'), count(*) FILTER (method = 'vector'), NULL FROM hits
+ UNION ALL SELECT 2, 'keyword_hits', (SELECT count(*) FROM kw), count(*) FILTER (method = 'hard'), count(*) FILTER (method = 'vector'), NULL FROM hits
+ UNION ALL SELECT 3, 'results', count(*), NULL, NULL, NULL FROM results
+ UNION ALL SELECT n, s, (SELECT count(*) FROM (SELECT DISTINCT theme_pos, batch_index FROM ranked)), NULL, NULL, NULL
+  FROM (VALUES (4, 'requests'), (5, 'replies')) v(n, s)
+ UNION ALL SELECT 6, 'final', count(*), NULL, NULL, count(*) FILTER (length(normalized_query) % 2 = 0) FROM results)""",
+        "kw",
+        "hits",
+        "results",
+        "ranked",
+    ),
+    "observed_hits": with_ctes(
+        """SELECT k.theme_pos, k.theme, k.kw_pos, k.keyword, count(*) FILTER (WHERE method = 'hard') AS hard_hits,
+ count(*) FILTER (WHERE method = 'vector') AS vector_hits FROM kw k LEFT JOIN hits h USING (theme_pos, kw_pos) GROUP BY ALL""",
+        "hits",
+        "kw",
+    ),
+    "timed_tasks": with_ctes(
+        """SELECT '0badcafe' AS job_id, theme_pos, 'done' AS status, n_keywords, count(normalized_query) AS match_count,
+ count(*) FILTER (WHERE length(normalized_query) % 2 = 0) AS valid_count, count(*) FILTER (WHERE length(normalized_query) % 2 = 1) AS invalid_count,
+ true AS timed FROM (SELECT theme_pos, count(*) AS n_keywords FROM kw GROUP BY ALL) k LEFT JOIN results USING (theme_pos) GROUP BY ALL""",
+        "kw",
+        "results",
+    ),
     "floor_removed": with_ctes(
         """SELECT theme, count(*) AS merged_rows, count(*) FILTER (WHERE "Relevance" < 0.4) AS removed_rows
  FROM merged GROUP BY theme""",

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themelift.operators.gram_match import gram_topk
 from themelift.operators.hard_match import hard_match
-from themelift.operators.inference import merge_verdicts, verdict_defaults
+from themelift.operators.history import failed_tasks, run_tasks, timed_tasks
+from themelift.operators.inference import merge_verdicts, validation_requests, verdict_defaults
 from themelift.operators.lexical import lexical_topk
-from themelift.operators.merge import MIN_RELEVANCE, in_theme_order, merge_hits, relevance_floor, union_hits
+from themelift.operators.merge import MIN_RELEVANCE, hits_per_keyword, in_theme_order, merge_hits, relevance_floor, union_hits
+from themelift.operators.run_metrics import RunMetrics
 from themelift.operators.typo_match import typo_hits, typo_join
 from themelift.operators.vector_match import MIN_SIM, TOP_K, vector_topk, vector_verify
 from themelift.operators.verdicts import apply_verdicts
@@ -74,6 +79,51 @@ def finish(results: DataFrame, requests: DataFrame, replies: DataFrame) -> DataF
     return apply_verdicts(results, merge_verdicts(verdict_defaults(requests, replies)))
 
 
+@dataclass
+class JobRun:
+    """The tables of a run as they were stored, its task rows with times, and what failed."""
+
+    metrics: DataFrame
+    tasks: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    error: str | None = None
+
+
+def run_job(
+    spark: SparkSession,
+    job: str,
+    keywords: DataFrame,
+    log: DataFrame,
+    reply: Callable[[DataFrame], DataFrame],
+    min_rel: float = MIN_RELEVANCE,
+    **stored: DataFrame | None,
+) -> JobRun:
+    """A whole run as observed steps: keywords, hits, hits of each keyword, results, requests,
+    replies (``reply`` adds content and finish_reason to the requests) and final rows. A run that
+    fails has error rows for its themes instead, and the steps it came through."""
+    run, tables = RunMetrics(spark, job), {}
+
+    def step(name: str, df: DataFrame, **counts: Column) -> DataFrame:
+        tables[name] = run.step(name, df, **counts)
+        return tables[name]
+
+    def method(name: str) -> Column:
+        return F.count_if(F.col("method") == name)
+
+    try:
+        words = step("keywords", keywords)
+        hits = step("hits", match_hits(words, log, **stored), hard=method("hard"), vector=method("vector"))
+        step("keyword_hits", hits_per_keyword(hits, words), hard=F.sum("hard_hits"), vector=F.sum("vector_hits"))
+        results = step("results", relevance_floor(merge_hits(hits), min_rel).drop("score_hard", "score_vector"))
+        requests = step("requests", validation_requests(results))
+        replies = step("replies", reply(requests))
+        final = step("final", finish(results, requests, replies), valid=F.count_if(F.col("AI_Valid")))
+        tasks, error = run_tasks(job, words, final), None
+    except Exception as failure:  # what failed is in the metrics
+        tasks, error = failed_tasks(job, keywords), str(failure)
+    return JobRun(run.table(), timed_tasks(tasks, run.table()), tables, error)
+
+
 def write_final(final: DataFrame, path: str) -> None:
     """Results of a whole run as CSV, themes in input order and each in result order."""
     write_results(result_layout(in_theme_order(final)), path)
