@@ -29,7 +29,7 @@ from themelift.plans import fixtures as fx
 from themelift.plans.pipeline import finish, match_hits, match_themes, run_job, write_final
 from themelift.schemas import KEYWORD_KEY, VERDICT_MAP
 from themelift.sizing import scratch_dir, stage
-from themelift.sources import query_log, sinks, themes, vectors as vector_source
+from themelift.sources import growing_store, query_log, sinks, themes, vectors as vector_source
 from themelift.sources.markets import language_plan, resolve_market
 from themelift.streaming import job_stream
 from themelift.streaming.theme_stream import match_counts, progress_events, start_theme_stream, theme_lines
@@ -153,6 +153,30 @@ def materialized_log_rows(spark, sf):
     return query_log.read_store(spark, path)
 
 
+def _grown_store(spark: SparkSession, sf: str) -> str:
+    """A store that took the quoted log's files in two increments, the first files twice."""
+    base = scratch_dir(spark, "growing")
+    rows = _quoted_log(spark, sf).select("id", "normalized_query", "SRPV", "AdClick", "revenue")
+    for name, part in (("0", rows.where("id <= 100")), ("1", rows.where("id > 100"))):
+        ordered = part.coalesce(1).sortWithinPartitions("id").drop("id")
+        ordered.write.options(header=True, escape='"').csv(f"{base}/in/{name}")
+        for _ in range(2):
+            growing_store.ingest(spark, f"{base}/store", fx.MARKET, f"{base}/in")
+    return f"{base}/store"
+
+
+@query("growing_store")
+def growing_store_rows(spark, sf):
+    rows = growing_store.read_table(spark, _grown_store(spark, sf), "rows")
+    return rows.select("id", "normalized_query", "SRPV", "AdClick", "revenue", "market", "match_text")
+
+
+@query("growing_stats")
+def growing_stats_rows(spark, sf):
+    """Gram counts of two increments, added up."""
+    return growing_store.read_table(spark, _grown_store(spark, sf), "gram_stats")
+
+
 @query("market_resolve")
 def market_resolve_rows(spark, sf):
     asked = fx.table(spark, sf, "customer").select(

@@ -424,6 +424,18 @@ ORACLE: dict[str, str] = {
         'SELECT row_number() OVER (ORDER BY id) - 1 AS id, normalized_query, "SRPV", "AdClick", revenue, market FROM quoted',
         "quoted",
     ),
+    "growing_store": with_ctes(
+        f"""SELECT row_number() OVER (ORDER BY id) - 1 AS id, normalized_query, "SRPV", "AdClick", revenue, market,
+ {fold(half_clean('normalized_query'))} AS match_text FROM quoted""",
+        "quoted",
+    ),
+    "growing_stats": with_ctes(
+        f"""SELECT market, g AS gram, count(*) AS n FROM (
+ SELECT market, substring(t, CAST(i AS BIGINT), CAST(s AS BIGINT)) AS g
+ FROM (SELECT market, {fold(half_clean('normalized_query'))} AS t FROM quoted), unnest([1, 2, 3]) x(s), unnest(range(1, length(t) - s + 2)) u(i))
+ GROUP BY market, g""",
+        "quoted",
+    ),
     "materialized_log": with_ctes(
         f"""SELECT id, normalized_query, "SRPV", "AdClick", revenue, CASE WHEN id % 2 = 0 THEN '{MARKET}' ELSE 'Japan' END AS market,
  {fold(half_clean('normalized_query'))} AS match_text FROM log_rows""",
