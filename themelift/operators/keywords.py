@@ -13,6 +13,10 @@ from themelift.schemas import KEYWORD_KEY
 from themelift.sizing import BROADCAST_BYTES, Size
 
 
+# Upper estimate of a (market, gram) row in memory.
+GRAM_ROW_BYTES = 64
+
+
 def prepare_keywords(keywords: DataFrame) -> DataFrame:
     """Keyword rows with their clean and folded forms; keywords that clean to '' are dropped."""
     return (
@@ -48,7 +52,8 @@ def profile_keywords(prepared: DataFrame, literal: str) -> KeywordProfile:
     whole; an empty literal (a keyword of wildcards only) is ``has_free``.
     """
     length = F.length(literal)
-    width = F.octet_length("keyword") * 4 + F.octet_length("theme") + 96
+    # A keyword row, and one for each gram of its text.
+    width = F.octet_length("keyword") * 4 + F.octet_length("theme") + 96 + length * GRAM_ROW_BYTES
     row = prepared.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(width), F.lit(0)).alias("b"),

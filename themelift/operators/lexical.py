@@ -9,12 +9,14 @@ from themelift.functions.text import strip
 from themelift.functions.vectors import DIGITS, to_distance
 from themelift.operators.positions import topk_per
 from themelift.schemas import KEYWORD_KEY
-from themelift.sizing import BROADCAST_BYTES, SALTS, lookup_join, measure
+from themelift.sizing import BROADCAST_BYTES, SALTS, Size, lookup_join, measure
 
 # The usual BM25 constants.
 K1 = 1.2
 B = 0.75
 TOP_K = 100
+# Of the weight and the mean length that are sent with each term.
+WEIGHT_BYTES = 32
 
 
 def tokens(c):
@@ -40,7 +42,8 @@ def lexical_topk(
     terms = keywords.select(*text).distinct().select(
         *text, F.explode(F.array_distinct(tokens(F.col("keyword")))).alias("token")
     )
-    fits = measure(terms).fits(limit)
+    size = measure(terms)
+    fits = Size(size.rows, size.bytes + WEIGHT_BYTES * size.rows).fits(limit)  # with their weights
     words = log.select("market", "id", tokens(F.col("normalized_query")).alias("words")).withColumn(
         "dl", F.size("words")
     )

@@ -65,26 +65,26 @@ def lookup_join(
     """Equi-join whose left side may have one key on a third of its rows.
 
     The right side is broadcast when it measures below ``limit``. Beyond that the keys of the left
-    side are counted. Rows of keys with over ``hot_rows`` rows are spread over salts and only the
-    right side's rows of those keys, which are few, are copied once per salt; all other rows are
-    joined as they are. ``how`` is one of inner, left, left_semi, left_anti.
+    side are counted. Rows of keys with over ``hot_rows`` rows are dealt in turn over salts, one for
+    every ``hot_rows`` rows of the key and ``salts`` at least, and only the right side's rows of those
+    keys, which are few, are copied once per salt; all other rows are joined as they are. ``how`` is
+    one of inner, left, left_semi, left_anti.
     """
     size = size or measure(small)
     if size.fits(limit):
         return big.join(F.broadcast(small), on, how)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     # Not more than one row for every ``hot_rows`` rows of the left side.
-    hot = stage(counts.where((F.col("_n") > hot_rows) & _whole(on)).select(*on, F.lit(True).alias("_hot")), "hot-keys")
+    needed = F.greatest(F.lit(salts), F.ceil(F.col("_n") / hot_rows)).cast("int").alias("_salts")
+    hot = stage(counts.where((F.col("_n") > hot_rows) & _whole(on)).select(*on, needed), "hot-keys")
     if hot.isEmpty():
         return big.join(small, on, how)
-    hashed = [
-        F.col(f"`{f.name}`") for f in big.schema.fields if not isinstance(f.dataType, T.MapType)
-    ]
-    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
-    salt = F.when(F.col("_hot"), spread).otherwise(0)
-    spread_big = big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copied = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    # By row number, so that equal rows part too.
+    in_turn = F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int")
+    salt = F.when(F.col("_salts").isNotNull(), in_turn).otherwise(0)
+    spread_big = big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    copied = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return spread_big.join(copied, on + ["_salt"], how).drop("_salt")
 
 
