@@ -7,10 +7,10 @@ a path. Article and main parts multiply it by a bonus, parts that are none by th
 (menus, headers, footers, sidebars, forms) by 0, and a listed word in a class or id lowers it; no
 block goes before the numbers are compared. Paths whose number reaches a quarter of the best are
 content. In the content root of such paths (the outermost article or main part, else the nearest
-path above them all) blocks between them are content as well, whatever their share of link text in
-an article, and headings before, and blocks before and after that reach a twentieth (leads). Lists,
-tables, definitions and code that end an article belong to it too; a line of copyright outside of
-articles does not.
+path above them all) blocks between them are content as well, unless they are links and stand in no
+list, table or definition of an article, and headings before, and blocks before and after that reach
+a twentieth (leads). Lists, tables, definitions and code that end an article belong to it too; a line
+of copyright outside of articles does not.
 Text of inline parts that are none of the article (buttons, labels, hidden parts, adverts) is cut
 out of its block.
 
@@ -310,9 +310,9 @@ def selected(found: list[Block], parents: list[int]) -> np.ndarray:
     clean = (factors > LISTED * factors[strong].max()) & (weights > 0) & ~legal
     article = np.array([b.article for b in found])
     own = article >= 0
-    joins = clean & (own | (share < 0.5))
-    weak = (numbers >= WEAK * numbers.max()) & (share < 0.5) & clean
     headings, endings = (np.array([getattr(b, name) for b in found]) for name in ("heading", "ending"))
+    joins = clean & ((own & endings) | (share < 0.5))
+    weak = (numbers >= WEAK * numbers.max()) & (share < 0.5) & clean
     before = weak | (headings & (share < 0.5) & clean)
     roots, keep = np.array([b.root for b in found]), strong.copy()
     for root in np.unique(roots[strong]).tolist():
