@@ -138,6 +138,17 @@ def test_gram_topk_with_repeated_grams(spark):
     assert rows == gram_near(kw, log, 1500, 0.7)
 
 
+@pytest.mark.parametrize(("floor", "k"), [(0.6, 100), (0.0, 7)])
+def test_gram_scan_equals_the_joins(spark, skewed, floor, k):
+    kw, log = skewed
+    log = [*log, *[(900_000 + n, t, 1, 1, 0.0, "Australia") for n, t in enumerate(["aaaa aaaa", "日本語 日本語ñ", "x"])]]
+    kw = [*kw, *[(90, "t90", "Australia", n, t) for n, t in enumerate(["aaaaaa", "日本語日本"])], (91, "t91", "nowhere", 0, "aaaa")]
+    scan, join = (gram_topk(kw_of(spark, kw), log_of(spark, log), k, floor, scan_texts=n) for n in (4096, 0))
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # no row for each gram of the log
+    assert sorted(map(str, scan.collect())) == sorted(map(str, join.collect())) != []
+
+
 def test_merge_equals_brute_force(spark, skewed):
     kw, log = skewed
     hits = match_hits(kw_of(spark, kw), log_of(spark, log))
