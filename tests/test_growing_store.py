@@ -1,5 +1,8 @@
 """Increments of a store against one scan of all files."""
 
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,11 +10,13 @@ from themelift.operators.gram_match import query_gram_stats
 from themelift.operators.hard_match import gram_stats, hard_match
 from themelift.operators.posting_blocks import block_match
 from themelift.operators.typo_match import typo_join
+from themelift.plans.catalog import REGISTRY, _quoted_log
 from themelift.plans.pipeline import match_themes
 from themelift.schemas import KEYWORDS
 from themelift.sources import growing_store as gs
 from themelift.sources.query_log import read_query_log
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 HEAD = "normalized_query,SRPV,AdClick,revenue\n"
 FILES = {
     "a.csv": ["google,5,1,1.5", ",1,1,1", "chat gpt,4,1,2"],
@@ -86,3 +91,16 @@ def test_last_answers(spark, tmp_path):
     assert rows(gs.last_answers(spark, str(tmp_path)), "market", "request_key", "answer") == sorted(
         ["Row(market='m', request_key='a', answer='two')", "Row(market='n', request_key='a', answer='three')"]
     )
+
+
+def test_increments_of_the_query_are_dealt_over_files(spark, monkeypatch):
+    places, ingest = [], gs.ingest
+    monkeypatch.setattr(gs, "ingest", lambda s, store, market, source: places.append(source) or ingest(s, store, market, source))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = {r.id: r.normalized_query for r in REGISTRY["growing_store"](spark, SF).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len(list(Path(places[0].removeprefix("file:"), n).glob("*.csv"))) > 1 for n in "01")
+    texts = [r.normalized_query for r in _quoted_log(spark, SF).orderBy("id").collect()]
+    assert rows == dict(enumerate(texts))
