@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from themelift.operators import history, merge
 from themelift.operators.run_metrics import RunMetrics, job_times, step_summary
+from themelift.plans import pipeline
 from themelift.plans.pipeline import match_hits, run_job
 from themelift.schemas import KEYWORDS, QUERY_LOG
 
@@ -63,3 +64,14 @@ def test_metrics_table_of_several_jobs(spark, tmp_path):
     assert {(r.job_id, r.step, r.rows, r.counts.get("even")) for r in table.collect()} == {("a", "numbers", 4, 2), ("b", "numbers", 5, 3), ("a", "none", 0, None), ("b", "none", 0, None)}
     assert {(r.step, r.n_runs, r.rows) for r in step_summary(table).collect()} == {("numbers", 2, 9), ("none", 2, 0)}
     assert job_times(table).count() == 2
+
+
+def test_a_text_of_many_keywords_is_matched_once_a_theme(spark, monkeypatch):
+    log = spark.createDataFrame([(n, t, 1, 1, 0.5, "A") for n, t in enumerate(["red ring", "red rings", "a ring"])], QUERY_LOG)
+    kw = spark.createDataFrame([(t, f"t{t}", "A", n, w) for t in (0, 1) for n in range(40) for w in ("red ring", "ring")], KEYWORDS)
+    want = merge.relevance_floor(merge.merge_hits(match_hits(kw, log))).drop("score_hard", "score_vector")
+    asked, match = [], pipeline.hard_match
+    monkeypatch.setattr(pipeline, "hard_match", lambda words, *a: asked.append(words) or match(words, *a))
+    got = pipeline.match_themes(kw, log)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    assert asked[0].count() == 4  # not 160: hits would be as many times those of one keyword
