@@ -114,3 +114,8 @@ def test_no_nested_loop(spark):
     kw, log, *_ = tables(spark, words, texts)
     plan = typo_match.typo_join(kw, log)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_keyword_parts_are_made_by_many_tasks(spark):
+    kw = prepare_keywords(spark.createDataFrame([(1, "t", "m", k, f"abcdefgh{k}") for k in range(50)], KW))
+    assert "REPARTITION_BY_NUM" in typo_match.keyword_parts(kw)._jdf.queryExecution().executedPlan().toString()
