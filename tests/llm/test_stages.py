@@ -64,3 +64,12 @@ def test_every_token_is_packed(spark, tmp_path):
         own = sorted((r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == doc)
         assert sum(n for _, n, _ in own) == own[0][2] and [a for a, _, _ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))]
     assert all(r.doc_tokens == 1 for r in rows if r.doc_id in (2, 3))
+
+
+def test_shared_model_reads_counted_tails(spark):
+    from themelift.llm.toxicity import grams_of, shared_model
+
+    gram, _ = grams_of([b"the", b"then", b"other"])
+    shared = shared_model(spark.createDataFrame([(int(g),) for g in set(gram.tolist())], "gram long"))
+    assert "gram#" not in shared._jdf.queryExecution().executedPlan().toString()  # no order is counted anew from the grams
+    assert all(0 < r.p < 1 for r in shared.collect())

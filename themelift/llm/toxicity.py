@@ -127,7 +127,8 @@ def shared_model(grams: DataFrame) -> DataFrame:
     longer = grams.select(F.col("gram").alias("g"))
     for order in range(ORDER - 1, 0, -1):
         tail = F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("g")
-        longer = longer.select(tail).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        # Staged: it is read three times below, and the next order is counted from it.
+        longer = stage(longer.select(tail).groupBy("g").agg(F.count(F.lit(1)).alias("n")), "tails")
         tables[order] = longer
     total = F.lit(1 / 256)
     lower = None
@@ -189,6 +190,8 @@ def model_of(grams: DataFrame, contexts: DataFrame, limit: int = BROADCAST_BYTES
         keys, numbers = got.column(0).to_numpy(), got["ratio"].to_numpy()
         order = np.argsort(keys)
         arrays.append((keys[order], numbers[order]))
+        del got, keys, numbers
+    pa.default_memory_pool().release_unused()
     return Model(*tables, grams.sparkSession.sparkContext.broadcast(arrays))
 
 
@@ -358,11 +361,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Mod
     counts = stage(gram_counts(rows, learned, sample), "grams")
     shared = stage(shared_model(counts), "shared")
     model = model_of(*ratios(counts, shared))
-    found = described(lookup_join(rows, sample, ["doc_id"]), model, ("doc_id", "y"))
-    got = found.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    got = described(lookup_join(rows, sample, ["doc_id"]), model, ("doc_id", "y")).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     x = np.stack([got[n].to_numpy() for n in DETAILS], axis=1) if len(got) else np.zeros((0, len(DETAILS)))
     if model.arrays is not None:
         model.arrays.destroy()
+    del model  # the driver holds one model's arrays at a time
     whole = counts.select("gram", (F.col("c0") + F.col("s0")).alias("c0"), (F.col("c1") + F.col("s1")).alias("c1"))
     model = model_of(*ratios(whole, shared))
     return model, fit_curve(x, got["y"].to_numpy().astype(float))
