@@ -263,3 +263,19 @@ def test_intersection_reads_no_text(spark, skewed):
     found = block_candidates(prepare_keywords(kw_of(spark, kw)), posting_blocks(log_of(spark, log)))
     assert found.columns == ["market", "kw_fold", "id"]
     assert found.count() == found.distinct().count()
+
+
+@pytest.mark.parametrize(("chunk", "limit", "rare"), [(1 << 16, 1 << 26, 3), (40, 0, 2), (7, 1 << 26, 2)])
+def test_long_grams_equal_brute_force(spark, skewed, chunk, limit, rare):
+    kw, log = skewed
+    rows = log_of(spark, log).repartition(3)
+    blocks = posting_blocks(rows, (1, 2, 3, posting_blocks_module.LONG), chunk)
+    got = block_match(kw_of(spark, kw), blocks, rows, rare=rare, limit=limit, salts=3, long=posting_blocks_module.LONG)
+    assert hard_rows(got) == hard(kw, log)
+
+
+def test_blocks_are_not_copied_for_each_keyword(spark, skewed):
+    """The blocks of a chunk meet once, however many keywords ask for them."""
+    kw, log = skewed
+    found = block_candidates(prepare_keywords(kw_of(spark, kw)), posting_blocks(log_of(spark, log)))
+    assert "collect_list(" not in found._jdf.queryExecution().optimizedPlan().toString()
