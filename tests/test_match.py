@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import gram_near, hard, merge
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from themelift.operators.keywords import blank_keywords, dedup_keywords, prepare
 from themelift.operators.lexical import lexical_topk
 from themelift.operators.merge import merge_hits, relevance_floor
 from themelift.operators import posting_blocks as posting_blocks_module
+from themelift.operators.keywords import gram_counts
+from themelift.plans import fixtures
 from themelift.operators.posting_blocks import block_candidates, block_match, posting_blocks, write_blocks
 from themelift.plans.pipeline import match_hits, match_themes
 from themelift.schemas import KEYWORDS, QUERY_LOG
@@ -279,3 +282,33 @@ def test_blocks_are_not_copied_for_each_keyword(spark, skewed):
     kw, log = skewed
     found = block_candidates(prepare_keywords(kw_of(spark, kw)), posting_blocks(log_of(spark, log)))
     assert "collect_list(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keywords_that_fit_scan_the_log(spark, skewed):
+    """No row for every letter of the log, neither to count grams nor to match."""
+    kw, log = skewed
+    rows = log_of(spark, log)
+    got = hard_match(kw_of(spark, kw), rows)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert hard_rows(got) == hard(kw, log)
+    wanted = spark.createDataFrame([("Japan", "abc"), (None, "abc")], "market string, gram string")
+    assert "Generate" not in gram_counts(rows, "normalized_query", (3,), wanted, True)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scan_of_hidden_and_repeated_texts(spark):
+    """A keyword several times in a text, across two texts, beyond the first plane, and null texts."""
+    texts = ["aaaa", "aa", "a😀b😀b", None, "", "xa", "ab"]
+    log = [(i, t, 0, 0, 0.0, "Japan") for i, t in enumerate(texts)]
+    kw = [(1, "t", "Japan", i, k) for i, k in enumerate(["aa", "aaa", "😀b", "xaa", "b"])]
+    got = hard_match(kw_of(spark, kw), log_of(spark, log)).select("keyword", "id").collect()
+    assert sorted(map(tuple, got)) == [("aa", 0), ("aa", 1), ("aaa", 0), ("b", 2), ("b", 6), ("😀b", 2)]
+
+
+def test_word_pairs_leave_a_batch_once(monkeypatch):
+    docs = [(7, ["a", "b", "a", "b"]), (None, ["c", "a", "b"]), (3, ["b", "a", "b"])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "words": [w for _, w in docs]})
+    got = [tuple(r.values()) for b in fixtures.counted_pairs([batch]) for r in b.to_pylist()]
+    assert sorted(got) == [("a b", 4, 3, None, 1), ("b a", 2, 2, 3, 0), ("c a", 1, 1, None, 0)]
+    monkeypatch.setattr(fixtures, "WORDS", 4)
+    split = [tuple(r.values()) for b in fixtures.counted_pairs([batch]) for r in b.to_pylist()]
+    assert sorted(split, key=str) == sorted([("a b", 2, 1, 7, 0), ("b a", 1, 1, 7, 1), ("a b", 1, 1, None, 1), ("c a", 1, 1, None, 0), ("a b", 1, 1, 3, 1), ("b a", 1, 1, 3, 0)], key=str)
