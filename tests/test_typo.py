@@ -119,3 +119,10 @@ def test_no_nested_loop(spark):
 def test_keyword_parts_are_made_by_many_tasks(spark):
     kw = prepare_keywords(spark.createDataFrame([(1, "t", "m", k, f"abcdefgh{k}") for k in range(50)], KW))
     assert "REPARTITION_BY_NUM" in typo_match.keyword_parts(kw)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_are_made_of_rows_within_reach(spark):
+    """Few keywords: a row whose length or letters no keyword allows is not taken apart."""
+    log = spark.createDataFrame([("m", i, t, 0, 0, 0.0) for i, t in enumerate(["abcdef", "abcdeg", "abcdefgh", "uvwxyz", "", "abcdeyz"])], LOG)
+    kw = prepare_keywords(spark.createDataFrame([(0, "t", "m", 0, "abcdef"), (0, "t", None, 1, "uvwxyz")], KW))
+    assert sorted(r.id for r in typo_match._alike(typo_match._lettered(log), kw).collect()) == [0, 1]
