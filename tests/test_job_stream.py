@@ -110,3 +110,32 @@ def test_a_batch_that_runs_again_counts_once(spark, place):
     assert told() == [("job_start", 0), ("theme_result", 5), ("theme_result", 12), ("complete", 12)]
     write("c.json", rows)
     assert len(told()) == 4
+
+
+def test_state_does_not_follow_the_shuffles(spark, place, monkeypatch):
+    """State has its own number of parts, kept over restarts; batches are matched as the session says."""
+    log = spark.createDataFrame([(i, t, 10 - i, 1, 1.0, "Australia") for i, t in enumerate(TEXTS)], QUERY_LOG)
+    seen, own = [], spark.conf.get(js.SHUFFLE_PARTITIONS)
+
+    def matched(keywords, *args, **stored):
+        seen.append(tuple(keywords.sparkSession.conf.get(c) for c in (js.SHUFFLE_PARTITIONS, "spark.sql.adaptive.enabled")))
+        return match_themes(keywords, *args, **stored)
+
+    monkeypatch.setattr(js, "match_themes", matched)
+    drop(place, "requests", 0, [request("a", 0, "google", 0)])
+    drop(place, "replies", 0, [{"job_id": "a", "theme_pos": 0, "content": '["google"]', "replied_at": at(1)}])
+    try:
+        for number, shuffles in ((1, 40), (2, 60)):
+            spark.conf.set(js.SHUFFLE_PARTITIONS, shuffles)
+            rows = run(spark, place, log)
+            assert spark.conf.get(js.SHUFFLE_PARTITIONS) == str(shuffles)
+            drop(place, "requests", number, [request("a", number, "chatgpt", number)])
+            drop(place, "replies", number, [{"job_id": "a", "theme_pos": number, "content": '["chat gpt"]', "replied_at": at(number + 1)}])
+    finally:
+        spark.conf.set(js.SHUFFLE_PARTITIONS, own)
+    assert [r.type for r in rows] == ["job_start", "theme_result", "theme_result", "complete"]
+    assert seen[0] == ("40", "true") and seen[-1] == ("60", "true")
+    want = max(js.STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+    for state in ("state", "job-state"):
+        for step in (place / state / "state").iterdir():
+            assert len([p for p in step.iterdir() if p.name.isdigit()]) == want
