@@ -284,6 +284,28 @@ def test_blocks_are_not_copied_for_each_keyword(spark, skewed):
     assert "collect_list(" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_block_hits_are_found_where_the_blocks_meet(spark, skewed, monkeypatch):
+    """Neither candidates nor hits are joined, also where keywords are cut into groups."""
+    kw, log = skewed
+    kw, rows = kw[:40], log_of(spark, log)
+    monkeypatch.setattr(posting_blocks_module, "LEAST_GROUP", 2000)
+    got = block_match(kw_of(spark, kw), posting_blocks(rows, chunk=40), rows, limit=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") > 2
+    assert hard_rows(got) == hard(kw, log)
+
+
+def test_rows_of_one_id_stand_in_one_chunk(spark):
+    log = [(k // 7, f"t{k % 7}", 0, 0, 0.0, "Japan") for k in range(20_005)]
+    blocks = posting_blocks(log_of(spark, log).coalesce(1), (1,), chunk=10).select("chunk", "first_id", "last_id").distinct().collect()
+    ends = {}
+    for b in blocks:
+        low, high = ends.get(b.chunk, (b.first_id, b.last_id))
+        ends[b.chunk] = min(low, b.first_id), max(high, b.last_id)
+    ends = sorted(ends.values())
+    assert len(ends) > 1 and all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
 def test_keywords_that_fit_scan_the_log(spark, skewed):
     """No row for every letter of the log, neither to count grams nor to match."""
     kw, log = skewed
