@@ -89,6 +89,19 @@ def test_lsh_compares_few_pairs(spark):
     assert both == near.count() and both >= 0.95 * exact.count() > 500
 
 
+def test_lsh_shuffles_and_copies_no_vector(spark, tables):
+    """The log is scanned, whatever the number of tables, and groups of keywords give the same pairs."""
+    kw, q, *_ = tables
+    pairs = lsh_pairs(kw, q, 0.7, 8)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    key = ["theme_pos", "kw_pos", "id", "similarity"]
+    whole = sorted(map(tuple, pairs.select(key).collect()))
+    parts = lsh_pairs(kw, q, 0.7, 8, chunk_bytes=1 << 11)
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") > 1
+    assert sorted(map(tuple, parts.select(key).collect())) == whole and whole
+
+
 def test_attach_drops_unknown_ids(spark, tables):
     kw, q, *_ = tables
     log = spark.createDataFrame(
