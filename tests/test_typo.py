@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from themelift.operators import typo_match
+from themelift.operators import typo_match, typo_scan
 from themelift.operators.keywords import prepare_keywords
 
 LOG = "market string, id long, normalized_query string, SRPV long, AdClick long, revenue double"
@@ -88,6 +88,23 @@ def test_long_texts_shuffled_and_stored(spark, tmp_path):
     assert rows(typo_match.typo_join(kw, log, limit=0)) == want
 
 
+def test_scan_makes_no_row_for_a_part(spark, monkeypatch):
+    """Neither parts nor candidates are exploded, joined or shuffled, and groups of keywords, whose
+    lengths and slices are many, give the same typos; so do keywords that are too long for the scan."""
+    words, texts = made(7, "abcdef", (6, 12, 17), 4)
+    kw, log, *raw = tables(spark, words, texts)
+    want = plain(*raw)
+    monkeypatch.setattr(typo_scan, "LEAST_GROUP", 8_000)
+    found = typo_match.typo_join(kw, log, limit=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Generate", "Join", "Aggregate", "Repartition")) and plan.count("MapInArrow") > 3
+    assert rows(found) == want
+    assert any(slices > 1 for *_, slices in typo_scan._groups({n: 4 for n in (6, 12, 17)}, 0))
+    for module in (typo_scan, typo_match):
+        monkeypatch.setattr(module, "LONGEST", 16)
+    assert rows(typo_match.typo_join(kw, log)) == want
+
+
 def test_similarity_and_repeated_keywords(spark):
     kw = spark.createDataFrame([(1, "a", "m", 0, "running"), (2, "b", "m", 0, "run ning"), (2, "b", "m", 1, "running")], KW)
     log = spark.createDataFrame([("m", 1, "runing", 5, 1, 0.5), ("m", 2, "run nin　gs", 5, 1, 0.5), ("m", 2, "runnin", 7, 1, 0.5), ("x", 3, "running", 5, 1, 0.5)], LOG)
