@@ -317,6 +317,20 @@ def test_keywords_that_fit_scan_the_log(spark, skewed):
     assert "Generate" not in gram_counts(rows, "normalized_query", (3,), wanted, True)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_gram_scan_counts_no_grams(spark, skewed, monkeypatch):
+    """Few keywords with a floor are compared in one scan, so the log's grams are not counted before."""
+    kw, log = skewed
+    words, rows = kw_of(spark, kw), log_of(spark, log)
+    key = ["kw_pos", "theme_pos", "id", "similarity"]
+    joined = sorted(map(tuple, gram_topk(words, rows, 5, 0.5, scan_texts=0).select(key).collect()))
+
+    def counted(*_):
+        raise AssertionError("grams of the log are counted")
+
+    monkeypatch.setattr("themelift.operators.gram_match.gram_counts", counted)
+    assert sorted(map(tuple, gram_topk(words, rows, 5, 0.5).select(key).collect())) == joined and joined
+
+
 def test_scan_of_hidden_and_repeated_texts(spark):
     """A keyword several times in a text, across two texts, beyond the first plane, and null texts."""
     texts = ["aaaa", "aa", "a😀b😀b", None, "", "xa", "ab"]
