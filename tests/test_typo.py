@@ -94,7 +94,7 @@ def test_scan_makes_no_row_for_a_part(spark, monkeypatch):
     words, texts = made(7, "abcdef", (6, 12, 17), 4)
     kw, log, *raw = tables(spark, words, texts)
     want = plain(*raw)
-    monkeypatch.setattr(typo_scan, "LEAST_GROUP", 8_000)
+    monkeypatch.setattr(typo_scan, "LEAST_GROUP", 4_000)
     found = typo_match.typo_join(kw, log, limit=0)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Generate", "Join", "Aggregate", "Repartition")) and plan.count("MapInArrow") > 3
